@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import line_dedup, quality
+from lectern.llm import line_dedup, quality, topk_search, warc
 from lectern.session import load
 
 
@@ -17,8 +17,12 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": _over("documents", line_dedup.op2_line_dedup),
     "op6_quality_rules": _over("documents", quality.op6_quality_rules),
+    "op8_topk_search": _over("embeddings", topk_search.op8_topk_search),
+    "op10_warc": _over("pages", warc.op10_warc),
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_topk_search": topk_search.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
