@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, line_dedup, quality, topk_search, warc
+from lectern.llm import bpe, line_dedup, packing, quality, topk_search, warc
 from lectern.session import load
 
 
@@ -17,6 +17,7 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": _over("documents", bpe.op1_bpe),
     "op2_line_dedup": _over("documents", line_dedup.op2_line_dedup),
+    "op3_packing": _over("documents", packing.op3_packing),
     "op6_quality_rules": _over("documents", quality.op6_quality_rules),
     "op8_topk_search": _over("embeddings", topk_search.op8_topk_search),
     "op10_warc": _over("pages", warc.op10_warc),
