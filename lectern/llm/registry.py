@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, line_dedup, packing, quality, topk_search, warc
+from lectern.llm import bpe, line_dedup, packing, quality, topk_search, toxicity, warc
 from lectern.session import load
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": _over("documents", bpe.op1_bpe),
     "op2_line_dedup": _over("documents", line_dedup.op2_line_dedup),
     "op3_packing": _over("documents", packing.op3_packing),
+    "op4_toxicity": lambda spark, sf_dir: toxicity.op4_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
     "op6_quality_rules": _over("documents", quality.op6_quality_rules),
     "op8_topk_search": _over("embeddings", topk_search.op8_topk_search),
     "op10_warc": _over("pages", warc.op10_warc),
