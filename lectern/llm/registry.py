@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, line_dedup, packing, quality, topk_search, toxicity, warc
+from lectern.llm import bpe, jaccard_join, line_dedup, packing, quality, topk_search, toxicity, warc
 from lectern.session import load
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": lambda spark, sf_dir: toxicity.op4_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
     "op6_quality_rules": _over("documents", quality.op6_quality_rules),
     "op8_topk_search": _over("embeddings", topk_search.op8_topk_search),
+    "op9_jaccard_join": _over("documents", jaccard_join.op9_jaccard_join),
     "op10_warc": _over("pages", warc.op10_warc),
 }
 
