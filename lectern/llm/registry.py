@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, jaccard_join, line_dedup, packing, quality, substring_dedup, topk_search, toxicity, warc
+from lectern.llm import bpe, jaccard_join, license_scan, line_dedup, packing, quality, substring_dedup, topk_search, toxicity, warc
 from lectern.session import load
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": _over("documents", line_dedup.op2_line_dedup),
     "op3_packing": _over("documents", packing.op3_packing),
     "op4_toxicity": lambda spark, sf_dir: toxicity.op4_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
+    "op5_license_scan": _over("documents", license_scan.op5_license_scan),
     "op6_quality_rules": _over("documents", quality.op6_quality_rules),
     "op7_substring_dedup": _over("documents", substring_dedup.op7_substring_dedup),
     "op8_topk_search": _over("embeddings", topk_search.op8_topk_search),

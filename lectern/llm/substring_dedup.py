@@ -81,17 +81,17 @@ def minimizers(words: np.ndarray, starts: np.ndarray, size: int, run: int) -> np
     return _slide(_ranges(words)(np.arange(len(words) - run + 1), run), size - run + 1, np.minimum)[starts]
 
 
-def anchors(words: np.ndarray, edges: np.ndarray, size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all places that are the minimizer of some window, and the row of each; equal neighbours count apart."""
+def anchors(words: np.ndarray, edges: np.ndarray, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and flat place of all word runs that are the minimizer of some window; equal neighbours count apart."""
     starts, _ = window_starts(edges, size)
     if not len(starts):
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
     every, wide = _ranges(words)(np.arange(len(words) - run + 1), run), size - run + 1
     least = np.zeros(len(words) - size + 1, U64)
     least[starts] = _slide(every, wide, np.minimum)[starts]
     pad = np.zeros(wide - 1, U64)
     at = np.flatnonzero(every == _slide(np.concatenate([pad, least, pad]), wide, np.maximum))
-    return every[at], np.searchsorted(edges, at, "right") - 1
+    return every[at], np.searchsorted(edges, at, "right") - 1, at
 
 
 def _anchors(size: int, run: int):
@@ -101,7 +101,7 @@ def _anchors(size: int, run: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, edges = _flat(batch["w"])
-            least, rows = anchors(words, edges, size, run)
+            least, rows, _ = anchors(words, edges, size, run)
             did = batch["did"].to_numpy()[rows]
             order = np.argsort(least, kind="stable")
             least, did = least[order], did[order]
@@ -224,31 +224,28 @@ def repeated_starts(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataFr
     return repeats.groupBy("did").agg(F.collect_list("start").alias("starts"), F.collect_list("gone").alias("gone"))
 
 
-def _cut_out(size: int):
+def _cut_out(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts, gone in zip(batch["text"].to_pylist(), batch["starts"], batch["gone"].to_pylist()):
-                words = text.encode().split()  # at ASCII white space
+            for text, starts, gone in zip(batch["_text"], batch["_starts"], batch["_gone"]):
+                words = (text.as_py() or "").encode().split()  # at ASCII white space
                 n = len(words)
-                at = [np.frombuffer(g, np.int32) for g in gone or ()]
+                at = [np.frombuffer(g.as_py(), np.int32) for g in gone] if gone.is_valid else []
                 if starts.is_valid:
                     at.append(starts.values.to_numpy(zero_copy_only=False))
                 if at and len(at := np.concatenate(at)):
                     change = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(at + size, n), minlength=n + 1)[: n + 1]
-                    stay = np.flatnonzero(np.cumsum(change)[:n] == 0)
-                    kept = [words[i] for i in stay]
-                else:
-                    kept = words
-                out.append((n, n - len(kept), b" ".join(kept).decode("utf-8", "replace")))
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:n] == 0)]
+                out.append((n, n - len(words), b" ".join(words).decode("utf-8", "replace")))
             n, removed, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
     return run
 
 
-def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text of every row.
+def drop_repeats(docs: DataFrame, size: int = SIZE, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (doc_id) of every row, with n_words, n_removed and kept_text.
 
     Words are runs without ASCII white space. A word goes if a window of
     ``size`` consecutive words covers it whose words also start earlier: at a
@@ -259,11 +256,18 @@ def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     come out alike. A null doc_id counts as the smallest. Null and empty texts,
     and texts under ``size`` words, lose nothing. Other columns are not read.
     """
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), text_of("text").alias("text"))
-    repeats = repeated_starts(whole, size)
+    names = carry or ["doc_id"]
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    repeats = repeated_starts(docs.select(did.alias("did"), text_of("text").alias("text")), size)
+    rest = [c for c in names if c != "doc_id"]
+    whole = docs.select(did.alias("did"), text_of("text").alias("text"), *rest)
     cut = whole.join(repeats.hint("shuffle_hash"), "did", "left")
     doc_id = F.when(F.col("did") != F.lit(-(2**63)), F.col("did")).alias("doc_id")
-    return cut.select(doc_id, "text", "starts", "gone").mapInArrow(_cut_out(size), "doc_id long, n_words long, n_removed long, kept_text string")
+    shaped = cut.select(*[doc_id if c == "doc_id" else F.col(c) for c in names], F.col("text").alias("_text"), F.col("starts").alias("_starts"), F.col("gone").alias("_gone"))
+    kinds = shaped.select(*names).schema
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):
+        kinds = kinds.add(name, kind)
+    return shaped.mapInArrow(_cut_out(size, names), kinds)
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
