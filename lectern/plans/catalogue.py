@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lectern.plans import reading  # noqa: F401  (registers its queries)
+from lectern.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
