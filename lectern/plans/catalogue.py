@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import reading  # noqa: F401  (registers its queries)
+from lectern.plans import learning, reading, sequences  # noqa: F401  (they register their queries)
 from lectern.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
