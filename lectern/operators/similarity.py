@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions.text import match_key
@@ -66,7 +67,7 @@ def gram_containment(a: Column, b: Column) -> Column:
     return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, grams(b))) / F.size(x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-block ratio of two texts, on their first 800 characters."""
     for a, b in pairs:
