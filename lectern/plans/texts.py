@@ -181,10 +181,16 @@ def seqmatch(spark, d):
 def probe_containment(spark, d):
     t = Tables(spark, d)
     probes = t.benchmark.where("length(text) >= 12").select("item_id", F.substring("text", 1, 32).alias("probe"))
-    # every window of the first 12 characters is the blocking key: an equi join, then the whole probe is tested
-    head = F.substring("probe", 1, 12)
-    windows = t.documents.select("doc_id", F.explode(F.array_distinct(sim.grams(F.col("text"), 12))).alias("head"))
-    candidates = windows.join(probes.withColumn("head", head), "head").join(t.documents.select("doc_id", "text"), "doc_id")
+    # a text that holds the probe holds its inner words as words: the longest is the key of an equi join
+    words = F.split("probe", "\\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = probes.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    texts = t.documents.select("doc_id", "text")
+    spread = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("word"))
+    by_word = spread.join(keyed.where("word is not null"), "word").join(texts, "doc_id").select("item_id", "probe", "doc_id", "text")
+    # probes without an inner word are tried on every text; they are a few odd ones
+    odd = keyed.where("word is null").drop("word").join(texts, F.contains("text", "probe")).select("item_id", "probe", "doc_id", "text")
+    candidates = by_word.unionByName(odd)
     return candidates.where(F.contains("text", "probe")).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
 
 
