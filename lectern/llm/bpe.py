@@ -13,7 +13,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,20 @@ from lectern.llm.common import text_of
 FOLD_BYTES = 64
 #: A task's dictionary is begun anew beyond this many words, to bound its memory.
 DICT_WORDS = 1_000_000
-WORDS_PER_ROW, DOCS_PER_STEP = 2048, 256
+WORDS_PER_ROW, DOCS_PER_STEP = 1024, 256
 #: No pair: ranks stay below; and the room for a position in a packed rank.
 NONE, POS = 1 << 17, 1 << 12
 
 #: White space as the pattern's library sees it.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: For Latin texts the standard library's classes agree with the pattern's, but for these characters.
-UNLIKE = re.compile("[^\\x00-\u024f]|[\\x1c-\\x1f\xb2\xb3\xb9\xbc-\xbe]")
+#: In Latin-1 texts the standard library's classes agree with the pattern's, but for these characters.
+UNLIKE = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB9, *range(0xBC, 0xBF)])
 LATIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a tiktoken file."""
     with open(path, "rb") as f:
@@ -52,7 +55,16 @@ def cutter(pattern: str):
     whole = regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]"))
     if pattern != public_tokenizers.PATTERN:
         return whole.findall
-    return lambda text: (whole if UNLIKE.search(text) else LATIN).findall(text)
+    return lambda text: (LATIN if is_latin(text) else whole).findall(text)
+
+
+def is_latin(text: str) -> bool:
+    """Whether ``LATIN`` matches the text as the pattern does."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in data for c in UNLIKE)
 
 
 def literal_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
@@ -145,13 +157,13 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Codes(dict):
-    """Numbers words in the order in which they are met."""
+    """Numbers words in the order in which they are met, as four bytes."""
 
     def __init__(self):
         self.fresh: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
+    def __missing__(self, word: str) -> bytes:
+        self[word] = code = len(self).to_bytes(4, "little")
         self.fresh.append(word)
         return code
 
@@ -177,13 +189,13 @@ def _cut(pattern: str, ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, codes, ranks = cutter(pattern), _Codes(), None
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for at in range(0, len(texts), DOCS_PER_STEP):
+            for at in range(0, batch.num_rows, DOCS_PER_STEP):
                 if len(codes) > DICT_WORDS:
                     codes = _Codes()
                     yield _step([RESET], [None], [None])
                 start = len(codes)
-                rows = [np.fromiter(map(codes.__getitem__, cut(x)), np.uint32).tobytes() for x in texts[at : at + DOCS_PER_STEP]]
+                texts = batch["text"].slice(at, DOCS_PER_STEP).to_pylist()
+                rows = [b"".join(map(codes.__getitem__, cut(x))) for x in texts]
                 fresh, codes.fresh = [w.encode("utf-8", "replace") for w in codes.fresh], []
                 numbered = list(enumerate(fresh, start))
                 for kind, some in ((FOLD, [x for x in numbered if len(x[1]) <= FOLD_BYTES]), (MERGED, [x for x in numbered if len(x[1]) > FOLD_BYTES])):
@@ -193,7 +205,7 @@ def _cut(pattern: str, ranks_path: str):
                     for i in range(0, len(some), WORDS_PER_ROW):
                         part = some[i : i + WORDS_PER_ROW]
                         yield _step([kind], [None], [np.array([c for c, _ in part], np.uint32).tobytes()], _one_list([w for _, w in part]))
-                yield _step([DOC] * len(rows), ids[at : at + DOCS_PER_STEP], rows)
+                yield _step([DOC] * len(rows), batch["doc_id"].slice(at, DOCS_PER_STEP).to_pylist(), rows)
 
     return run
 
@@ -242,9 +254,11 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.add(np.frombuffer(codes, np.uint32), lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, then: Finish = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """doc_id, ids (array of int) of every whole text, by the ranks of ``ranks_path``.
 
+    ``then`` may turn batches of these columns into batches of ``schema`` in the same worker.
+
     Each match of ``pattern`` is merged separately, with no special tokens.
     Null and empty texts have no ids; each input row gives one row (repeated
     rows repeat); other columns are not read.
@@ -254,7 +268,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     byte_rank = _literal([ranks[bytes([b])] for b in range(256)])
     steps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(_cut(pattern, ranks_path), STEP_SCHEMA)
     folded = F.when(F.col("kind") == FOLD, F.transform("words", lambda w: fold_word(w, byte_rank, base, table))).otherwise(F.col("words"))
-    return steps.withColumn("words", folded).mapInArrow(_assemble, "doc_id long, ids array<int>")
+    finish = _assemble if then is None else lambda batches: then(_assemble(batches))
+    return steps.withColumn("words", folded).mapInArrow(finish, schema)
 
 
 def decode_lists(ids: pa.Array, pieces: pa.Array) -> list[bytes]:
@@ -287,26 +302,28 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip_digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def round_trip_digests(ranks_path: str):
+    """A function that decodes batches of (doc_id, ids) and reports the rows of ``DIGESTS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(ranks_path)
         for batch in batches:
             ids = batch["ids"]
             names = pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string()))
-            joined = pc.binary_join(names, ",").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
                     pc.list_value_length(ids).cast(pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(names, ",").to_pylist()]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decode_lists(ids, pieces)]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
 
 
 def op1_bpe(docs: DataFrame) -> DataFrame:
@@ -314,4 +331,4 @@ def op1_bpe(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return round_trip_digests(encode(docs, path, public_tokenizers.PATTERN), path)
+    return encode(docs, path, public_tokenizers.PATTERN, round_trip_digests(path), DIGESTS)
