@@ -69,7 +69,7 @@ def _sign(size: int):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 low = np.array([(s * a).min() for a in scale]) if len(s) else np.zeros(SIGNATURE, U64)
-                signatures.append((mix(low) >> U64(48)).astype(np.uint16).tobytes())
+                signatures.append((mix(low) >> U64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n", "ckey", "sig"])
 
     return run
@@ -83,23 +83,19 @@ def runs_for(threshold: float, recall: float) -> int:
 def _draw(paths: list[int | None], draws: float = DRAWS):
     """Child keys of each row: tokens of the signature drawn along its path (``key``) or along each run."""
     limit = U64(int(draws / SIGNATURE * 2**64))
-    place = np.arange(SIGNATURE, dtype=U64) << U64(20)
+    place = np.arange(SIGNATURE, dtype=U64) << U64(40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, sigs = batch["cid"].to_numpy(), batch["sig"].to_pylist()
-            along = batch["key"].to_numpy().view(U64) if paths == [None] else None
-            out_k, out_c = [], []
-            for row, sig in enumerate(sigs):
-                tokens = mix(place + np.frombuffer(sig, np.uint16).astype(U64) + U64(1))
-                for path in paths:
-                    seed = along[row : row + 1] if path is None else mix(np.array([path + 1], U64))
-                    drawn = mix(tokens ^ seed)
-                    some = drawn[drawn < limit]
-                    out_k.append(mix(some + seed * U64(3)))
-                    out_c.append(np.full(len(some), cids[row]))
-            if out_k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k).view(np.int64)), pa.array(np.concatenate(out_c))], names=["key", "cid"])
+            cids = batch["cid"].to_numpy()
+            values = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+            tokens = mix(place + values.astype(U64) + U64(1))
+            for path in paths:
+                seed = batch["key"].to_numpy().view(U64)[:, None] if path is None else mix(np.array([[path + 1]], U64))
+                drawn = mix(tokens ^ seed)
+                row, at = np.nonzero(drawn < limit)
+                keys = mix(drawn[row, at] + np.broadcast_to(seed * U64(3), (len(cids), 1))[row, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cids[row])], names=["key", "cid"])
 
     return run
 
@@ -113,7 +109,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
 def entries_of(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(key, cid, members): the classes in each bucket, after splitting large buckets up to ``DEPTH`` times."""
     runs = runs_for(threshold, recall)
-    rows = classes.select("cid", "sig").mapInArrow(_draw(list(range(runs))), "key long, cid long").distinct()
+    rows = settle(classes.select("cid", "sig").mapInArrow(_draw(list(range(runs))), "key long, cid long"))
     parts = []
     for level in range(DEPTH):
         found = settle(rows.join(_buckets(rows), "key"))
@@ -124,21 +120,29 @@ def entries_of(classes: DataFrame, threshold: float, recall: float) -> DataFrame
             break
         # near copies share nearly all tokens: splitting them again would only multiply buckets
         kept = settle(_tight(heavy, classes))
-        parts.append(heavy.join(kept.where("tight").select("key"), "key"))
+        parts.append(_families(heavy.join(kept.where("tight").select("key"), "key")))
         loose = heavy.join(kept.where("not tight").select("key"), "key")
-        rows = loose.join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig").mapInArrow(_draw([None], 2 * DRAWS), "key long, cid long").distinct()
+        rows = settle(loose.join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig").mapInArrow(_draw([None], 2 * DRAWS), "key long, cid long"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _families(rows: DataFrame) -> DataFrame:
+    """One bucket in place of all buckets of near copies that have members in common."""
+    low = rows.groupBy("cid").agg(F.min("key").alias("low"))
+    roots = components(rows.join(low, "cid").select(F.col("low").alias("a"), F.col("key").alias("b")))
+    whole = settle(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("root", "key").alias("key"), "cid").distinct())
+    return whole.join(whole.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+
+
 def _tight(heavy: DataFrame, classes: DataFrame, share: float = 0.4) -> DataFrame:
     """Whether the members of a bucket agree with one of them in most of their signatures (a group of near copies)."""
     places = range(0, SIGNATURE, 4)
     probe = heavy.join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig")
     one = probe.groupBy("key").agg(F.min_by("sig", "cid").alias("first"))
-    same = sum((F.substring("sig", 2 * i + 1, 2) == F.substring("first", 2 * i + 1, 2)).cast("int") for i in places)
+    same = sum((F.substring("sig", 4 * i + 1, 4) == F.substring("first", 4 * i + 1, 4)).cast("int") for i in places)
     return probe.join(one, "key").groupBy("key").agg((F.avg(same) / len(places) >= share).alias("tight"))
 
 
@@ -160,7 +164,7 @@ def _sketch(threshold: float):
             keys, cids, b1s, b2s, owns = [], [], [], [], []
             for row in batch.to_pylist():
                 members = row["members"]
-                sig = np.stack([np.frombuffer(m["sig"], np.uint16) for m in members])
+                sig = np.stack([np.frombuffer(m["sig"], np.uint32) for m in members])
                 own = np.array([m["own"] for m in members])
                 n = np.array([m["n"] for m in members], float)
                 if len(members) < 2:
