@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import settle, split_words, text_of
 
 SIGNATURE, BUCKET, DEPTH = 64, 128, 3
+#: Classes of a large bucket that are compared with as many others in one unit of work.
+BLOCK = 512
 DRAWS = 1.5  # tokens drawn per run and level, on average
 U64 = np.uint64
 
@@ -94,7 +96,7 @@ def _draw(paths: list[int | None], draws: float = DRAWS):
                 seed = batch["key"].to_numpy().view(U64)[:, None] if path is None else mix(np.array([[path + 1]], U64))
                 drawn = mix(tokens ^ seed)
                 row, at = np.nonzero(drawn < limit)
-                keys = mix(drawn[row, at] + np.broadcast_to(seed * U64(3), (len(cids), 1))[row, 0])
+                keys = mix(drawn[row, at] + np.broadcast_to(seed * U64(3), (len(cids), 1))[row, 0]) >> U64(1)  # not negative
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cids[row])], names=["key", "cid"])
 
     return run
@@ -133,7 +135,7 @@ def _families(rows: DataFrame) -> DataFrame:
     """One bucket in place of all buckets of near copies that have members in common."""
     low = rows.groupBy("cid").agg(F.min("key").alias("low"))
     roots = components(rows.join(low, "cid").select(F.col("low").alias("a"), F.col("key").alias("b")))
-    whole = settle(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("root", "key").alias("key"), "cid").distinct())
+    whole = settle(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select((-F.coalesce("root", "key") - 1).alias("key"), "cid").distinct())  # negative: before all drawn keys
     return whole.join(whole.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
 
 
@@ -148,7 +150,7 @@ def _tight(heavy: DataFrame, classes: DataFrame, share: float = 0.4) -> DataFram
 
 def _units(entries: DataFrame) -> DataFrame:
     """Rows (u1, u2, u3, side) for each unit of comparison: a bucket, or two blocks of a large one."""
-    blocks = F.greatest(F.ceil(F.col("members") / BUCKET), F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("cid", F.lit(2)), blocks).cast("int")
     with_block = entries.withColumns({"blocks": blocks, "own": own})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -216,27 +218,23 @@ def _verify(threshold: float):
                 sets = [np.frombuffer(m["set"], U64) for m in members]
                 n = np.array([len(s) for s in sets], float)
                 both = overlaps(sets)
-                near = np.triu(both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9, 1)
+                near = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
+                np.fill_diagonal(near, False)
                 own = np.array([m["own"] for m in members])
                 if row["b1"] != row["b2"]:
                     near &= own[:, None] != own[None, :]
-                links, root = np.zeros(len(members), np.int64), list(range(len(members)))
-
-                def find(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                buckets = [set(m["keys"]) for m in members]
-                for i, j in zip(*np.nonzero(near)):
-                    if min(buckets[i] & buckets[j]) == row["key"]:
-                        links[i] += members[j]["size"]
-                        links[j] += members[i]["size"]
-                    p, q = find(int(i)), find(int(j))
-                    if p != q:
-                        root[q] = p
-                        a_out.append(members[i]["cid"]), b_out.append(members[j]["cid"]), links_out.append(0)
+                buckets, size = [set(m["keys"]) for m in members], np.array([m["size"] for m in members])
+                # where this is the least bucket of either, it is the least that both share
+                lead = np.array([min(k) == row["key"] for k in buckets])
+                counted = near & (lead[:, None] | lead[None, :])
+                for i, j in zip(*np.nonzero(np.triu(near & ~counted))):
+                    counted[i, j] = counted[j, i] = min(buckets[i] & buckets[j]) == row["key"]
+                links = counted @ size
+                label, before = np.arange(len(members)), None
+                while before is None or (label != before).any():
+                    before, label = label, np.minimum(label, np.where(near, label[None, :], len(members)).min(axis=1))
+                for i in np.flatnonzero(label != np.arange(len(members))):
+                    a_out.append(members[label[i]]["cid"]), b_out.append(members[i]["cid"]), links_out.append(0)
                 for i in np.flatnonzero(links):
                     a_out.append(members[i]["cid"]), b_out.append(None), links_out.append(int(links[i]))
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(links_out, pa.int64())], names=["a", "b", "links"])
