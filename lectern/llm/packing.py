@@ -30,17 +30,18 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-class _WordIds(dict):
-    """Packed ids of words, from the tokenizer when first met."""
+#: Documents whose new words are tokenised together.
+DOCS_PER_STEP = 256
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+def _add_words(known: dict[str, bytes], fresh: list[str], tokenizer) -> None:
+    """Packed ids of words that are matches of the pattern, in one call of the tokenizer."""
+    if fresh:
+        found = tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        cuts = np.searchsorted(owner, np.arange(len(fresh) + 1))
+        for word, a, b in zip(fresh, cuts, cuts[1:]):
+            known[word] = ids[a:b].tobytes()
 
 
 def _tokenise(tokenizer_path: str, pattern: str, capacity: int, end_id: int):
@@ -50,17 +51,25 @@ def _tokenise(tokenizer_path: str, pattern: str, capacity: int, end_id: int):
 
         tokenizer, cut = Tokenizer.from_file(tokenizer_path), cutter(pattern)
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        words, task, seen = _WordIds(tokenizer), TaskContext.get().partitionId(), Counter()
+        words, task, seen = {}, TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
+
+        def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            for at in range(0, batch.num_rows, DOCS_PER_STEP):
+                step = batch.slice(at, DOCS_PER_STEP)
+                texts = step["text"].to_pylist()
+                plain = [not any(t in x for t in added) for x in texts]
+                pieces = [cut(x) if p else [] for x, p in zip(texts, plain)]
+                if len(words) > DICT_WORDS:
+                    words.clear()
+                _add_words(words, sorted(set().union(*pieces) - words.keys()), tokenizer)
+                for doc_id, x, p, own in zip(step["doc_id"].to_pylist(), texts, plain, pieces):
+                    yield doc_id, b"".join(map(words.__getitem__, own)) if p else np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if len(words) > DICT_WORDS:
-                    words = _WordIds(tokenizer)
-                if any(t in text for t in added):
-                    data = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-                else:
-                    data = b"".join(map(words.__getitem__, cut(text))) + end
+            for doc_id, data in _packed(batch):
+                data += end
                 n = len(data) // 4
                 first = (n - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
