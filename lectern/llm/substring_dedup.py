@@ -200,8 +200,9 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of up to ``COMMON_WORDS`` words that are frequent in ``COMMON_DOCS`` documents; they only shape groups."""
-    some = docs.limit(COMMON_DOCS).select(F.explode(split_words(text_of("text"))).alias("word"))
+    """Hashes of up to ``COMMON_WORDS`` words that are frequent in about ``COMMON_DOCS`` documents; they only shape groups."""
+    share = min(1.0, COMMON_DOCS / max(docs.count(), 1))
+    some = docs.sample(fraction=share, seed=7).select(F.explode(split_words(text_of("text"))).alias("word"))
     top = some.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS)
     return np.array([r["h"] for r in top.select(F.xxhash64("word").alias("h")).collect()], np.int64).view(U64)
 
