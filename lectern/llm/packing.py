@@ -11,7 +11,10 @@ find their place by their rank among pieces of the same length.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,46 +33,68 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-#: Documents whose new words are tokenised together.
-DOCS_PER_STEP = 256
+class _Words(dict):
+    """Packed ids of words that are matches of the pattern; a word is merged when it is first asked for."""
 
+    def __init__(self, encode):
+        self.encode = encode
 
-def _add_words(known: dict[str, bytes], fresh: list[str], tokenizer) -> None:
-    """Packed ids of words that are matches of the pattern, in one call of the tokenizer."""
-    if fresh:
-        found = tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
-        cuts = np.searchsorted(owner, np.arange(len(fresh) + 1))
-        for word, a, b in zip(fresh, cuts, cuts[1:]):
-            known[word] = ids[a:b].tobytes()
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        data = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return data
+
+
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer of a file, its added tokens and a function from one word to its ids; once per worker.
+
+    Where ids rise in the order of the merges, as in byte-level vocabularies, a
+    word's ids depend on the ranks alone, and tiktoken merges it several times faster.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, byte_of = model["vocab"], {c: b for b, c in byte_letters().items()}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", ())]
+    ids = [vocab[w] for w in made]
+    plain = {w: i for w, i in vocab.items() if w not in added}
+    if ids != sorted(set(ids)) or not plain.keys() - set(made) <= byte_of.keys():
+        return tokenizer, added, lambda word: tokenizer.encode([word], is_pretokenized=True, add_special_tokens=False).ids
+    import tiktoken
+
+    ranks = {bytes(byte_of[c] for c in w): i for w, i in plain.items()}
+    return tokenizer, added, tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 def _tokenise(tokenizer_path: str, pattern: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, cut = Tokenizer.from_file(tokenizer_path), cutter(pattern)
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        words, task, seen = {}, TaskContext.get().partitionId(), Counter()
+        (tokenizer, added, encode), cut = _tokenizer(tokenizer_path), cutter(pattern)
+        words, task, seen = _Words(encode), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
 
-        def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            for at in range(0, batch.num_rows, DOCS_PER_STEP):
-                step = batch.slice(at, DOCS_PER_STEP)
-                texts = step["text"].to_pylist()
-                plain = [not any(t in x for t in added) for x in texts]
-                pieces = [cut(x) if p else [] for x, p in zip(texts, plain)]
-                if len(words) > DICT_WORDS:
-                    words.clear()
-                _add_words(words, sorted(set().union(*pieces) - words.keys()), tokenizer)
-                for doc_id, x, p, own in zip(step["doc_id"].to_pylist(), texts, plain, pieces):
-                    yield doc_id, b"".join(map(words.__getitem__, own)) if p else np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        def _packed(text: str) -> bytes:
+            if any(t in text for t in added):
+                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(words) > DICT_WORDS:
+                words.clear()
+            return b"".join(map(words.__getitem__, cut(text)))
 
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, data in _packed(batch):
-                data += end
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                data = _packed(text.as_py()) + end
                 n = len(data) // 4
                 first = (n - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
