@@ -250,3 +250,14 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert near.count() == groups.select("group_id").distinct().count()
     passages = corpus_pipeline.drop_passages(spark, docs, sf)
     assert passages.columns == corpus_pipeline.COLUMNS and passages.count() == before
+
+
+def test_words_of_packing_have_the_ids_of_the_tokenizer():
+    import public_tokenizers
+
+    tokenizer, added, encode = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    words, cut = packing._Words(encode), bpe.cutter(public_tokenizers.PATTERN)
+    assert added == ["<|endoftext|>"]
+    for text in ["", "It's  a plain\n\n text, 12 items.", "\u6f22\u5b57 \U0001f600\u00e9\u00a0 x\x00\x1f'll", "\ufb00\u00b2\u00bd \u2167\u0663 \u3000.", "a" * 3000]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert b"".join(map(words.__getitem__, cut(text))) == b"".join(i.to_bytes(4, "little") for i in ids)
