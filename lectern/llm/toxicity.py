@@ -56,16 +56,11 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
             (toxic if label else clean).update(features_of(text).keys())
-    names = sorted(toxic)  # a feature of clean rows only can be no voter
+    # all counts leave the task, as a feature of clean rows here may be one of toxic rows elsewhere
+    names = sorted(toxic.keys() | clean.keys())
     for at in range(0, len(names), 10_000):
         part = names[at : at + 10_000]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[x] for x in part]), pa.array([clean[x] for x in part])], names=["feature", "pos", "neg"])
-    if clean:
-        # counts of clean rows for features that other tasks may have seen in toxic rows
-        rest = [x for x in clean if x not in toxic and clean[x] > 1]
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part)), pa.array([clean[x] for x in part])], names=["feature", "pos", "neg"])
 
 
 def mine_voters(sample: DataFrame, limit: int = MAX_FEATURES) -> list[str]:

@@ -114,6 +114,14 @@ def test_plan_holds_the_histogram(seed):
     assert sum(n for _, n in plan) <= -(-sum(k * n for k, n in histogram.items()) // 1024) * 1.02 + 1
 
 
+def test_toxicity_voters_do_not_depend_on_partitions(spark):
+    rows = [(f"blargword {'plain' if i < 2 else 'other'} t{i}", 1) for i in range(20)] + [(f"{'plain' if i < 12 else 'calm'} c{i}", 0) for i in range(60)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    whole = toxicity.mine_voters(sample.coalesce(1))
+    assert "w:blargword" in whole and "w:plain" not in whole
+    assert toxicity.mine_voters(sample.repartition(60)) == whole
+
+
 def test_toxicity_learns_from_labels(spark):
     rng = np.random.default_rng(3)
     clean = [f"c{i}" for i in range(300)]
