@@ -58,3 +58,16 @@ def refresh_snapshots(items: DataFrame, old: DataFrame, current: DataFrame, key:
 def keep_latest(rows: DataFrame, owner: str, key: str, k: int, *order: Column) -> DataFrame:
     """The ``k`` first rows of each owner, one per key."""
     return first_wins(rows, [owner, key], *order).withColumn("rank", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def numbered(rows: DataFrame, by: str, name: str, size: int = 100_000) -> DataFrame:
+    """Rows numbered from 1 in the order of ``by``: by ranges of about ``size`` rows, offset by the counts of those before."""
+    parts = -(-rows.count() // size)
+    cuts = rows.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
+    cuts = sorted(set(cuts or []))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_range", place)
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # one row a range
+    offsets = [sum(n for r, n in counts.items() if r < i) for i in range(len(cuts) + 1)]
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    return ranged.withColumn(name, rank + F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_range"))).drop("_range")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,7 @@ from pyspark.sql.window import Window
 from lectern.functions.text import match_key
 
 WINDOW = 800
+LEFT_BLOCK, RIGHT_BLOCK = 256, 512
 
 
 def key_of(text: Column, window: int = WINDOW) -> Column:
@@ -26,18 +31,62 @@ def grams(key: Column, size: int = 2) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def gram_table(rows: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, key, gram, n): bigram counts of each text."""
-    keyed = rows.select(row_id, key_of(F.col(text)).alias("key"))
-    return keyed.select(row_id, "key", F.explode(grams(F.col("key"))).alias("gram")).groupBy(row_id, "key", "gram").agg(F.count(F.lit(1)).alias("n"))
+def _packed(rows: DataFrame, row_id: str, size: int) -> DataFrame:
+    """(ids, keys): ``size`` rows of each task laid into one, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], names=["ids", "keys"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(rows.schema[row_id].dataType)), T.StructField("keys", T.ArrayType(T.StringType()))]))
+
+
+def _bigrams(key: str) -> Counter:
+    return Counter(map(add, key, key[1:]))
+
+
+def _score_blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Scores of all pairs of two blocks: a bigram's n-th copy is a column of its own, so the shared count is a matrix product."""
+    known, columns, ones = None, {}, None
+    for batch in batches:
+        for r in range(batch.num_rows):
+            left, right = batch["left_keys"][r].as_py(), batch["right_keys"][r].as_py()
+            if left != known:
+                counts = [_bigrams(k) for k in left]
+                most: Counter = Counter()
+                for c in counts:
+                    most |= c
+                starts = np.concatenate([[0], np.cumsum(list(most.values()))])
+                columns = {g: (int(at), n) for at, (g, n) in zip(starts, most.items())}
+                ones = np.zeros((int(starts[-1]), len(left)), np.float32)
+                for i, c in enumerate(counts):
+                    for g, n in c.items():
+                        ones[columns[g][0] : columns[g][0] + n, i] = 1
+                known, lengths = left, np.array([len(k) for k in left])
+            has = np.zeros((len(right), len(ones)), np.float32)
+            for j, key in enumerate(right):
+                for g, n in _bigrams(key).items():
+                    if (place := columns.get(g)) is not None:
+                        has[j, place[0] : place[0] + min(n, place[1])] = 1
+            shared = has @ ones
+            j, i = np.nonzero(shared)
+            score = 2.0 * shared[j, i].astype(float) / np.maximum(1, lengths[i] + np.array([len(k) for k in right])[j] - 2)
+            yield pa.RecordBatch.from_arrays([batch["left_ids"][r].values.take(pa.array(i)), batch["right_ids"][r].values.take(pa.array(j)), pa.array(score)], names=names)
 
 
 def dice_multiset(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
-    """(left_id, right_id, score) of pairs that share a bigram: twice the shared count over all bigrams of both."""
-    a, b = gram_table(left, left_id, text).alias("a"), gram_table(right, right_id, text).alias("b")
-    shared = a.join(b, "gram").groupBy(left_id, right_id, F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).agg(F.sum(F.least("a.n", "b.n")).alias("m"))
-    score = F.when(F.col("ka") == F.col("kb"), F.lit(1.0)).otherwise(F.lit(2.0) * F.col("m") / F.greatest(F.lit(1), F.length("ka") + F.length("kb") - 2))
-    return shared.select(left_id, right_id, score.cast("double").alias("score"))
+    """(left_id, right_id, score) of pairs that share a bigram: twice the shared count over all bigrams of both.
+
+    Nearly all pairs share one, so blocks of both sides meet instead of grams.
+    """
+    keyed = lambda rows, row_id: rows.select(row_id, key_of(F.col(text)).alias("key")).where("length(key) >= 2")
+    a = _packed(keyed(left, left_id), left_id, LEFT_BLOCK).toDF("left_ids", "left_keys")
+    b = _packed(keyed(right, right_id), right_id, RIGHT_BLOCK).toDF("right_ids", "right_keys")
+    names = [left_id, right_id, "score"]
+    schema = T.StructType([T.StructField(left_id, left.schema[left_id].dataType), T.StructField(right_id, right.schema[right_id].dataType), T.StructField("score", T.DoubleType())])
+    return b.crossJoin(a).mapInArrow(lambda batches: _score_blocks(batches, names), schema)
 
 
 def dice_set(a: Column, b: Column) -> Column:

@@ -133,12 +133,21 @@ def json_valid(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.try_parse_json(raw).isNotNull().alias("ok"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part WHERE p_partkey < 20")
-def json_array_patch(spark, d):
+def _patched(part):
     raw = F.lit('[{"label":"A","content":"x"},{"label":"B","content":"y"},{"label":"C","content":"z"},{"label":"D","content":"w"}]')
     options = F.from_json(raw, "array<struct<label:string,content:string>>")
     patched = F.transform(options, lambda o, i: F.struct(o["label"].alias("label"), F.when((F.col("p_partkey") == 7) & (i == 3), "fixed").otherwise(o["content"]).alias("content")))
-    return Tables(spark, d).part.where("p_partkey < 20").select("p_partkey", F.array_join(F.transform(patched, lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
+    return part.select("p_partkey", F.array_join(F.transform(patched, lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part WHERE p_partkey < 20")
+def json_array_patch(spark, d):
+    return _patched(Tables(spark, d).part.where("p_partkey < 20"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part")
+def json_array_patch_all(spark, d):
+    return _patched(Tables(spark, d).part)
 
 
 @query("SELECT p_partkey, 'brand=' || p_brand || ';size=' || p_size AS entries FROM part")
@@ -195,21 +204,38 @@ def union_banks(spark, d):
     return _banks(Tables(spark, d).part).groupBy("prio").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_partkey").alias("ids"))
 
 
+def _refresh(lineitem, part):
+    items = lineitem.select("l_orderkey", "l_partkey").distinct()
+    named = lambda rows, c: rows.select(F.col("p_partkey").alias("l_partkey"), F.col(c).alias("name"))
+    return bank.refresh_snapshots(items, named(part.where("p_partkey % 3 = 0"), "p_brand"), named(part.where("p_partkey % 2 = 0"), "p_name"), "l_partkey", "name").select("l_orderkey", "l_partkey", "name")
+
+
 @query("""SELECT l_orderkey, l_partkey, coalesce(cur.p_name, old.p_brand) AS name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 2000) i
 LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) cur ON cur.p_partkey = l_partkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) old ON old.p_partkey = l_partkey WHERE coalesce(cur.p_name, old.p_brand) IS NOT NULL""")
 def snapshot_refresh(spark, d):
-    t = Tables(spark, d)
-    items = t.lineitem.where("l_orderkey < 2000").select("l_orderkey", "l_partkey").distinct()
-    named = lambda rows, c: rows.select(F.col("p_partkey").alias("l_partkey"), F.col(c).alias("name"))
-    return bank.refresh_snapshots(items, named(t.part.where("p_partkey % 3 = 0"), "p_brand"), named(t.part.where("p_partkey % 2 = 0"), "p_name"), "l_partkey", "name").select("l_orderkey", "l_partkey", "name")
+    return _refresh(Tables(spark, d).lineitem.where("l_orderkey < 2000"), Tables(spark, d).part)
+
+
+@query("""SELECT l_orderkey, l_partkey, coalesce(cur.p_name, old.p_brand) AS name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) i
+LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) cur ON cur.p_partkey = l_partkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) old ON old.p_partkey = l_partkey WHERE coalesce(cur.p_name, old.p_brand) IS NOT NULL""")
+def snapshot_refresh_all(spark, d):
+    return _refresh(Tables(spark, d).lineitem, Tables(spark, d).part)
+
+
+def _zip(items, docs):
+    return bank.numbered(items.select("item_id"), "item_id", "rn").join(bank.numbered(docs.select("doc_id"), "doc_id", "rn"), "rn").select("rn", "item_id", "doc_id")
 
 
 @query("SELECT b.rn AS rn, b.item_id AS item_id, a.doc_id AS doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) b JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE lang = 'de') a ON a.rn = b.rn")
 def positional_zip(spark, d):
     t = Tables(spark, d)
-    place = lambda c: F.row_number().over(Window.orderBy(c)).alias("rn")
-    # both sides are short lists by nature: volumes and their analyses
-    return t.benchmark.select("item_id", place("item_id")).join(t.documents.where("lang = 'de'").select("doc_id", place("doc_id")), "rn").select("rn", "item_id", "doc_id")
+    return _zip(t.benchmark, t.documents.where("lang = 'de'"))
+
+
+@query("SELECT b.rn AS rn, b.item_id AS item_id, a.doc_id AS doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) b JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) a ON a.rn = b.rn")
+def positional_zip_all(spark, d):
+    t = Tables(spark, d)
+    return _zip(t.benchmark, t.documents)
 
 
 @query("""SELECT a.p_partkey, CASE WHEN length(b.p_name) < 1.35 * length(a.p_name) AND instr(b.p_name, 'a') > 0 THEN b.p_name ELSE a.p_name END AS stem

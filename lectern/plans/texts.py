@@ -101,48 +101,81 @@ SCORES = f"""(SELECT item_id, doc_id, CASE WHEN a.k = b.k THEN 1.0 ELSE 2.0 * su
 FROM {GRAMS.format(id='item_id', keys=KEYS.format(id='item_id', t='(SELECT * FROM benchmark)'))} a JOIN {GRAMS.format(id='doc_id', keys=KEYS.format(id='doc_id', t="(SELECT * FROM documents WHERE lang = 'es')"))} b ON a.g = b.g GROUP BY item_id, doc_id, a.k, b.k)"""
 
 
-def _scores(spark, d):
+#: The same over the documents of all languages, for the queries in ``_all``.
+SCORES_ALL = f"""(SELECT item_id, doc_id, CASE WHEN a.k = b.k THEN 1.0 ELSE 2.0 * sum(least(a.n, b.n)) / greatest(1, length(any_value(a.k)) + length(any_value(b.k)) - 2) END::DOUBLE AS score
+FROM {GRAMS.format(id='item_id', keys=KEYS.format(id='item_id', t='benchmark'))} a JOIN {GRAMS.format(id='doc_id', keys=KEYS.format(id='doc_id', t='documents'))} b ON a.g = b.g GROUP BY item_id, doc_id, a.k, b.k)"""
+
+
+def _scores(spark, d, docs="lang = 'es'"):
     t = Tables(spark, d)
-    return sim.dice_multiset(t.benchmark, t.documents.where("lang = 'es'"), "item_id", "doc_id", "text")
+    return sim.dice_multiset(t.benchmark, t.documents.where(docs), "item_id", "doc_id", "text")
 
 
 @query(f"SELECT item_id, count(*) AS pairs, round(max(score), 6) AS best FROM {SCORES} GROUP BY 1")
-def dice_multiset(spark, d):
-    return _scores(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("score"), 6).alias("best"))
+def dice_multiset(spark, d, docs="lang = 'es'"):
+    return _scores(spark, d, docs).groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query(f"SELECT item_id, count(*) AS pairs, round(max(score), 6) AS best FROM {SCORES_ALL} GROUP BY 1")
+def dice_multiset_all(spark, d):
+    return dice_multiset(spark, d, "true")
 
 
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM {SCORES})"
 
 
-def _best(spark, d):
-    return sim.best_match(_scores(spark, d).withColumn("score", F.round("score", 9)), "item_id", "doc_id")
+RANKED_ALL = f"(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM {SCORES_ALL})"
+
+
+def _best(spark, d, docs="lang = 'es'"):
+    return sim.best_match(_scores(spark, d, docs).withColumn("score", F.round("score", 9)), "item_id", "doc_id")
 
 
 @query(f"SELECT item_id, doc_id, round(score, 6) AS score FROM {RANKED} WHERE rn = 1")
-def similarity_best_match(spark, d):
-    return _best(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+def similarity_best_match(spark, d, docs="lang = 'es'"):
+    return _best(spark, d, docs).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT item_id, doc_id, round(score, 6) AS score FROM {RANKED_ALL} WHERE rn = 1")
+def similarity_best_match_all(spark, d):
+    return similarity_best_match(spark, d, "true")
 
 
 @query(f"SELECT item_id, CASE WHEN score >= 0.48 THEN doc_id ELSE item_id END AS partner, score >= 0.48 AS accepted FROM {RANKED} WHERE rn = 1")
-def similarity_fallback(spark, d):
+def similarity_fallback(spark, d, docs="lang = 'es'"):
     ok = F.col("score") >= 0.48
-    return _best(spark, d).select("item_id", F.when(ok, F.col("doc_id")).otherwise(F.col("item_id")).alias("partner"), ok.alias("accepted"))
+    return _best(spark, d, docs).select("item_id", F.when(ok, F.col("doc_id")).otherwise(F.col("item_id")).alias("partner"), ok.alias("accepted"))
+
+
+@query(f"SELECT item_id, CASE WHEN score >= 0.48 THEN doc_id ELSE item_id END AS partner, score >= 0.48 AS accepted FROM {RANKED_ALL} WHERE rn = 1")
+def similarity_fallback_all(spark, d):
+    return similarity_fallback(spark, d, "true")
 
 
 @query(f"SELECT item_id, count(*) AS near, min(doc_id) AS first_doc FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM (SELECT item_id, doc_id, round(score, 9) AS score FROM {SCORES})) WHERE score >= top - 0.08 GROUP BY 1")
-def assign_with_tolerance(spark, d):
+def assign_with_tolerance(spark, d, docs="lang = 'es'"):
     top = F.max("score").over(Window.partitionBy("item_id"))
-    near = _scores(spark, d).withColumn("score", F.round("score", 9)).withColumn("top", top).where("score >= top - 0.08D")
+    near = _scores(spark, d, docs).withColumn("score", F.round("score", 9)).withColumn("top", top).where("score >= top - 0.08D")
     return near.groupBy("item_id").agg(F.count(F.lit(1)).alias("near"), F.min("doc_id").alias("first_doc"))
 
 
+@query(f"SELECT item_id, count(*) AS near, min(doc_id) AS first_doc FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM (SELECT item_id, doc_id, round(score, 9) AS score FROM {SCORES_ALL})) WHERE score >= top - 0.08 GROUP BY 1")
+def assign_with_tolerance_all(spark, d):
+    return assign_with_tolerance(spark, d, "true")
+
+
 @query(f"""SELECT item_id, first(source ORDER BY rn) AS source FROM (SELECT r.*, nullif(CASE WHEN d.n_chars % 2 = 0 THEN '' ELSE source END, '') AS source FROM {RANKED} r JOIN documents d USING (doc_id)) WHERE rn <= 10 AND source IS NOT NULL GROUP BY 1""")
-def backfill_first_nonnull(spark, d):
-    scored = _scores(spark, d).withColumn("score", F.round("score", 9)).withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 10")
+def backfill_first_nonnull(spark, d, docs="lang = 'es'"):
+    scored = _scores(spark, d, docs).withColumn("score", F.round("score", 9)).withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 10")
     named = scored.join(Tables(spark, d).documents.select("doc_id", F.expr("if(n_chars % 2 = 0, '', source)").alias("source")), "doc_id").where("source <> ''")
     return named.groupBy("item_id").agg(F.min_by("source", "rn").alias("source"))
 
 
+@query(f"""SELECT item_id, first(source ORDER BY rn) AS source FROM (SELECT r.*, nullif(CASE WHEN d.n_chars % 2 = 0 THEN '' ELSE source END, '') AS source FROM {RANKED_ALL} r JOIN documents d USING (doc_id)) WHERE rn <= 10 AND source IS NOT NULL GROUP BY 1""")
+def backfill_first_nonnull_all(spark, d):
+    return backfill_first_nonnull(spark, d, "true")
+
+
 PAIRS = "(SELECT a.doc_id AS a, b.doc_id AS b, substr(a.text, 1, 200) AS x, substr(b.text, 1, 200) AS y FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id = a.doc_id + 20)"
 LIST = "(CASE WHEN length({c}) < {k} THEN []::VARCHAR[] ELSE list_distinct(list_transform(generate_series(1, length({c}) - {k} + 1), lambda i: substr({c}, i, {k}))) END)"
 
@@ -219,9 +252,14 @@ def compose_text(spark, d):
 
 
 @query("SELECT source, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents WHERE lang = 'de' GROUP BY 1")
-def group_to_list(spark, d):
+def group_to_list(spark, d, docs="lang = 'de'"):
     ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return Tables(spark, d).documents.where("lang = 'de'").groupBy("source").agg(F.array_join(ids, ",").alias("ids"))
+    return Tables(spark, d).documents.where(docs).groupBy("source").agg(F.array_join(ids, ",").alias("ids"))
+
+
+@query("SELECT source, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1")
+def group_to_list_all(spark, d):
+    return group_to_list(spark, d, "true")
 
 
 # --- audits

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import merge, similarity as sim
+from lectern.operators import bank, merge, similarity as sim
+from lectern.plans.base import Tables
+from lectern.plans.catalogue import QUERIES
 
 
 def value(spark, column):
@@ -68,3 +70,18 @@ def test_adopted_key_goes_to_the_lowest_twin(spark):
     target = spark.createDataFrame([(1, "s", "o", None), (2, "s", "o", None), (3, "t", "o", "k3")], "id int, stem string, opts string, key string")
     staged = spark.createDataFrame([("s", "o", "n1"), ("s", "o", "n2")], "stem string, opts string, key string")
     assert {r["id"]: r["key"] for r in merge.adopt_keys(target, staged, ["stem", "opts"], "key", "id").collect()} == {1: "n1", 2: None, 3: "k3"}
+
+
+def test_numbers_run_over_ranges(spark):
+    rows = spark.range(100).select((F.col("id") * 37 % 101).alias("k")).repartition(5)
+    ranged = bank.numbered(rows, "k", "n", size=7)
+    assert [r["n"] for r in ranged.orderBy("k").collect()] == list(range(1, 101))
+    assert "SinglePartition" not in ranged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_over_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, parts = Tables(spark, sf).documents.count(), Tables(spark, sf).part.count()
+    assert sum(len(r["ids"].split(",")) for r in QUERIES["group_to_list_all"](spark, sf).collect()) == docs
+    assert max(r["pairs"] for r in QUERIES["dice_multiset_all"](spark, sf).collect()) > Tables(spark, sf).documents.where("lang = 'es'").count()
+    assert QUERIES["option_sequence_all"](spark, sf).count() == QUERIES["json_array_patch_all"](spark, sf).count() == parts
