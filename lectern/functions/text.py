@@ -36,9 +36,14 @@ def compact_text(col: Column) -> Column:
     return F.regexp_replace(normalize_space(col), "(?<=[\\u3400-\\u9fff]) +(?=[\\u3400-\\u9fff])", "")
 
 
+def bare(col: Column) -> Column:
+    """Only digits, ASCII letters and CJK characters."""
+    return F.regexp_replace(col, "[^0-9A-Za-z\\u3400-\\u9fff]", "")
+
+
 def match_key(col: Column) -> Column:
-    """Only digits, ASCII letters (lower-cased) and CJK characters."""
-    return F.lower(F.regexp_replace(col, "[^0-9A-Za-z\\u3400-\\u9fff]", ""))
+    """The same, lower-cased."""
+    return F.lower(bare(col))
 
 
 def label_spacing(col: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import add
@@ -26,9 +27,41 @@ def key_of(text: Column, window: int = WINDOW) -> Column:
 
 
 def grams(key: Column, size: int = 2) -> Column:
-    """All windows of ``size`` characters, in order."""
-    last = F.length(key) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """All windows of ``size`` characters, in order, in one pass over the text."""
+    chars = F.split(F.coalesce(key, F.lit("")), "")
+    out = chars
+    for i in range(1, size):
+        out = F.zip_with(out, F.slice(chars, i + 1, 1 << 30), lambda x, y: F.concat(x, y))
+    return F.filter(out, lambda g: g.isNotNull())
+
+
+def candidates(docs: DataFrame, row_id: str, text: str, size: int = 16, sample: int = 16, most: int = 32) -> DataFrame:
+    """(a, b), a before b: pairs whose match keys share a rare gram, and each copy with the first row of its key.
+
+    Grams of ``size`` characters are sampled by hash (one in ``sample``, and the
+    least hash of each key, so short keys have one too); rare ones lie in
+    at most ``most`` distinct keys. Pairs are joined on grams alone, whatever
+    their ids. Empty keys are similar to nothing.
+    """
+    keyed = docs.select(row_id, match_key(F.col(text)).alias("key")).where("key <> ''")
+    digests = keyed.select(row_id, F.md5("key").alias("h"))
+    first = digests.groupBy("h").agg(F.min(row_id).alias("a"))
+    copies = digests.join(first, "h").where(F.col(row_id) > F.col("a")).select("a", F.col(row_id).alias("b")).distinct()
+    firsts = keyed.join(first.select(F.col("a").alias(row_id)), row_id, "left_semi").select(F.col(row_id).alias("id"), "key")
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, key in enumerate(batch["key"].to_pylist()):
+                all_of = {g: zlib.crc32(g.encode()) for g in {key[i : i + size] for i in range(max(len(key) - size, 0) + 1)}}
+                kept = [g for g, h in all_of.items() if h % sample == 0] + [min(all_of, key=lambda g: (all_of[g], g))]
+                kept = list(dict.fromkeys(kept))
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array([row] * len(kept))), pa.array(kept)], names=["id", "g"])
+
+    spread = firsts.mapInArrow(sampled, T.StructType([T.StructField("id", firsts.schema["id"].dataType), T.StructField("g", T.StringType())]))
+    rare = spread.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select("g")
+    met = spread.join(rare, "g")
+    pairs = met.select("g", F.col("id").alias("a")).join(met.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b").distinct()
+    return pairs.unionByName(copies)
 
 
 def _packed(rows: DataFrame, row_id: str, size: int) -> DataFrame:
@@ -103,11 +136,11 @@ def best_match(scored: DataFrame, row_id: str, *ties: str, least: float | None =
 
 
 def distinctive_overlap(a: Column, b: Column, common: list[str], window: int = 180) -> Column:
-    """Two or more shared bigrams that are not common, or any shared trigram, in the first characters of both."""
-    x, y = F.substring(a, 1, window), F.substring(b, 1, window)
+    """Two or more bigrams that are not common, or any trigram, of a's first characters that b has anywhere."""
+    x = F.substring(a, 1, window)
     stop = F.array(*[F.lit(w) for w in common]).cast("array<string>")
-    two = F.size(F.array_except(F.array_intersect(grams(x), grams(y)), stop))
-    return (two >= 2) | (F.size(F.array_intersect(grams(x, 3), grams(y, 3))) > 0)
+    two = F.size(F.array_except(F.array_intersect(grams(x), grams(b)), stop))
+    return (two >= 2) | (F.size(F.array_intersect(grams(x, 3), grams(b, 3))) > 0)
 
 
 def gram_containment(a: Column, b: Column) -> Column:
@@ -118,6 +151,6 @@ def gram_containment(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block ratio of two texts, on their first 800 characters."""
+    """Matching-block ratio of two match keys, cut by ``key_of``; 0 where one is empty."""
     for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x[:WINDOW], y[:WINDOW]).ratio() if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""))])
+        yield pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""))])

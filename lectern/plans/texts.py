@@ -201,13 +201,35 @@ X30, Y30 = "substr(x, 1, 30)", "substr(y, 1, 30)"
 
 @query(f"SELECT a, b, len(list_filter(list_intersect({LIST.format(c=X30, k=2)}, {LIST.format(c=Y30, k=2)}), lambda g: NOT list_contains(['th', 'he'], g))) >= 2 OR len(list_intersect({LIST.format(c=X30, k=3)}, {LIST.format(c=Y30, k=3)})) > 0 AS near FROM {PAIRS}")
 def distinctive_overlap(spark, d):
-    return _pairs(spark, d).select("a", "b", sim.distinctive_overlap(F.col("x"), F.col("y"), ["th", "he"], 30).alias("near"))
+    return _pairs(spark, d).select("a", "b", sim.distinctive_overlap(F.col("x"), F.substring("y", 1, 30), ["th", "he"], 30).alias("near"))
+
+
+def _similar(spark, d, text):
+    """Candidates with ``text`` of both documents as x and y; the whole-text scores are beyond SQL twins."""
+    docs = Tables(spark, d).documents
+    side = lambda i, x: docs.select(F.col("doc_id").alias(i), text.alias(x))
+    return sim.candidates(docs, "doc_id", "text").join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+
+@query()
+def dice_set_all(spark, d):
+    return _similar(spark, d, fn.bare(F.col("text"))).select("a", "b", F.round(sim.dice_set(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query()
+def gram_containment_all(spark, d):
+    return _similar(spark, d, fn.bare(F.col("text"))).select("a", "b", F.round(sim.gram_containment(F.col("x"), F.col("y")), 6).alias("share"))
+
+
+@query()
+def distinctive_overlap_all(spark, d):
+    return _similar(spark, d, fn.bare(F.col("text"))).select("a", "b", sim.distinctive_overlap(F.col("x"), F.col("y"), ["th", "he"]).alias("near"))
 
 
 @query()
 def seqmatch(spark, d):
-    """Matching-block ratios; difflib has no SQL twin."""
-    return _pairs(spark, d).select("a", "b", F.round(sim.sequence_ratio("x", "y"), 6).alias("ratio"))
+    """Matching-block ratios of candidates' match keys; difflib has no SQL twin."""
+    return _similar(spark, d, sim.key_of(F.col("text"))).select("a", "b", F.round(sim.sequence_ratio("x", "y"), 6).alias("ratio"))
 
 
 @query("SELECT item_id, count(*) AS hits, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 32)) WHERE length(b.text) >= 12 GROUP BY 1")

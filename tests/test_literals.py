@@ -85,3 +85,13 @@ def test_queries_over_whole_tables(spark):
     assert sum(len(r["ids"].split(",")) for r in QUERIES["group_to_list_all"](spark, sf).collect()) == docs
     assert max(r["pairs"] for r in QUERIES["dice_multiset_all"](spark, sf).collect()) > Tables(spark, sf).documents.where("lang = 'es'").count()
     assert QUERIES["option_sequence_all"](spark, sf).count() == QUERIES["json_array_patch_all"](spark, sf).count() == parts
+
+
+def test_similarity_reads_whole_texts(spark):
+    head, tail = "".join(f"{i} alpha " for i in range(60)), "a quite rare closing sentence, seen twice only"
+    docs = spark.createDataFrame([(1, head), (2, "x" * 40 + tail), (57, "other words " * 40 + tail), (90, head.upper()), (91, None), (92, "")], "doc_id long, text string")
+    assert sorted((r["a"], r["b"]) for r in sim.candidates(docs, "doc_id", "text", sample=1).collect()) == [(1, 90), (2, 57)]
+    assert value(spark, sim.distinctive_overlap(F.lit("rare"), F.lit("z" * 500 + "rare"), []))
+    assert not value(spark, sim.distinctive_overlap(F.lit("z" * 180 + "rare"), F.lit("rare"), []))
+    # a letter in over 1 % of 200 characters and more is junk for difflib unless told otherwise
+    assert spark.createDataFrame([("ab" * 300, "ba" * 300)], "x string, y string").select(sim.sequence_ratio("x", "y").alias("r")).first()["r"] > 0.99
