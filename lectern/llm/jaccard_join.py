@@ -1,13 +1,23 @@
 """Near-duplicate join on word 5-grams by chosen paths.
 
 Documents of equal shingle sets form one class, whose links are found once.
-Each class draws, per run, a few tokens of its minhash signature by a seeded
-hash: classes that draw the same token share a bucket. Buckets that are too
-large are split again by tokens drawn anew along the path; what still is large
-at the last level (true groups of near copies) is compared block against block.
-A pair is judged on the whole sets, in the least of its common buckets only, so
-links are counted once and never listed. Runs repeat until a pair at the
-threshold is missed with a probability below ``1 - recall``.
+
+1. Families. One banding pass over the minhash signatures finds large groups of
+   near copies. A family has a representative; from here on it is one node.
+2. Chosen paths. Each run samples pairs of signature tokens by a seeded hash;
+   nodes that share a sampled pair share a bucket (a family's members add their
+   keys once each, together). Buckets that are too large are split by tokens
+   drawn anew along the path. Runs repeat until a pair at the threshold is
+   missed with a probability below ``1 - recall``.
+3. Single classes of a bucket are judged pair by pair on their whole sets, in
+   the least of their common buckets only, so links are counted once and never
+   listed. A single class that meets a family becomes its visitor; families that
+   meet are merged.
+4. In a family every set is held as its difference from the representative's.
+   With ``y`` = (1 + t) * removed + t * size, two sets are linked exactly if
+   ya + yb <= (1 + t) * (size of the representative + common differences).
+   Members are blocked by ``y``: most pairs of blocks are decided by their
+   bounds, without a look at the sets; only the rest meets, as differences.
 """
 
 from __future__ import annotations
@@ -18,15 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.common import settle, split_words, text_of
 
 SIGNATURE, BUCKET, DEPTH = 64, 128, 3
 #: Classes of a large bucket that are compared with as many others in one unit of work.
 BLOCK = 512
-DRAWS = 1.5  # tokens drawn per run and level, on average
+DRAWS = 2.0  # paths of two tokens sampled per run, on average
+CHILDREN = 3.0  # tokens drawn along a path when its bucket is split, on average
+#: Family pass: bands of the signature, values in each, and the classes of a band that make a family.
+BANDS, BAND, FAMILY = 4, 6, 48
+#: Shares of equal signature values: to live in a family, to visit one, and for two families to merge.
+LIVES, VISITS, MERGES = 0.75, 0.2, 0.1
 U64 = np.uint64
 
 
@@ -72,80 +88,98 @@ def _sign(size: int):
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 low = np.array([(s * a).min() for a in scale]) if len(s) else np.zeros(SIGNATURE, U64)
                 signatures.append((mix(low) >> U64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n", "ckey", "sig"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "th", "n", "ckey", "sig"])
 
     return run
 
 
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs until a pair at the threshold shares no drawn token with probability below 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / -(threshold * DRAWS)))
+    """Runs until a pair at the threshold shares no sampled path with probability below 1 - recall."""
+    return max(1, math.ceil(math.log(1 - recall) / -(threshold**2 * DRAWS)))
+
+
+def _tokens(batch: pa.RecordBatch) -> np.ndarray:
+    values = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+    return mix((np.arange(SIGNATURE, dtype=U64) << U64(40)) + values.astype(U64) + U64(1))
 
 
-def _draw(paths: list[int | None], draws: float = DRAWS):
-    """Child keys of each row: tokens of the signature drawn along its path (``key``) or along each run."""
-    limit = U64(int(draws / SIGNATURE * 2**64))
-    place = np.arange(SIGNATURE, dtype=U64) << U64(40)
+def _paths(runs: int):
+    """Keys of the token pairs that the runs sample: each run owns a range of the pairs' hash."""
+    left, right = np.triu_indices(SIGNATURE, 1)
+    limit = U64(min(1.0, runs * DRAWS / len(left)) * (2**64 - 2**12))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cids = batch["cid"].to_numpy()
-            values = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-            tokens = mix(place + values.astype(U64) + U64(1))
-            for path in paths:
-                seed = batch["key"].to_numpy().view(U64)[:, None] if path is None else mix(np.array([[path + 1]], U64))
-                drawn = mix(tokens ^ seed)
-                row, at = np.nonzero(drawn < limit)
-                keys = mix(drawn[row, at] + np.broadcast_to(seed * U64(3), (len(cids), 1))[row, 0]) >> U64(1)  # not negative
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cids[row])], names=["key", "cid"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                tokens = _tokens(batch)
+                pairs = mix(tokens[:, left] * U64(3) ^ tokens[:, right])
+                row, col = np.nonzero(pairs < limit)
+                keys = mix(pairs[row, col]) >> U64(1)  # not negative
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch[c].take(pa.array(row)) for c in ("cid", "node"))], names=["key", "cid", "node"])
 
     return run
 
 
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys one token longer: tokens drawn by a hash of the path so far."""
+    limit = U64(int(CHILDREN / SIGNATURE * 2**64))
+    for batch in batches:
+        seed = batch["key"].to_numpy().view(U64)[:, None]
+        drawn = mix(_tokens(batch) ^ seed)
+        row, col = np.nonzero(drawn < limit)
+        keys = mix(drawn[row, col] + seed[row, 0] * U64(3)) >> U64(1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch[c].take(pa.array(row)) for c in ("cid", "node"))], names=["key", "cid", "node"])
+
+
+def _agree(one: str, other: str) -> Column:
+    """Share of equal values of two signatures."""
+    return sum((F.substring(one, 4 * i + 1, 4) == F.substring(other, 4 * i + 1, 4)).cast("int") for i in range(SIGNATURE)) / SIGNATURE
+
+
+def families_of(classes: DataFrame) -> DataFrame:
+    """(cid, kin): members of large groups of near copies, with the class that represents the group."""
+    bands = [F.xxhash64(F.substring("sig", 1 + 4 * BAND * b, 4 * BAND), F.lit(b)) for b in range(BANDS)]
+    keyed = classes.select("cid", F.explode(F.array(*bands)).alias("band"))
+    heavy = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= FAMILY)
+    best = keyed.join(heavy, "band").groupBy("cid").agg(F.max(F.struct("members", "band")).alias("m")).select("cid", "m.band")
+    placed = best.join(classes.select("cid", "sig"), "cid")
+    first = placed.groupBy("band").agg(F.min("cid").alias("kin"), F.min_by("sig", "cid").alias("first"))
+    return placed.join(first, "band").where(_agree("sig", "first") >= LIVES).select("cid", "kin")
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Buckets of two or more classes; of buckets with the same members one is kept."""
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cid")).alias("who"), F.sum(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30))).alias("sum")).where("members > 1")
+    """Buckets of two or more nodes; of buckets with the same nodes one is kept."""
+    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30))).alias("sum")).where("members > 1")
     return stats.groupBy("members", "who", "sum").agg(F.min("key").alias("key")).select("key", "members")
 
 
-def entries_of(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(key, cid, members): the classes in each bucket, after splitting large buckets up to ``DEPTH`` times."""
-    runs = runs_for(threshold, recall)
-    rows = settle(classes.select("cid", "sig").mapInArrow(_draw(list(range(runs))), "key long, cid long"))
-    parts = []
+def entries_of(placed: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(key, node, family, members): the nodes in each bucket, after splitting large buckets up to ``DEPTH`` times."""
+    kind = "key long, cid long, node long"
+    drawn = lambda rows: rows.select("cid", F.coalesce("kin", "cid").alias("node"), "sig").mapInArrow(_paths(runs_for(threshold, recall)), kind)
+    single, family = drawn(placed.where("kin is null")), drawn(placed.where("kin is not null"))
+    out = None
     for level in range(DEPTH):
+        rows = settle(single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True))))
         found = settle(rows.join(_buckets(rows), "key"))
-        last = level == DEPTH - 1
-        parts.append(found if last else found.where(F.col("members") <= BUCKET))
-        heavy = found.where(F.col("members") > BUCKET)
-        if last or heavy.isEmpty():
-            break
-        # near copies share nearly all tokens: splitting them again would only multiply buckets
-        kept = settle(_tight(heavy, classes))
-        parts.append(_families(heavy.join(kept.where("tight").select("key"), "key")))
-        loose = heavy.join(kept.where("not tight").select("key"), "key")
-        rows = settle(loose.join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig").mapInArrow(_draw([None], 2 * DRAWS), "key long, cid long"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+        heavy = found.where(F.col("members") > BUCKET).select("key").distinct()
+        last = level == DEPTH - 1 or heavy.isEmpty()
+        part = found if last else found.where(F.col("members") <= BUCKET)
+        out = part if out is None else out.unionByName(part)
+        if last:
+            return out
+        longer = lambda rows, heavy=heavy: rows.join(heavy, "key").join(placed.select("cid", "sig"), "cid").mapInArrow(_children, kind)
+        single, family = longer(single), longer(family)
     return out
 
 
-def _families(rows: DataFrame) -> DataFrame:
-    """One bucket in place of all buckets of near copies that have members in common."""
-    low = rows.groupBy("cid").agg(F.min("key").alias("low"))
-    roots = components(rows.join(low, "cid").select(F.col("low").alias("a"), F.col("key").alias("b")))
-    whole = settle(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select((-F.coalesce("root", "key") - 1).alias("key"), "cid").distinct())  # negative: before all drawn keys
-    return whole.join(whole.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
-
-
-def _tight(heavy: DataFrame, classes: DataFrame, share: float = 0.4) -> DataFrame:
-    """Whether the members of a bucket agree with one of them in most of their signatures (a group of near copies)."""
-    places = range(0, SIGNATURE, 4)
-    probe = heavy.join(classes.select("cid", "sig"), "cid").select("key", "cid", "sig")
-    one = probe.groupBy("key").agg(F.min_by("sig", "cid").alias("first"))
-    same = sum((F.substring("sig", 4 * i + 1, 4) == F.substring("first", 4 * i + 1, 4)).cast("int") for i in places)
-    return probe.join(one, "key").groupBy("key").agg((F.avg(same) / len(places) >= share).alias("tight"))
+def meetings(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(kin, node, family): nodes that share a bucket with a family and have a signature near enough."""
+    kin = entries.where("family").select("key", F.col("node").alias("kin"))
+    pairs = kin.join(entries.select("key", "node", "family"), "key").where("kin <> node").select("kin", "node", "family").distinct()
+    signed = pairs.join(classes.select(F.col("cid").alias("node"), "sig"), "node").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
+    return signed.where(_agree("sig", "first") >= F.when(F.col("family"), MERGES).otherwise(VISITS)).select("kin", "node", "family")
 
 
 def _units(entries: DataFrame) -> DataFrame:
@@ -230,9 +264,7 @@ def _verify(threshold: float):
                 for i, j in zip(*np.nonzero(np.triu(near & ~counted))):
                     counted[i, j] = counted[j, i] = min(buckets[i] & buckets[j]) == row["key"]
                 links = counted @ size
-                label, before = np.arange(len(members)), None
-                while before is None or (label != before).any():
-                    before, label = label, np.minimum(label, np.where(near, label[None, :], len(members)).min(axis=1))
+                label = _labels(near)
                 for i in np.flatnonzero(label != np.arange(len(members))):
                     a_out.append(members[label[i]]["cid"]), b_out.append(members[i]["cid"]), links_out.append(0)
                 for i in np.flatnonzero(links):
@@ -260,6 +292,110 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _differ(threshold: float):
+    """Each participant's difference from the set of its family's representative."""
+    names = ["kin", "cid", "size", "lives", "n", "removed", "d", "whole", "y", "diff"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, base in zip(batch["set"], batch["base"]):
+                own, base = (np.frombuffer(x.as_py(), U64) for x in (own, base))
+                diff = np.setxor1d(own, base, assume_unique=True)
+                removed = (len(diff) + len(base) - len(own)) // 2
+                out.append((len(own), removed, len(diff), len(base), (1 + threshold) * removed + threshold * len(own), diff.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:4]), *(pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds))], names=names)
+
+    return run
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The least row linked with each row, directly or through others."""
+    label, before = np.arange(len(near)), None
+    while before is None or (label != before).any():
+        before, label = label, np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+    return label
+
+
+def _match(threshold: float):
+    """Links between two blocks of a family (or in one), on differences: (a, b, links of a), as in ``_verify``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                one, other = row["one"], row["other"] or []
+                both = one + other
+                c = overlaps([np.frombuffer(m["diff"], U64) for m in both])
+                n, removed, size = (np.array([m[f] for m in both], float) for f in ("n", "removed", "size"))
+                shared = row["whole"] - removed[:, None] - removed[None, :] + c
+                near = shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-9
+                np.fill_diagonal(near, False)
+                if other:
+                    near[: len(one), : len(one)] = False
+                    near[len(one) :, len(one) :] = False
+                links, label, cids = near @ size, _labels(near), np.array([m["cid"] for m in both])
+                tied, some = np.flatnonzero(label != np.arange(len(both))), np.flatnonzero(links)
+                a = pa.array(np.concatenate([cids[label[tied]], cids[some]]))
+                b = pa.array(np.concatenate([cids[tied], cids[some]]), mask=np.arange(len(a)) >= len(tied))
+                counts = pa.array(np.concatenate([np.zeros(len(tied)), links[some]]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([a, b, counts], names=["a", "b", "links"])
+
+    return run
+
+
+def family_links(participants: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links) in families: b is set for edges that connect what is linked, links of a class come in parts.
+
+    ``participants`` has kin, cid and lives (members; not visitors). Visitors are not compared with each other here.
+    """
+    base = sets.select(F.col("cid").alias("kin"), F.col("set").alias("base"))
+    kind = "kin long, cid long, size long, lives boolean, n long, removed long, d long, whole long, y double, diff binary"
+    parts = settle(participants.join(sets, "cid").join(base, "kin").select("kin", "cid", "size", "lives", "set", "base").mapInArrow(_differ(threshold), kind))
+    full = (1 + threshold) * F.col("whole")
+    level = F.least(F.lit(63), F.floor(32 * F.col("y") / full)).cast("int")
+    # blocks by y, from counts per level: at most 64 rows a family, no sort of members
+    counts = parts.groupBy("kin", "lives", level.alias("level")).agg(F.count(F.lit(1)).alias("count"))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("kin", "lives").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.select("kin", "lives", "level", F.floor(before / BLOCK).alias("from"), F.ceil(F.col("count") / BLOCK).alias("spread"))
+    member = F.struct("cid", "size", "n", "removed", "diff")
+    block = (F.col("from") + F.pmod(F.xxhash64("cid"), F.col("spread"))).alias("block")
+    blocks = settle(
+        parts.withColumn("level", level).join(spans, ["kin", "lives", "level"]).select("*", block)
+        .groupBy("kin", "lives", "block").agg(F.collect_list(member).alias("members"), F.first("whole").alias("whole"), F.min("y").alias("low"), F.max("y").alias("high"), F.max("d").alias("d"), F.sum("size").alias("weight"))
+    )
+    bounds = blocks.drop("members")
+    other = bounds.select("kin", *[F.col(c).alias(f"o_{c}") for c in ("lives", "block", "low", "high", "d", "weight")])
+    ordered = ~F.col("o_lives") | (F.col("o_block") >= F.col("block"))
+    pairs = bounds.where("lives").join(other, "kin").where(ordered)
+    none = F.col("low") + F.col("o_low") > full + (1 + threshold) * F.least("d", "o_d") + 1e-6
+    sure = F.col("high") + F.col("o_high") <= full - 1e-6
+    judged = settle(pairs.where(~none).withColumns({"sure": sure, "same": F.col("o_lives") & (F.col("block") == F.col("o_block"))}).drop("low", "high", "d", "o_low", "o_high", "o_d"))
+    # sure pairs: every member gets the weight of the other block (its own class apart, where the blocks are one)
+    certain = judged.where("sure")
+    ours = certain.select("kin", "lives", "block", F.col("o_weight").alias("more"), F.col("same").cast("int").alias("own"))
+    theirs = certain.where("not same").select("kin", F.col("o_lives").alias("lives"), F.col("o_block").alias("block"), F.col("weight").alias("more"), F.lit(0).alias("own"))
+    granted = ours.unionByName(theirs).groupBy("kin", "lives", "block").agg(F.sum("more").alias("more"), F.max("own").alias("own"))
+    given = blocks.join(granted, ["kin", "lives", "block"]).select(F.explode("members").alias("m"), "more", "own").select(F.col("m.cid").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("more") - F.col("own") * F.col("m.size")).alias("links"))
+    # the others meet
+    open_pairs = judged.where("not sure").select("kin", "block", "o_lives", "o_block", "whole", "same")
+    one = blocks.where("lives").select("kin", "block", F.col("members").alias("one"))
+    two = blocks.select("kin", F.col("lives").alias("o_lives"), F.col("block").alias("o_block"), F.col("members").alias("two"))
+    met = open_pairs.join(one, ["kin", "block"]).join(two, ["kin", "o_lives", "o_block"])
+    found = met.select("whole", "one", F.when(~F.col("same"), F.col("two")).alias("other")).mapInArrow(_match(threshold), "a long, b long, links long")
+    # what is linked with the representative hangs together through it, sure pairs among them
+    spokes = parts.where((F.col("y") <= F.col("whole") + 1e-6) & (F.col("cid") != F.col("kin"))).select(F.col("kin").alias("a"), F.col("cid").alias("b"), F.lit(0).cast("long").alias("links"))
+    return found.unionByName(given).unionByName(spokes)
+
+
+def single_links(entries: DataFrame, active: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links) among single classes, from the units with likely partners (``active``)."""
+    keys = entries.groupBy(F.col("node").alias("cid")).agg(F.collect_set("key").alias("keys"))
+    full = active.join(sets, "cid").join(keys, "cid")
+    member = F.struct("cid", "own", "size", "set", "keys")
+    return full.groupBy("key", "b1", "b2").agg(F.collect_list(member).alias("members")).mapInArrow(_verify(threshold), "a long, b long, links long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999999) -> DataFrame:
     """doc_id, class_id, class_size, n_links, group_id of every row.
 
@@ -270,54 +406,86 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     doc_id of the rows linked directly or through others.
 
     Rows without a word (null, empty, blank) form no links: each is a class and
-    group of its own. Repeated rows are copies like any other. Rows with a null doc_id
-    join the class of their set; a class of null ids only is not linked.
+    group of its own. Repeated rows are copies like any other. Rows with a null
+    doc_id join the class of their set; the class_id and group_id of rows that
+    are linked with null ids only are null, their links count. Empty tables give
+    empty results. Only ``doc_id`` and ``text`` are read, other columns may have
+    any name.
     """
-    signed = settle(word_hashes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(_sign(size), "doc_id long, n long, ckey binary, sig binary"))
-    worded = signed.where("n > 0").withColumn("cid", F.xxhash64("ckey"))
-    classes = settle(worded.groupBy("cid").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    return _near_duplicates(docs, threshold, size, recall).select("doc_id", "class_id", "class_size", "n_links", "group_id")
+
 
-    entries = settle(entries_of(classes, threshold, recall))
+def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float) -> DataFrame:
+    """As ``near_duplicates``, with th (hash of the text), cid (class; null without a word) and root (group)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64(text_of("text")))
+    signed = settle(word_hashes(docs, "doc_id", "th").mapInArrow(_sign(size), "doc_id long, th long, n long, ckey binary, sig binary"))
+    worded = signed.where("n > 0").withColumn("cid", F.xxhash64("ckey"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
+    classes = settle(worded.groupBy("cid").agg(one.alias("one"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("cid", F.col("one.doc_id").alias("class_id"), F.col("one.th").alias("th"), "size", "n", "sig"))
+
+    placed = settle(classes.select("cid", "sig").join(families_of(classes), "cid", "left"))
+    entries = settle(entries_of(placed, threshold, recall))
+    met = settle(meetings(entries, classes))
+    roots = components(met.where("family").select(F.col("kin").alias("a"), F.col("node").alias("b"))).select(F.col("node").alias("kin"), "root")
+    rooted = lambda rows: rows.join(roots, "kin", "left").select(F.coalesce("root", "kin").alias("kin"), "cid")
+    lives = rooted(placed.where("kin is not null").select("cid", "kin")).withColumn("lives", F.lit(True))
+    visits = rooted(met.where("not family").select("kin", F.col("node").alias("cid"))).distinct().withColumn("lives", F.lit(False))
+    participants = settle(lives.unionByName(visits))
+
+    single = entries.where("not family").select("key", F.col("node").alias("cid"), "members")
     member = F.struct("cid", "own", "n", "sig")
     sketched = (
-        _units(entries).join(classes.select("cid", "n", "sig"), "cid")
+        _units(single).join(classes.select("cid", "n", "sig"), "cid")
         .groupBy("key", "b1", "b2").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
         .mapInArrow(_sketch(threshold), "key long, cid long, b1 int, b2 int, own int")
     )
     active = settle(sketched)
-    wanted = active.select("cid").distinct().join(classes.select("cid", "class_id", "size"), "cid")
+    wanted = active.select("cid").unionByName(participants.select("cid")).distinct().join(classes.select("cid", "class_id", "th", "size"), "cid")
     sets = settle(_sets_of(docs, wanted, size))
-    keys = entries.groupBy("cid").agg(F.collect_set("key").alias("keys"))
-    full = active.join(sets, "cid").join(keys, "cid")
-    verified = settle(
-        full.groupBy("key", "b1", "b2").agg(F.collect_list(F.struct("cid", "own", "size", "set", "keys")).alias("members"))
-        .mapInArrow(_verify(threshold), "a long, b long, links long")
-    )
+    verified = settle(single_links(single.withColumnRenamed("cid", "node"), active, sets, threshold).unionByName(family_links(participants, sets, threshold)))
+
     links = verified.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
-    roots = components(verified.where("b is not null"))
-    named = roots.join(classes.select(F.col("cid").alias("node"), "class_id"), "node")
-    groups = named.join(named.groupBy("root").agg(F.min("class_id").alias("group_id")), "root").select(F.col("node").alias("cid"), "group_id")
-    info = classes.select("cid", "class_id", "size").join(links, "cid", "left").join(groups, "cid", "left")
-    out = worded.select("doc_id", "cid").join(info, "cid").select(
-        "doc_id", "class_id", F.col("size").alias("class_size"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
+    groups = components(verified.where("b is not null"))
+    info = classes.select("cid", "class_id", "size").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = info.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    out = worded.select("doc_id", "th", "cid").join(info.join(least, "root"), "cid").select(
+        "doc_id", "class_id", F.col("size").alias("class_size"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group_id", "th", "cid", "root"
     )
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"))
+    none = F.lit(None).cast("long")
+    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "th", none.alias("cid"), none.alias("root"))
     return out.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999999) -> DataFrame:
+    """The rows of ``docs``, with one row of each group of near duplicates: that of the least doc_id.
+
+    Null ids come after all others; where rows repeat an id, the least text hash stays.
+    Of rows repeated as a whole one stays. Every row without a word stays.
+    All columns pass through; names that begin with ``_`` are reserved.
+    """
+    groups = _near_duplicates(docs, threshold, size, recall)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")
+    least = groups.where("cid is not null").groupBy("root").agg(F.min(order).alias("one"))
+    stay = least.select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.nameless").alias("_nameless"), F.col("one.th").alias("_th"))
+    text, doc_id = text_of("text"), F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"_id": F.coalesce(doc_id, F.lit(0)), "_nameless": doc_id.isNull(), "_th": F.xxhash64(text), "_blank": ~text.rlike("[^\\x20\\x09-\\x0D]")})
+    rows = keyed.where("not _blank").join(stay.hint("shuffle_hash"), ["_id", "_nameless", "_th"], "left_semi")
+    copies = Window.partitionBy("_id", "_nameless", "_th").orderBy(*[c for c in docs.columns if c != "text" and dict(docs.dtypes)[c] in ("string", "bigint", "int")] or ["_id"])
+    first = rows.withColumn("_row", F.row_number().over(copies)).where("_row = 1")
+    return first.select(docs.columns).unionByName(keyed.where("_blank").select(docs.columns))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, size, set) of the wanted classes, from their documents."""
+    """(cid, size, set) of the wanted classes, from the row that names each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(w, size).tobytes() for w in _lists(batch["w"])]
-            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch["cid"], batch["size"], pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["cid", "size", "ckey", "set"])
+            yield pa.RecordBatch.from_arrays([batch["cid"], batch["size"], pa.array(sets, pa.binary())], names=["cid", "size", "set"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("class_id", "doc_id"), "doc_id")
-    found = word_hashes(named, "cid", "size").mapInArrow(run, "cid long, size long, ckey binary, set binary")
-    # rows that repeat a doc_id may bring other texts along: the class's own set is told by its hash
-    return found.where(F.xxhash64("ckey") == F.col("cid")).dropDuplicates(["cid"]).drop("ckey")
+    named = docs.alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.class_id"))).select("cid", "size", "text")
+    # rows that repeat a document as a whole bring the same set
+    return word_hashes(named, "cid", "size").mapInArrow(run, "cid long, size long, set binary").dropDuplicates(["cid"])
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
