@@ -8,8 +8,9 @@ vote). A logistic classifier is trained on its posterior labels and scores the
 whole text of every document.
 
 Fitting reads a bounded sample of rows (``max_rows`` of each kind, chosen by a
-hash of ``doc_id``); scoring reads everything. Labels of held-out rows
-(crc32(doc_id as text) mod 5 = 0) are never read.
+hash of ``doc_id``); scoring reads everything. Held-out rows
+(crc32(doc_id as text) mod 5 = 0) take no part in fitting: neither their labels
+nor their texts.
 """
 
 from __future__ import annotations
@@ -113,29 +114,54 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + votes @ yes + (1 - votes) @ no
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, smooth: float = 0.5) -> tuple[LabelModel, np.ndarray]:
-    """The label model and posterior labels of all sampled rows (``labels``: 1, 0, or nan where unknown).
+@dataclass
+class Hits:
+    """The sampled rows' votes, sparse: label (1, 0, nan where unknown) and the voters hit, with counts."""
+
+    labels: np.ndarray
+    sizes: np.ndarray
+    at: np.ndarray
+    counts: np.ndarray
+    width: int
+
+    def blocks(self, rows: int = 1024) -> Iterator[tuple[slice, np.ndarray]]:
+        """Dense counts of a few rows at a time: the whole matrix is never held."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        for i in range(0, len(self.labels), rows):
+            j = min(i + rows, len(self.labels))
+            out, here = np.zeros((j - i, self.width)), slice(ends[i], ends[j])
+            out[np.repeat(np.arange(j - i), self.sizes[i:j]), self.at[here]] = self.counts[here]
+            yield slice(i, j), out
+
+
+def fit_label_model(hits: Hits, rounds: int = 8, smooth: float = 0.5) -> tuple[LabelModel, np.ndarray]:
+    """The label model and posterior labels of all sampled rows.
 
     A known label counts as one more voter, right with probability 0.98.
     """
-    known = ~np.isnan(labels)
-    fired = votes.any(axis=1)
-    post = np.where(known, labels, np.where(fired, 0.9, 0.02))
+    labels, known = hits.labels, ~np.isnan(hits.labels)
+    post = np.where(known, labels, np.where(hits.sizes > 0, 0.9, 0.02))
     said = np.where(known, np.where(labels == 1, np.log(49.0), -np.log(49.0)), 0.0)
-    weight, model = np.ones(votes.shape[1]), None
+    model = None
     for _ in range(rounds):
         n1, n0 = post.sum(), (1 - post).sum()
-        on_toxic = (post @ votes + smooth) / (n1 + 2 * smooth + 1)
-        on_clean = ((1 - post) @ votes + smooth / 10) / (n0 + 1)
+        fired1, fired0, both = np.zeros(hits.width), np.zeros(hits.width), np.zeros((hits.width, hits.width))
+        for here, counts in hits.blocks():
+            votes = (counts > 0).astype(float)
+            fired1 += post[here] @ votes
+            fired0 += (1 - post[here]) @ votes
+            both += (votes * post[here, None]).T @ votes
+        on_toxic = (fired1 + smooth) / (n1 + 2 * smooth + 1)
+        on_clean = (fired0 + smooth / 10) / (n0 + 1)
         # correlation given the label: co-firing beyond what the rates explain
-        both = (votes * post[:, None]).T @ votes / max(n1, 1.0)
         spread = np.sqrt(on_toxic * (1 - on_toxic))
-        tied = (both - np.outer(on_toxic, on_toxic)) / np.maximum(np.outer(spread, spread), 1e-9)
+        tied = (both / max(n1, 1.0) - np.outer(on_toxic, on_toxic)) / np.maximum(np.outer(spread, spread), 1e-9)
         np.fill_diagonal(tied, 1.0)
         weight = 1.0 / np.maximum(np.where(tied > 0.3, tied, 0.0).sum(axis=1), 1.0)
         prior = float(np.clip(post.mean(), 0.005, 0.5))
         model = LabelModel(np.clip(on_toxic, 1e-5, 1 - 1e-5), np.clip(on_clean, 1e-6, 1 - 1e-6), weight, prior)
-        post = 1 / (1 + np.exp(-np.clip(model.log_odds(votes) + said, -30, 30)))
+        odds = np.concatenate([model.log_odds((counts > 0).astype(float)) for _, counts in hits.blocks()])
+        post = 1 / (1 + np.exp(-np.clip(odds + said, -30, 30)))
     return model, post
 
 
@@ -146,15 +172,18 @@ def _inputs(counts: np.ndarray, yes: np.ndarray, lexicon: int) -> np.ndarray:
     return np.concatenate([damped, np.stack(sums, axis=1)], axis=1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
+def fit_logistic(hits: Hits, yes: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps."""
-    xb = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, ridge = np.zeros(xb.shape[1]), np.full(xb.shape[1], l2)
+    width = hits.width + 4
+    w, ridge = np.zeros(width), np.full(width, l2)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
-        gradient = xb.T @ (p - y) + ridge * w
-        hessian = (xb * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ xb + np.diag(ridge)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for here, counts in hits.blocks():
+            x = np.concatenate([_inputs(counts, yes, len(LEXICON)), np.ones((len(counts), 1))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (p - y[here])
+            hessian += (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
@@ -193,12 +222,19 @@ def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     rest = _share(docs.count(), max_rows)
     picked = docs.select("doc_id", text_of("text").alias("text"))
     labelled = picked.join(F.broadcast(chosen), "doc_id")  # about 2 * max_rows ids and flags
-    plain = picked.where(held_out(F.col("doc_id")) & (draw < rest)).withColumn("toxic", F.lit(None).cast("int"))
+    marked = known.where(draw < rest).select("doc_id")  # about max_rows ids
+    plain = picked.where(~held_out(F.col("doc_id")) & (draw < rest)).join(marked, "doc_id", "left_anti").withColumn("toxic", F.lit(None).cast("int"))
     return labelled.select("text", F.col("toxic").cast("int").alias("toxic")).unionByName(plain.select("text", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classifier:
-    """Mine voters, fit the label model and train the classifier on its posterior labels."""
+    """Mine voters, fit the label model and train the classifier on its posterior labels.
+
+    ``docs`` has doc_id and text, ``labels`` doc_id and toxic (null: not
+    labelled). Held-out rows take no part, labelled or not. Labels that repeat
+    a doc_id count as toxic if one of them is. Null ids have no label; null texts are
+    empty. Without labels, or without documents, the lexicon alone votes.
+    """
     sample = settle(sample_rows(docs, labels, max_rows))
     voters = Voters(mine_voters(sample))
     names, m = voters.features, len(voters.features)
@@ -207,29 +243,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classif
         own = Voters(names)
         for batch in batches:
             hits = [own.hits(x) for x in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([list(h) for h in hits], pa.list_(pa.int32())), pa.array([list(h.values()) for h in hits], pa.list_(pa.int32()))], names=["toxic", "at", "n"])
-
-    rows = sample.mapInArrow(votes_of, "toxic int, at array<int>, n array<int>").collect()  # about 3 * max_rows rows
-    counts, labels_of = np.zeros((len(rows), m), np.float32), np.full(len(rows), np.nan)
-    for i, r in enumerate(rows):
-        counts[i, r["at"]] = r["n"]
-        if r["toxic"] is not None:
-            labels_of[i] = r["toxic"]
-    if not len(rows):
+            flat = lambda lists, kind: np.fromiter((x for one in lists for x in one), kind).tobytes()
+            parts = [np.array([np.nan if x is None else x for x in batch["toxic"].to_pylist()], np.float32).tobytes(), np.array([len(h) for h in hits], np.int32).tobytes(), flat(hits, np.int32), flat((h.values() for h in hits), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["labels", "sizes", "at", "counts"])
+
+    packed = sample.mapInArrow(votes_of, "labels binary, sizes binary, at binary, counts binary").collect()  # a row a batch: about 3 * max_rows texts' hits
+    joined = {c: np.frombuffer(b"".join(r[c] for r in packed), np.float32 if c == "labels" else np.int32) for c in ("labels", "sizes", "at", "counts")}
+    hits = Hits(joined["labels"].astype(float), joined["sizes"], joined["at"], joined["counts"], m)
+    if not len(hits.labels):
         return Classifier(names, np.ones(m), np.concatenate([np.ones(m), np.zeros(3)]), -2.0)
-    model, post = fit_label_model((counts > 0).astype(float), labels_of)
-    yes = np.log(model.on_toxic / model.on_clean) * model.weight
-    yes = np.maximum(yes, 0.0)
-    weights, bias = fit_logistic(_inputs(counts, yes, len(LEXICON)), post)
+    model, post = fit_label_model(hits)
+    yes = np.maximum(np.log(model.on_toxic / model.on_clean) * model.weight, 0.0)
+    weights, bias = fit_logistic(hits, yes, post)
     return Classifier(names, yes, weights, bias)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
-    Every whole text is scored, null as empty; repeated rows score alike.
+    Every whole text is scored, null as empty; repeated rows score alike, and an
+    empty table gives an empty one. Columns of these two names are replaced.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    docs = docs.select(*names)
     schema = docs.select(*names).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +278,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def op4_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every row; nulls, repeats and empty tables as in ``fit`` and ``score``."""
     docs = docs.select("doc_id", "text")
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
