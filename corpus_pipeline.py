@@ -30,10 +30,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near duplicates."""
-    groups = jaccard_join.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return _shaped(docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi"))
+    """The document of the least doc_id of each group of near duplicates; documents without a word stay."""
+    return _shaped(jaccard_join.one_of_each(docs.select(*COLUMNS)))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
