@@ -1,21 +1,23 @@
 """Substring dedup: repeated passages by prefix-partitioned suffix trees.
 
-A suffix tree over words finds passages that repeat; only nodes at least
-``size`` words deep matter, so suffixes are cut at ``size`` words. Three passes:
-
-1. Each window of ``size`` words is represented by its minimizer, the least
-   hash among its short word runs. A window can repeat only if its minimizer
-   does, which keeps most suffixes out of the trees.
-2. The suffixes left are split by variable-length prefixes: a prefix goes on
-   until it holds a few words that are not common, so that no group of suffixes
-   is larger than a task can hold. Sorted by path (prefix, whole window), each
-   group is a subtree whose deep internal nodes are runs of equal paths; all
-   leaves but the earliest are repeats.
-3. Words covered by a repeat are taken out of their documents.
-
-Every task merges equal minimizers and equal suffixes of its own documents
-before the shuffle, so a passage found in very many documents travels once per
-task, not once per document.
+Texts are sequences of word codes. A passage of ``size`` words that repeats ends
+in a tree node at least ``size`` words deep, so suffixes are cut at ``size`` words.
+
+1. Anchors. Each suffix of ``size`` words has an anchor, the least hash among its
+   short word runs. A suffix can repeat only if its anchor does: documents learn
+   which of their anchors are met elsewhere, all other suffixes stay out.
+2. Partitioning. Neighbouring suffixes with one anchor travel as one stretch of
+   words to the group of that anchor. Where an anchor would gather more stretches
+   than a task should hold, the prefix that splits its suffixes grows to all
+   ``size`` words, so only equal suffixes still meet.
+3. Trees. A group's suffixes are sorted word by word; the lengths of the common
+   prefixes of neighbours are the depths of the inner nodes. Leaves under a node
+   ``size`` or more deep repeat each other: the earliest stays. Neighbouring
+   repeats make up the maximal ones.
+4. Words covered by a repeat are taken out of their documents.
+
+Every task merges equal stretches of its own documents before the shuffle, so a
+passage found in very many documents travels once per batch, not once per document.
 """
 
 from __future__ import annotations
@@ -24,20 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import sha256_text, split_words, text_of
+from lectern.llm.common import settle, sha256_text, split_words, text_of
 from lectern.llm.jaccard_join import mix
 
 U64 = np.uint64
-SIZE, RUN, RARE_WORDS = 20, 6, 4
-COMMON_WORDS, COMMON_DOCS = 512, 2000
+SIZE, RUN = 20, 6
+#: Stretches of an anchor beyond which its suffixes are split by all their words.
+GROUP = 20_000
+#: Stretches whose trees are built together.
+AT_ONCE = 20_000
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 2**64))
-#: Suffixes that a task merges at a time.
-MERGE_AT_ONCE = 2_000_000
+NONE = -(2**63)
 
 
 def _ranges(words: np.ndarray):
@@ -74,13 +78,6 @@ def _slide(values: np.ndarray, wide: int, pick) -> np.ndarray:
     return values
 
 
-def minimizers(words: np.ndarray, starts: np.ndarray, size: int, run: int) -> np.ndarray:
-    """For each window the least hash among its runs of ``run`` words."""
-    if not len(starts):
-        return np.empty(0, U64)
-    return _slide(_ranges(words)(np.arange(len(words) - run + 1), run), size - run + 1, np.minimum)[starts]
-
-
 def anchors(words: np.ndarray, edges: np.ndarray, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and flat place of all word runs that are the minimizer of some window; equal neighbours count apart."""
     starts, _ = window_starts(edges, size)
@@ -95,152 +92,222 @@ def anchors(words: np.ndarray, edges: np.ndarray, size: int, run: int) -> tuple[
 
 
 def _anchors(size: int, run: int):
-    """(key, did, value): minimizers of a batch. A value met twice here is known to repeat: its documents get rows
-    of their own keys, with the value beside, and one row keyed by the value tells the other tasks."""
+    """(key, did, tid, value, n): anchors of a batch. A value met twice here is known to repeat: its documents get
+    rows of their own keys, with the value beside; one row keyed by the value, with its count, tells the other tasks."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, edges = _flat(batch["w"])
             least, rows, _ = anchors(words, edges, size, run)
-            did = batch["did"].to_numpy()[rows]
             order = np.argsort(least, kind="stable")
-            least, did = least[order], did[order]
+            least, rows = least[order], rows[order]
             first = np.ones(len(least), bool)
             first[1:] = least[1:] != least[:-1]
-            twice = np.zeros(len(least), bool)
-            twice[1:] |= ~first[1:]
-            twice[:-1] |= ~first[1:]
-            known = np.flatnonzero(twice)
-            pairs = np.unique(np.stack([least[known].view(np.int64), did[known]]), axis=1) if len(known) else np.empty((2, 0), np.int64)
-            own = mix(mix(pairs[1].view(U64)) ^ pairs[0].view(U64)).view(np.int64)
-            keys, ids = np.concatenate([least[first].view(np.int64), own]), np.concatenate([did[first], pairs[1]])
-            values = pa.array(np.concatenate([np.zeros(int(first.sum()), np.int64), pairs[0]]), mask=np.arange(len(keys)) < int(first.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), values], names=["key", "did", "value"])
+            heads = np.flatnonzero(first)
+            counts = np.diff(np.append(heads, len(least)))
+            known = np.repeat(counts, counts) > 1
+            pairs = np.unique(np.stack([least[known].view(np.int64), rows[known]]), axis=1) if known.any() else np.empty((2, 0), np.int64)
+            own = mix(mix(pairs[1].astype(U64) + U64(hash(batch["did"][0].as_py()) & 0xFFFFFFFF)) ^ pairs[0].view(U64)).view(np.int64) if pairs.size else pairs[0]
+            at = np.concatenate([rows[heads], pairs[1]])
+            told = np.arange(len(at)) < len(heads)
+            values = pa.array(np.concatenate([np.zeros(len(heads), np.int64), pairs[0]]), mask=told)
+            n = pa.array(np.concatenate([counts, np.zeros(pairs.shape[1], np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([least[heads].view(np.int64), own])), *(batch[c].take(pa.array(at)) for c in ("did", "tid")), values, n], names=["key", "did", "tid", "value", "n"])
 
     return emit
 
 
-def _suffixes(size: int, run: int, common: np.ndarray):
-    """(prefix, path, did, start, gone): the earliest suffix of each path here; starts of later ones as ``gone``."""
-
-    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        prefix, path, did, start = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, did, path, prefix))
-        prefix, path, did, start = (x[order] for x in (prefix, path, did, start))
-        head = np.ones(len(path), bool)
-        head[1:] = (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        later = (did != did[lead]) | (start != start[lead])
-        k = int(head.sum())
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[head].view(np.int64)), pa.array(path[head].view(np.int64)), pa.array(did[head]), pa.array(start[head], pa.int32()), pa.nulls(k, pa.binary())], names=["prefix", "path", "did", "start", "gone"])
-        if later.any():
-            ids, at = did[later], start[later]
-            by_doc = np.argsort(ids, kind="stable")
-            ids, at = ids[by_doc], at[by_doc].astype(np.int32)
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            blobs = [x.tobytes() for x in np.split(at, cuts)]
-            heads = ids[np.concatenate([[0], cuts])]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(heads.view(U64)).view(np.int64)), pa.nulls(len(heads), pa.int64()), pa.array(heads), pa.nulls(len(heads), pa.int32()), pa.array(blobs, pa.binary())], names=["prefix", "path", "did", "start", "gone"])
+def _binaries(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary array of pieces of ``flat``, of ``lengths`` items each."""
+    ends = np.concatenate([[0], np.cumsum(lengths) * flat.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+STRETCHES = "key long, k int, did long, tid int, start int, words binary, gone binary"
+FOUND = "did long, tid int, gone binary"
+
+
+def _stretches(size: int, run: int):
+    """Stretches of neighbouring suffixes that share a repeated anchor, merged where equal; starts of all but the
+    earliest of equal ones come as ``gone``. ``k`` is their number, 0 where the prefix is the whole suffix."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
         for batch in batches:
             words, edges = _flat(batch["w"])
             starts, rows = window_starts(edges, size)
-            if not len(starts):
-                continue
-            least = minimizers(words, starts, size, run)
-            wanted, wanted_edges = _flat(batch["vals"])
-            owner = np.repeat(np.arange(len(edges) - 1), np.diff(wanted_edges))
-            # a window stays if its minimizer is among its document's repeated ones
-            tag = mix(wanted ^ mix(owner.astype(U64)))
-            live = np.isin(mix(least ^ mix(rows.astype(U64))), tag)
-            starts, rows = starts[live], rows[live]
             if not len(starts):
                 continue
             ranges = _ranges(words)
-            rare = np.concatenate([[0], np.cumsum(~np.isin(words, common))])
-            reach = np.searchsorted(rare, rare[starts] + RARE_WORDS)
-            length = np.clip(reach - starts, RARE_WORDS, size)
-            parts.append((ranges(starts, length), ranges(starts, np.full(len(starts), size)), batch["did"].to_numpy()[rows], starts - edges[:-1][rows]))
-            held += len(starts)
-            if held >= MERGE_AT_ONCE:
-                yield from flush(parts)
-                parts, held = [], 0
-        if parts:
-            yield from flush(parts)
+            every = ranges(np.arange(len(words) - run + 1), run)
+            anchor = _slide(np.arange(len(every)), size - run + 1, lambda a, b: np.where(every[a] <= every[b], a, b))[starts]
+            tag = mix(every[anchor] ^ mix(rows.astype(U64)))
+            hit = {}
+            for name in ("light", "heavy"):
+                wanted, ends = _flat(batch[name])
+                hit[name] = np.isin(tag, mix(wanted ^ mix(np.repeat(np.arange(len(edges) - 1), np.diff(ends)).astype(U64))))
+            sel = np.flatnonzero(hit["light"] & ~hit["heavy"])
+            fresh = np.ones(len(sel), bool)
+            fresh[1:] = (np.diff(starts[sel]) != 1) | (np.diff(rows[sel]) != 0) | (np.diff(anchor[sel]) != 0)
+            heads = np.flatnonzero(fresh)
+            k = np.diff(np.append(heads, len(sel)))
+            deep = np.flatnonzero(hit["heavy"])
+            s0 = np.concatenate([starts[sel[heads]], starts[deep]])
+            row = np.concatenate([rows[sel[heads]], rows[deep]])
+            lead = np.concatenate([anchor[sel[heads]] - starts[sel[heads]], np.zeros(len(deep), np.int64)])
+            count = np.concatenate([k, np.ones(len(deep), np.int64)])
+            k = np.concatenate([k, np.zeros(len(deep), np.int64)])
+            if not len(s0):
+                continue
+            content = ranges(s0, count + size - 1)
+            key = np.concatenate([every[s0[: len(heads)] + lead[: len(heads)]], content[len(heads) :]])
+            did, tid, start = batch["did"].to_numpy()[row], batch["tid"].to_numpy()[row], s0 - edges[:-1][row]
+            order = np.lexsort((start, tid, did, content, lead, k, key))
+            key, content, lead, k, did, tid, start, count, s0 = (x[order] for x in (key, content, lead, k, did, tid, start, count, s0))
+            head = np.ones(len(key), bool)
+            head[1:] = (key[1:] != key[:-1]) | (k[1:] != k[:-1]) | (lead[1:] != lead[:-1]) | (content[1:] != content[:-1])
+            first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+            later = (did != did[first]) | (tid != tid[first]) | (start != start[first])
+            n = int(head.sum())
+            lengths = count[head] + size - 1
+            codes = (words[_spread(s0[head], lengths)] >> U64(32)).astype(">u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[head].view(np.int64)), pa.array(k[head].astype(np.int32)), pa.array(did[head]), pa.array(tid[head]), pa.array(start[head].astype(np.int32)), _binaries(codes, lengths), pa.nulls(n, pa.binary())],
+                names=["key", "k", "did", "tid", "start", "words", "gone"],
+            )
+            if later.any():
+                did, tid, start, count = did[later], tid[later], start[later], count[later]
+                gone = _gone(did, tid, start, count)
+                m = gone.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(gone["did"].to_numpy().view(U64)).view(np.int64)), pa.nulls(m, pa.int32()), gone["did"], gone["tid"], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), gone["gone"]],
+                    names=["key", "k", "did", "tid", "start", "words", "gone"],
+                )
 
     return emit
 
 
-def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks subtrees in path order: a leaf under the same deep node as an earlier one is a repeat."""
-    last = None
-    for batch in batches:
-        names = ["prefix", "path", "did", "start"]
-        whole = batch["path"].is_valid().to_numpy(zero_copy_only=False)
-        passed = np.flatnonzero(~whole)
-        if len(passed):
-            some = batch.take(pa.array(passed))
-            yield pa.RecordBatch.from_arrays([some["did"], pa.nulls(len(passed), pa.int32()), some["gone"]], names=["did", "start", "gone"])
-        if not whole.any():
-            continue
-        leaves = batch.take(pa.array(np.flatnonzero(whole)))
-        prefix, path, did, start = (leaves[c].to_numpy() for c in names)
-        if last is not None:
-            prefix, path, did, start = (np.concatenate([[x], y]) for x, y in zip(last, (prefix, path, did, start)))
-        head = np.ones(len(path), bool)
-        head[1:] = (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        repeat = (did != did[lead]) | (start != start[lead])
-        last = tuple(x[lead[-1]] for x in (prefix, path, did, start))
-        if repeat.any():
-            yield pa.RecordBatch.from_arrays([pa.array(did[repeat]), pa.array(start[repeat].astype(np.int32)), pa.nulls(int(repeat.sum()), pa.binary())], names=["did", "start", "gone"])
-
-
-def common_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of up to ``COMMON_WORDS`` words that are frequent in about ``COMMON_DOCS`` documents; they only shape groups."""
-    share = min(1.0, COMMON_DOCS / max(docs.count(), 1))
-    some = docs.sample(fraction=share, seed=7).select(F.explode(split_words(text_of("text"))).alias("word"))
-    top = some.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS)
-    return np.array([r["h"] for r in top.select(F.xxhash64("word").alias("h")).collect()], np.int64).view(U64)
+def _gone(did: np.ndarray, tid: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A row per text with the packed starts of its repeats; ``count`` neighbouring ones from each start on."""
+    order = np.lexsort((start, tid, did))
+    did, tid, start, count = did[order], tid[order], start[order], count[order]
+    fresh = np.ones(len(did), bool)
+    fresh[1:] = (did[1:] != did[:-1]) | (tid[1:] != tid[:-1])
+    heads = np.flatnonzero(fresh)
+    per_text = np.add.reduceat(count, heads) if len(heads) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(did[heads]), pa.array(tid[heads].astype(np.int32)), _binaries(_spread(start, count).astype("<i4"), per_text)], names=["did", "tid", "gone"])
+
+
+def sort_suffixes(group: np.ndarray, suffixes: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (rows of word codes) by group, words and ``ties``, and the words that each shares with
+    the one before it: the depth of the tree node above both; -1 where a group begins."""
+    wide = suffixes.astype(U64)
+    pairs = (wide[:, 0::2] << U64(32)) | np.pad(wide[:, 1::2], ((0, 0), (0, wide.shape[1] % 2)))
+    order = np.lexsort((*reversed(ties), *pairs.T[::-1], group))
+    ordered, group = suffixes[order], group[order]
+    same = ordered[1:] == ordered[:-1]
+    depth = np.full(len(order), -1)
+    depth[1:] = np.where(same.all(axis=1), suffixes.shape[1], same.argmin(axis=1))
+    depth[1:][group[1:] != group[:-1]] = -1
+    return order, depth
+
+
+def _subtrees(size: int):
+    """Builds the trees of whole groups; under each node ``size`` words deep all leaves but the earliest are repeats."""
+    names = ["key", "k", "did", "tid", "start"]
+
+    def grow(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        key, k, did, tid, start = (table[c].to_numpy() for c in names)
+        flat, ends = np.frombuffer(b"".join(table["words"].to_pylist()), ">u4").astype(np.uint32), np.cumsum(k + size - 1)
+        of = np.repeat(np.arange(len(k)), k)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+        begin = (ends - (k + size - 1))[of] + inner
+        order, depth = sort_suffixes(key[of], flat[begin[:, None] + np.arange(size)], did[of], tid[of], start[of] + inner)
+        node = depth < size
+        first = order[np.maximum.accumulate(np.where(node, np.arange(len(order)), 0))]
+        at = start[of] + inner
+        later = (did[of][order] != did[of][first]) | (tid[of][order] != tid[of][first]) | (at[order] != at[first])
+        if later.any():
+            found = order[later]
+            yield _gone(did[of][found], tid[of][found], at[found], np.ones(len(found), np.int64))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            passed = batch["gone"].is_valid()
+            if pa.compute.any(passed).as_py():
+                yield batch.filter(passed).select(["did", "tid", "gone"])
+            k = batch["k"].fill_null(-1).to_numpy()
+            # whole suffixes, in order: a node's leaves follow each other
+            deep = batch.take(pa.array(np.flatnonzero(k == 0)))
+            if deep.num_rows:
+                rows = list(zip(*(deep[c].to_pylist() for c in ("key", "words", "did", "tid", "start"))))
+                out = []
+                for row in rows:
+                    if last is not None and row[:2] == last[:2]:
+                        if row[2:] != last[2:]:
+                            out.append(row[2:])
+                    else:
+                        last = row
+                if out:
+                    did, tid, start = (np.array(x) for x in zip(*out))
+                    yield _gone(did, tid, start, np.ones(len(did), np.int64))
+            light = batch.take(pa.array(np.flatnonzero(k > 0))).select([*names, "words"])
+            if not light.num_rows:
+                continue
+            key = light["key"].to_numpy()
+            if sum(x.num_rows for x in held) >= AT_ONCE and (key != held[-1]["key"][-1].as_py()).any():
+                cut = int(np.argmax(key != held[-1]["key"][-1].as_py()))  # the group that was open ends here
+                yield from grow([*held, light.slice(0, cut)])
+                held, light = [], light.slice(cut)
+            held.append(light)
+        if held:
+            yield from grow(held)
 
-def repeated_starts(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataFrame:
-    """(did, starts, gone) of documents with repeats: word positions where a window starts whose words also start earlier.
+    return run
 
-    ``docs`` has ``did`` (not null) and ``text``. ``starts`` is a list, ``gone`` a list of packed 32-bit lists.
-    """
+
+def text_key() -> Column:
+    """Tells texts apart where rows repeat a doc_id."""
+    return F.pmod(F.xxhash64(text_of("text")), F.lit(1 << 31)).cast("int").alias("tid")
+
+
+def repeated_starts(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataFrame:
+    """(did, tid, gone): for texts with repeats, packed 32-bit word positions where a suffix of ``size`` words starts
+    whose words also start earlier. ``docs`` has ``did`` (not null), ``tid`` and ``text``."""
     hashed = lambda col: F.transform(split_words(col), lambda x: F.xxhash64(x))
-    anchors = docs.select("did", hashed(F.col("text")).alias("w")).mapInArrow(_anchors(size, run), "key long, did long, value long")
-    met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    repeated = anchors.withColumn("met", met).where("value is not null or met > 1").select("did", F.coalesce("value", "key").alias("value"))
-    wanted = repeated.groupBy("did").agg(F.collect_set("value").alias("vals"))
-    joined = docs.join(wanted.hint("shuffle_hash"), "did", "left")
-    words = F.when(F.col("vals").isNotNull(), hashed(F.col("text")))
-    suffixes = joined.select("did", words.alias("w"), "vals").mapInArrow(_suffixes(size, run, common_words(docs)), "prefix long, path long, did long, start int, gone binary")
-    trees = suffixes.repartition("prefix").sortWithinPartitions("prefix", "path", "did", "start")
-    repeats = trees.mapInArrow(_deep_nodes, "did long, start int, gone binary")
-    return repeats.groupBy("did").agg(F.collect_list("start").alias("starts"), F.collect_list("gone").alias("gone"))
+    met = docs.select("did", "tid", hashed(F.col("text")).alias("w")).mapInArrow(_anchors(size, run), "key long, did long, tid int, value long, n long")
+    here = Window.partitionBy("key")
+    counted = met.withColumns({"rows": F.count(F.lit(1)).over(here), "n": F.sum("n").over(here)})
+    repeated = settle(counted.where("value is not null or rows > 1").select("did", "tid", F.coalesce("value", "key").alias("value"), "n"))
+    heavy = repeated.where(F.col("n") > GROUP).select("value", F.lit(True).alias("heavy")).distinct()
+    split = repeated.select("did", "tid", "value").join(heavy, "value", "left")
+    wanted = split.groupBy("did", "tid").agg(F.collect_set(F.when(F.col("heavy").isNull(), F.col("value"))).alias("light"), F.collect_set(F.when(F.col("heavy"), F.col("value"))).alias("heavy"))
+    joined = docs.join(wanted.hint("shuffle_hash"), ["did", "tid"])
+    stretches = joined.select("did", "tid", hashed(F.col("text")).alias("w"), "light", "heavy").mapInArrow(_stretches(size, run), STRETCHES)
+    trees = stretches.repartition("key").sortWithinPartitions("key", "words", "did", "tid", "start")
+    return trees.mapInArrow(_subtrees(size), FOUND).groupBy("did", "tid").agg(F.collect_list("gone").alias("gone"))
 
 
 def _cut_out(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts, gone in zip(batch["_text"], batch["_starts"], batch["_gone"]):
+            for text, gone in zip(batch["text"], batch["gone"]):
                 words = (text.as_py() or "").encode().split()  # at ASCII white space
                 n = len(words)
-                at = [np.frombuffer(g.as_py(), np.int32) for g in gone] if gone.is_valid else []
-                if starts.is_valid:
-                    at.append(starts.values.to_numpy(zero_copy_only=False))
-                if at and len(at := np.concatenate(at)):
+                if gone.is_valid and len(gone):
+                    at = np.concatenate([np.frombuffer(g.as_py(), np.int32) for g in gone])
                     change = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(at + size, n), minlength=n + 1)[: n + 1]
                     words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:n] == 0)]
                 out.append((n, n - len(words), b" ".join(words).decode("utf-8", "replace")))
             n, removed, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch["did"], *(batch[f"_{c}"] for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["did", *(f"_{c}" for c in names), "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -253,22 +320,22 @@ def drop_repeats(docs: DataFrame, size: int = SIZE, carry: list[str] | None = No
     smaller doc_id, or earlier in the same document, in the texts as given.
     Kept words are joined by one space.
 
-    doc_id identifies a text: rows repeated as a whole are one document and all
-    come out alike. A null doc_id counts as the smallest. Null and empty texts,
-    and texts under ``size`` words, lose nothing. Other columns are not read.
+    Rows repeated as a whole are one document and all come out alike. Other
+    texts that share a doc_id are documents of their own, in the order of their
+    hashes. A null doc_id counts as the smallest. Null and empty texts, and texts
+    under ``size`` words, lose nothing. Empty tables give empty results. Columns
+    that are not carried are not read; carried ones may have any name but
+    n_words, n_removed and kept_text.
     """
-    names = carry or ["doc_id"]
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    repeats = repeated_starts(docs.select(did.alias("did"), text_of("text").alias("text")), size)
-    rest = [c for c in names if c != "doc_id"]
-    whole = docs.select(did.alias("did"), text_of("text").alias("text"), *rest)
-    cut = whole.join(repeats.hint("shuffle_hash"), "did", "left")
-    doc_id = F.when(F.col("did") != F.lit(-(2**63)), F.col("did")).alias("doc_id")
-    shaped = cut.select(*[doc_id if c == "doc_id" else F.col(c) for c in names], F.col("text").alias("_text"), F.col("starts").alias("_starts"), F.col("gone").alias("_gone"))
-    kinds = shaped.select(*names).schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):
-        kinds = kinds.add(name, kind)
-    return shaped.mapInArrow(_cut_out(size, names), kinds)
+    rest = [c for c in carry or ["doc_id"] if c != "doc_id"]
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("did")
+    whole = docs.select(did, text_key(), text_of("text").alias("text"), *[F.col(c).alias(f"_{c}") for c in rest])
+    cut = whole.join(repeated_starts(whole.select("did", "tid", "text"), size).hint("shuffle_hash"), ["did", "tid"], "left")
+    shaped = cut.select("did", "text", "gone", *[f"_{c}" for c in rest])
+    kinds = shaped.select("did", *[f"_{c}" for c in rest]).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    out = shaped.mapInArrow(_cut_out(size, rest), kinds)
+    doc_id = F.when(F.col("did") != F.lit(NONE), F.col("did")).alias("doc_id")
+    return out.select(*[doc_id if c == "doc_id" else F.col(f"_{c}").alias(c) for c in carry or ["doc_id"]], "n_words", "n_removed", "kept_text")
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
