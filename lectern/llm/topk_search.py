@@ -1,11 +1,14 @@
 """Exact top-k search by inner product: norm-sorted blocks, rotated partial sums, residual bounds.
 
 Candidates are cut into bands of falling norm and the bands into blocks of
-bounded size; queries into blocks of bounded size. Each pair of blocks is one
-unit of work. Vectors are rotated to the principal axes of all rows, so that a
-few leading coordinates hold most of a product; Cauchy-Schwarz on the rest
-bounds it. Candidates whose bound is below the query's k-th best score so far
-are pruned; survivors are scored exactly in integers.
+bounded size. Bands are searched in rounds, longest first; the k-th best score of
+each query so far is its floor, carried from round to round. A query is sent to
+a band only while its own norm times the band's largest reaches its floor; those
+that are sent travel in blocks, and a block of queries with a block of candidates
+is one unit of work. There, vectors are rotated to the principal axes of all rows, so
+that a few leading coordinates hold most of a product; Cauchy-Schwarz on the rest
+bounds it. Candidates whose bound is below the floor are pruned; survivors are
+scored exactly in integers.
 """
 
 from __future__ import annotations
@@ -20,18 +23,23 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import settle
 
-CANDIDATE_BLOCK, QUERY_BLOCK, SEEDS, MAX_BANDS = 4096, 512, 1024, 64
+CANDIDATE_BLOCK, QUERY_BLOCK, MAX_BANDS = 4096, 512, 64
+#: Bands searched by the end of each round; the last round takes the rest.
+ROUNDS = (1, 4, 16)
+EXACT, LARGEST = 2.0**53, 2**63 - 1
 
 
 def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, x (array of floor(scale * component) as bigint), norm.
+    """vec_id, x (array of floor(scale * component), whole doubles), norm.
 
-    Rows whose vector is null, empty, or holds a null or non-finite component take no part.
+    Rows whose vector is null, empty, or holds a null or non-finite component
+    take no part, nor do those with a component beyond doubles once scaled.
     """
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    scaled = F.transform("embedding", lambda v: F.lit(scale) * v.cast("double"))
+    finite = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = rows.where(F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size("embedding") > 0) & F.col("vec_id").isNotNull())
-    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")))
-    return good.select("vec_id", x.alias("x")).withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))))
+    x = F.transform(scaled, lambda v: F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v))  # beyond 2**53 doubles are whole
+    return good.select("vec_id", x.alias("x")).withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)))
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -73,6 +81,14 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers; such as don't fit into 64 bits are held at the limit."""
+    if np.linalg.norm(q) * np.linalg.norm(c, axis=1).max(initial=0.0) < EXACT:
+        return (c @ q).astype(np.int64)
+    own = [int(x) for x in q]
+    return np.array([max(-LARGEST, min(LARGEST, sum(int(x) * y for x, y in zip(row, own)))) for row in c], np.int64)
+
+
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, axes: np.ndarray, floor: np.ndarray, k: int, head: int = 16, step: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its best k (ids, scores) among ``c``, save such as score below ``floor``."""
     by_norm = np.argsort(-np.linalg.norm(c, axis=1), kind="stable")
@@ -85,19 +101,19 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     for at in range(0, len(c), step):
         part = slice(at, at + step)
         slack = 1e-6 * (1 + q_norm * c_norm[at])  # for rounding of the rotation
-        open_q = np.flatnonzero(q_norm * c_norm[at] + slack >= floor)
+        open_q = np.flatnonzero(~(q_norm * c_norm[at] + slack < floor))
         if not len(open_q):
             break  # norms fall: no later candidate can reach any query
         bound = qr[open_q, :head] @ cr[part, :head].T + np.outer(q_rest[open_q], c_rest[part])
-        alive = bound + slack[open_q, None] >= floor[open_q, None]
+        alive = ~(bound + slack[open_q, None] < floor[open_q, None])  # what has no bound stays
         exact = None
-        if alive.mean() > 0.05:
+        if alive.mean() > 0.05 and q_norm.max() * c_norm[at] < EXACT:
             exact = q[open_q] @ c[part].T  # whole numbers below 2**53: exact
         for row, i in enumerate(open_q):
             cols = np.flatnonzero(alive[row])
             if not len(cols):
                 continue
-            scores = (exact[row, cols] if exact is not None else c[at + cols] @ q[i]).astype(np.int64)
+            scores = exact[row, cols].astype(np.int64) if exact is not None else _products(q[i], c[at + cols])
             ids = c_ids[at + cols]
             use = ids != q_ids[i]
             ids, scores = np.concatenate([found[i][0], ids[use]]), np.concatenate([found[i][1], scores[use]])
@@ -114,13 +130,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both come from ``integer_vectors``. A query is never its own candidate
     (same vec_id); rows that repeat a vec_id are candidates each, while a
     repeated query id is answered once. Ties go to the smaller vec_id. Shorter
-    vectors count as ending in zeros. Nothing is returned where there is no
-    other row.
+    vectors count as ending in zeros. Scores are exact; beyond 64 bits they are
+    held at the limit. Nothing is returned where there is no other row.
     """
+    spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score long"
     stats = vectors.agg(F.max(F.size("x")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not stats["n"]:
-        return vectors.sparkSession.createDataFrame([], schema)
+    asked = queries.dropDuplicates(["vec_id"])
+    n_q = asked.count() if stats["n"] else 0
+    if not n_q:
+        return spark.createDataFrame([], schema)
     dim, n = stats["dim"], stats["n"]
     axes = principal_axes(vectors, dim)
 
@@ -131,46 +149,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for cut in cuts:  # band 0 has the longest vectors
         band = band + (F.col("norm") <= cut).cast("int")
     banded = vectors.withColumn("band", band)
-    share = {r["band"]: max(1, -(-r["n"] // CANDIDATE_BLOCK)) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_BANDS rows at most
-    first, starts = 0, {}
-    for b in sorted(share):
-        starts[b], first = first, first + share[b]
-    lookup = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("band"))
-    block = lookup(starts) + F.pmod(F.xxhash64("vec_id", "x"), lookup(share)).cast("int")
-    candidate_blocks = banded.withColumn("cb", block).groupBy("cb").agg(F.collect_list(F.struct("vec_id", "x")).alias("c"))
-
-    seeds = vectors.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "x").toPandas()  # SEEDS rows at most
-    seed_ids, seed_m = seeds["vec_id"].to_numpy(np.int64), np.zeros((len(seeds), dim))
-    for i, v in enumerate(seeds["x"]):
-        seed_m[i, : len(v)] = v
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).orderBy("band").collect()  # MAX_BANDS rows at most
+    share = {r["band"]: -(-r["n"] // CANDIDATE_BLOCK) for r in sizes}
+    lookup = lambda table, of: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), of)
+    block = F.pmod(F.xxhash64("vec_id", "x"), lookup(share, F.col("band"))).cast("int")
+    candidates = banded.withColumn("cb", block).groupBy("band", "cb").agg(F.collect_list(F.struct("vec_id", "x")).alias("c"))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n_q // QUERY_BLOCK))))
 
-    asked = queries.dropDuplicates(["vec_id"])
-    n_q = asked.count()
-    if not n_q:
-        return vectors.sparkSession.createDataFrame([], schema)
-    q_count = -(-n_q // QUERY_BLOCK)
-    query_blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(q_count)).alias("qb")).agg(F.collect_list(F.struct("vec_id", "x")).alias("q"))
-    units = query_blocks.select("q", F.explode(F.sequence(F.lit(0), F.lit(first - 1))).alias("cb")).join(candidate_blocks, "cb").select("q", "c")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found, order = None, [r["band"] for r in sizes]
+    for low, high in zip((0, *ROUNDS), (*ROUNDS, len(order))):
+        if not order[low:high]:
+            continue
+        floors = spark.createDataFrame([], "query_id long, floor long") if found is None else found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("held")).where(F.col("held") >= k).select("query_id", "floor")
+        more = _round(asked, floors, candidates.where(F.col("band").isin(order[low:high])), {r["band"]: r["norm"] for r in sizes[low:high]}, share, axes, dim, k)
+        both = more if found is None else found.select("query_id", "vec_id", "score").unionByName(more)
+        found = settle(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    return found
+
+
+def units_of(asked: DataFrame, floors: DataFrame, norms: dict[int, float], share: dict[int, int]) -> DataFrame:
+    """(band, cb, q): blocks of the queries that a band can still serve, once for each of the band's blocks."""
+    known = asked.join(floors, asked["vec_id"] == floors["query_id"], "left")
+    reach = F.array(*[F.when(F.col("floor").isNull() | ~(F.col("norm") * norm * (1 + 1e-9) + 1e-6 < F.col("floor")), F.lit(b)) for b, norm in norms.items()])
+    sent = known.select("vec_id", "x", "qb", "floor", F.explode(F.filter(reach, lambda b: b.isNotNull())).alias("band"))
+    blocks = sent.groupBy("qb", "band").agg(F.collect_list(F.struct("vec_id", "x", "floor")).alias("q"))
+    counts = F.element_at(F.create_map(*[F.lit(x) for b in norms for x in (b, share[b])]), F.col("band"))
+    return blocks.select("band", "q", F.explode(F.sequence(F.lit(0), (counts - 1).cast("int"))).alias("cb"))
+
+
+def _round(asked: DataFrame, floors: DataFrame, candidates: DataFrame, norms: dict[int, float], share: dict[int, int], axes: np.ndarray, dim: int, k: int) -> DataFrame:
+    """Results (query_id, vec_id, score) of a few bands."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, c in zip(batch["q"], batch["c"]):
                 q_ids, c_ids = (x.values.field(0).to_numpy(zero_copy_only=False) for x in (q, c))
                 qm, cm = (_matrix(x.values.field(1), dim) for x in (q, c))
-                floor = np.full(len(q_ids), -np.inf)
-                scores = qm @ seed_m.T
-                scores[q_ids[:, None] == seed_ids[None, :]] = -np.inf
-                if scores.shape[1] >= k:
-                    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                got = block_top_k(q_ids, qm, c_ids, cm, axes, floor, k)
+                floor = q.values.field(2).to_numpy(zero_copy_only=False).astype(np.float64)  # nan without a floor
+                got = block_top_k(q_ids, qm, c_ids, cm, axes, np.where(np.isnan(floor), -np.inf, floor), k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(q_ids, [len(i) for i, _ in got])), pa.array(np.concatenate([i for i, _ in got])), pa.array(np.concatenate([s for _, s in got]))],
                     names=["query_id", "vec_id", "score"],
                 )
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = units.mapInArrow(search, "query_id long, vec_id long, score long")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return units_of(asked, floors, norms, share).join(candidates, ["band", "cb"]).select("q", "c").mapInArrow(search, "query_id long, vec_id long, score long")
 
 
 def op8_topk_search(embeddings: DataFrame) -> DataFrame:
