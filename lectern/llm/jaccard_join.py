@@ -2,17 +2,17 @@
 
 Documents of equal shingle sets form one class, whose links are found once.
 
-1. Families. One banding pass over the minhash signatures finds large groups of
-   near copies. A family has a representative; from here on it is one node.
-2. Chosen paths. Each run samples pairs of signature tokens by a seeded hash;
-   nodes that share a sampled pair share a bucket (a family's members add their
-   keys once each, together). Buckets that are too large are split by tokens
-   drawn anew along the path. Runs repeat until a pair at the threshold is
-   missed with a probability below ``1 - recall``.
+1. Chosen paths. Each run samples pairs of signature tokens by a seeded hash;
+   classes that share a sampled pair share a bucket. Runs repeat until a pair at
+   the threshold is missed with a probability below ``1 - recall``.
+2. Families. The least class of a large bucket represents it; classes of the
+   bucket whose signatures agree with it in half of the values are its family.
+   From here on a family is one node, which adds each key of its members once.
+   Buckets that still are too large are split by tokens drawn along the path.
 3. Single classes of a bucket are judged pair by pair on their whole sets, in
    the least of their common buckets only, so links are counted once and never
-   listed. A single class that meets a family becomes its visitor; families that
-   meet are merged.
+   listed. A single class that meets a family visits it; where members of two
+   families meet, those of the one visit the other.
 4. In a family every set is held as its difference from the representative's.
    With ``y`` = (1 + t) * removed + t * size, two sets are linked exactly if
    ya + yb <= (1 + t) * (size of the representative + common differences).
@@ -39,10 +39,11 @@ SIGNATURE, BUCKET, DEPTH = 64, 128, 3
 BLOCK = 512
 DRAWS = 2.0  # paths of two tokens sampled per run, on average
 CHILDREN = 3.0  # tokens drawn along a path when its bucket is split, on average
-#: Family pass: bands of the signature, values in each, and the classes of a band that make a family.
-BANDS, BAND, FAMILY = 4, 6, 48
-#: Shares of equal signature values: to live in a family, to visit one, and for two families to merge.
-LIVES, VISITS, MERGES = 0.75, 0.2, 0.1
+#: Shares of equal signature values: to live in a family (by triangle, a link of a member then has 0.3 with its
+#: representative), and to visit one.
+LIVES, VISITS = 0.5, 0.1
+#: Members that make a family.
+FAMILY = 32
 U64 = np.uint64
 
 
@@ -137,15 +138,22 @@ def _agree(one: str, other: str) -> Column:
     return sum((F.substring(one, 4 * i + 1, 4) == F.substring(other, 4 * i + 1, 4)).cast("int") for i in range(SIGNATURE)) / SIGNATURE
 
 
-def families_of(classes: DataFrame) -> DataFrame:
+def _drawn(placed: DataFrame, runs: int) -> DataFrame:
+    """(key, cid, node): the paths of every class; node is its family or itself."""
+    return placed.select("cid", F.coalesce("kin", "cid").alias("node"), "sig").mapInArrow(_paths(runs), "key long, cid long, node long")
+
+
+def families_of(classes: DataFrame, runs: int) -> DataFrame:
     """(cid, kin): members of large groups of near copies, with the class that represents the group."""
-    bands = [F.xxhash64(F.substring("sig", 1 + 4 * BAND * b, 4 * BAND), F.lit(b)) for b in range(BANDS)]
-    keyed = classes.select("cid", F.explode(F.array(*bands)).alias("band"))
-    heavy = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= FAMILY)
-    best = keyed.join(heavy, "band").groupBy("cid").agg(F.max(F.struct("members", "band")).alias("m")).select("cid", "m.band")
-    placed = best.join(classes.select("cid", "sig"), "cid")
-    first = placed.groupBy("band").agg(F.min("cid").alias("kin"), F.min_by("sig", "cid").alias("first"))
-    return placed.join(first, "band").where(_agree("sig", "first") >= LIVES).select("cid", "kin")
+    rows = _drawn(classes.select("cid", "sig", F.lit(None).cast("long").alias("kin")), runs).select("key", "cid")
+    heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BUCKET).select("key")
+    large = settle(rows.join(heavy, "key"))
+    first = large.groupBy("key").agg(F.min("cid").alias("kin"))
+    pairs = large.join(first, "key").select("cid", "kin").distinct()
+    signed = pairs.join(classes.select("cid", "sig"), "cid").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
+    chosen = signed.where(_agree("sig", "first") >= LIVES).groupBy("cid").agg(F.min("kin").alias("kin"))
+    many = chosen.groupBy("kin").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= FAMILY).select("kin")
+    return chosen.join(many, "kin").select("cid", "kin")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -154,32 +162,35 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return stats.groupBy("members", "who", "sum").agg(F.min("key").alias("key")).select("key", "members")
 
 
-def entries_of(placed: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(key, node, family, members): the nodes in each bucket, after splitting large buckets up to ``DEPTH`` times."""
-    kind = "key long, cid long, node long"
-    drawn = lambda rows: rows.select("cid", F.coalesce("kin", "cid").alias("node"), "sig").mapInArrow(_paths(runs_for(threshold, recall)), kind)
-    single, family = drawn(placed.where("kin is null")), drawn(placed.where("kin is not null"))
-    out = None
+def entries_of(placed: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes in each bucket (key, node, family, members), after splitting large buckets up to ``DEPTH`` times,
+    and the members of families that share a key with a family of a lower number (kin, cid)."""
+    single, family = _drawn(placed.where("kin is null"), runs), _drawn(placed.where("kin is not null"), runs)
+    entries, abroad = None, None
     for level in range(DEPTH):
         rows = settle(single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True))))
         found = settle(rows.join(_buckets(rows), "key"))
+        hosts = rows.where("family").select("key", F.col("node").alias("kin"))
+        shared = hosts.groupBy("key").agg(F.count(F.lit(1)).alias("hosts")).where("hosts > 1").select("key")
+        away = family.join(shared, "key").join(hosts, "key").where("kin < node").select("kin", "cid").distinct()
         heavy = found.where(F.col("members") > BUCKET).select("key").distinct()
         last = level == DEPTH - 1 or heavy.isEmpty()
         part = found if last else found.where(F.col("members") <= BUCKET)
-        out = part if out is None else out.unionByName(part)
+        entries = part if entries is None else entries.unionByName(part)
+        abroad = away if abroad is None else abroad.unionByName(away)
         if last:
-            return out
-        longer = lambda rows, heavy=heavy: rows.join(heavy, "key").join(placed.select("cid", "sig"), "cid").mapInArrow(_children, kind)
+            break
+        longer = lambda rows, heavy=heavy: rows.join(heavy, "key").join(placed.select("cid", "sig"), "cid").mapInArrow(_children, "key long, cid long, node long")
         single, family = longer(single), longer(family)
-    return out
+    return entries, abroad
 
 
-def meetings(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """(kin, node, family): nodes that share a bucket with a family and have a signature near enough."""
+def visits_of(entries: DataFrame, abroad: DataFrame, classes: DataFrame) -> DataFrame:
+    """(kin, cid): classes that share a key with a family they don't live in, and have a signature near enough."""
     kin = entries.where("family").select("key", F.col("node").alias("kin"))
-    pairs = kin.join(entries.select("key", "node", "family"), "key").where("kin <> node").select("kin", "node", "family").distinct()
-    signed = pairs.join(classes.select(F.col("cid").alias("node"), "sig"), "node").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
-    return signed.where(_agree("sig", "first") >= F.when(F.col("family"), MERGES).otherwise(VISITS)).select("kin", "node", "family")
+    pairs = kin.join(entries.where("not family").select("key", F.col("node").alias("cid")), "key").select("kin", "cid").unionByName(abroad).distinct()
+    signed = pairs.join(classes.select("cid", "sig"), "cid").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
+    return signed.where(_agree("sig", "first") >= VISITS).select("kin", "cid")
 
 
 def _units(entries: DataFrame) -> DataFrame:
@@ -423,14 +434,12 @@ def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float
     one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
     classes = settle(worded.groupBy("cid").agg(one.alias("one"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("cid", F.col("one.doc_id").alias("class_id"), F.col("one.th").alias("th"), "size", "n", "sig"))
 
-    placed = settle(classes.select("cid", "sig").join(families_of(classes), "cid", "left"))
-    entries = settle(entries_of(placed, threshold, recall))
-    met = settle(meetings(entries, classes))
-    roots = components(met.where("family").select(F.col("kin").alias("a"), F.col("node").alias("b"))).select(F.col("node").alias("kin"), "root")
-    rooted = lambda rows: rows.join(roots, "kin", "left").select(F.coalesce("root", "kin").alias("kin"), "cid")
-    lives = rooted(placed.where("kin is not null").select("cid", "kin")).withColumn("lives", F.lit(True))
-    visits = rooted(met.where("not family").select("kin", F.col("node").alias("cid"))).distinct().withColumn("lives", F.lit(False))
-    participants = settle(lives.unionByName(visits))
+    runs = runs_for(threshold, recall)
+    placed = settle(classes.select("cid", "sig").join(families_of(classes, runs), "cid", "left"))
+    entries, abroad = entries_of(placed, runs)
+    entries = settle(entries)
+    lives = placed.where("kin is not null").select("kin", "cid", F.lit(True).alias("lives"))
+    participants = settle(lives.unionByName(visits_of(entries, abroad, classes).withColumn("lives", F.lit(False))))
 
     single = entries.where("not family").select("key", F.col("node").alias("cid"), "members")
     member = F.struct("cid", "own", "n", "sig")
@@ -440,7 +449,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float
         .mapInArrow(_sketch(threshold), "key long, cid long, b1 int, b2 int, own int")
     )
     active = settle(sketched)
-    wanted = active.select("cid").unionByName(participants.select("cid")).distinct().join(classes.select("cid", "class_id", "th", "size"), "cid")
+    wanted = active.select("cid").unionByName(participants.select("cid")).unionByName(participants.select(F.col("kin").alias("cid"))).distinct().join(classes.select("cid", "class_id", "th", "size"), "cid")
     sets = settle(_sets_of(docs, wanted, size))
     verified = settle(single_links(single.withColumnRenamed("cid", "node"), active, sets, threshold).unionByName(family_links(participants, sets, threshold)))
 
