@@ -11,8 +11,8 @@ Documents of equal shingle sets form one class, whose links are found once.
    Buckets that still are too large are split by tokens drawn along the path.
 3. Single classes of a bucket are judged pair by pair on their whole sets, in
    the least of their common buckets only, so links are counted once and never
-   listed. A single class that meets a family visits it; where members of two
-   families meet, those of the one visit the other.
+   listed. A single class that meets a family visits it; where two families meet,
+   the members of the one visit the other.
 4. In a family every set is held as its difference from the representative's.
    With ``y`` = (1 + t) * removed + t * size, two sets are linked exactly if
    ya + yb <= (1 + t) * (size of the representative + common differences).
@@ -34,16 +34,20 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import settle, split_words, text_of
 
-SIGNATURE, BUCKET, DEPTH = 64, 128, 3
+SIGNATURE, BUCKET, DEPTH = 64, 128, 8
 #: Classes of a large bucket that are compared with as many others in one unit of work.
 BLOCK = 512
 DRAWS = 2.0  # paths of two tokens sampled per run, on average
-CHILDREN = 3.0  # tokens drawn along a path when its bucket is split, on average
+#: Tokens drawn along a path when its bucket is split, on average: above 1 / threshold, so that near pairs stay together,
+#: and few enough that pairs of little similarity part from level to level.
+CHILDREN = 1.6
 #: Shares of equal signature values: to live in a family (by triangle, a link of a member then has 0.3 with its
 #: representative), and to visit one.
 LIVES, VISITS = 0.5, 0.1
-#: Members that make a family.
-FAMILY = 32
+#: What is allowed for the error of signatures, between families.
+MARGIN = 0.2
+#: Members that make a family, and the runs whose buckets show one.
+FAMILY, FAMILY_RUNS = 32, 5
 U64 = np.uint64
 
 
@@ -144,16 +148,18 @@ def _drawn(placed: DataFrame, runs: int) -> DataFrame:
 
 
 def families_of(classes: DataFrame, runs: int) -> DataFrame:
-    """(cid, kin): members of large groups of near copies, with the class that represents the group."""
+    """(cid, kin, alike): members of large groups of near copies, the class that represents the group, and how alike
+    both signatures are."""
     rows = _drawn(classes.select("cid", "sig", F.lit(None).cast("long").alias("kin")), runs).select("key", "cid")
     heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BUCKET).select("key")
     large = settle(rows.join(heavy, "key"))
     first = large.groupBy("key").agg(F.min("cid").alias("kin"))
     pairs = large.join(first, "key").select("cid", "kin").distinct()
     signed = pairs.join(classes.select("cid", "sig"), "cid").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
-    chosen = signed.where(_agree("sig", "first") >= LIVES).groupBy("cid").agg(F.min("kin").alias("kin"))
+    alike = signed.select("cid", "kin", _agree("sig", "first").alias("alike")).where(F.col("alike") >= LIVES)
+    chosen = alike.groupBy("cid").agg(F.min(F.struct("kin", "alike")).alias("k")).select("cid", "k.kin", "k.alike")
     many = chosen.groupBy("kin").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= FAMILY).select("kin")
-    return chosen.join(many, "kin").select("cid", "kin")
+    return chosen.join(many, "kin").select("cid", "kin", "alike")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -162,34 +168,38 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return stats.groupBy("members", "who", "sum").agg(F.min("key").alias("key")).select("key", "members")
 
 
-def entries_of(placed: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes in each bucket (key, node, family, members), after splitting large buckets up to ``DEPTH`` times,
-    and the members of families that share a key with a family of a lower number (kin, cid)."""
+def entries_of(placed: DataFrame, runs: int) -> DataFrame:
+    """(key, node, family, members): the nodes in each bucket, after splitting large buckets up to ``DEPTH`` times."""
     single, family = _drawn(placed.where("kin is null"), runs), _drawn(placed.where("kin is not null"), runs)
-    entries, abroad = None, None
+    entries = None
     for level in range(DEPTH):
         rows = settle(single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True))))
         found = settle(rows.join(_buckets(rows), "key"))
-        hosts = rows.where("family").select("key", F.col("node").alias("kin"))
-        shared = hosts.groupBy("key").agg(F.count(F.lit(1)).alias("hosts")).where("hosts > 1").select("key")
-        away = family.join(shared, "key").join(hosts, "key").where("kin < node").select("kin", "cid").distinct()
         heavy = found.where(F.col("members") > BUCKET).select("key").distinct()
         last = level == DEPTH - 1 or heavy.isEmpty()
         part = found if last else found.where(F.col("members") <= BUCKET)
         entries = part if entries is None else entries.unionByName(part)
-        abroad = away if abroad is None else abroad.unionByName(away)
         if last:
             break
-        longer = lambda rows, heavy=heavy: rows.join(heavy, "key").join(placed.select("cid", "sig"), "cid").mapInArrow(_children, "key long, cid long, node long")
+        longer = lambda rows, heavy=heavy: settle(rows.join(heavy, "key").join(placed.select("cid", "sig"), "cid").mapInArrow(_children, "key long, cid long, node long"))
         single, family = longer(single), longer(family)
-    return entries, abroad
+    return entries
 
 
-def visits_of(entries: DataFrame, abroad: DataFrame, classes: DataFrame) -> DataFrame:
-    """(kin, cid): classes that share a key with a family they don't live in, and have a signature near enough."""
+def visits_of(entries: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """(kin, cid): single classes that share a bucket with a family, and members of families that share one with a family
+    of a lower number, where signatures are near enough."""
     kin = entries.where("family").select("key", F.col("node").alias("kin"))
-    pairs = kin.join(entries.where("not family").select("key", F.col("node").alias("cid")), "key").select("kin", "cid").unionByName(abroad).distinct()
-    signed = pairs.join(classes.select("cid", "sig"), "cid").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
+    met = kin.join(entries.select("key", "node", "family"), "key").where("not family or kin < node").select("kin", "node", "family").distinct()
+    signs = lambda cid, sig: placed.select(F.col("cid").alias(cid), F.col("sig").alias(sig))
+    # families are too far apart for a link if their representatives differ by more than both radii and a link allow
+    radius = placed.where("kin is not null").groupBy("kin").agg((1 - F.min("alike")).alias("radius"))
+    of = lambda c: radius.select(F.col("kin").alias(c), F.col("radius").alias(f"{c}_radius"))
+    apart = met.where("family").join(of("kin"), "kin").join(of("node"), "node").join(signs("kin", "first"), "kin").join(signs("node", "sig"), "node")
+    close = apart.where(1 - _agree("sig", "first") <= F.col("kin_radius") + F.col("node_radius") + (1 - threshold) + MARGIN).select("kin", "node")
+    abroad = close.join(placed.where("kin is not null").select(F.col("kin").alias("node"), "cid"), "node").select("kin", "cid")
+    pairs = met.where("not family").select("kin", F.col("node").alias("cid")).unionByName(abroad)
+    signed = pairs.join(signs("cid", "sig"), "cid").join(signs("kin", "first"), "kin")
     return signed.where(_agree("sig", "first") >= VISITS).select("kin", "cid")
 
 
@@ -435,11 +445,10 @@ def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float
     classes = settle(worded.groupBy("cid").agg(one.alias("one"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("cid", F.col("one.doc_id").alias("class_id"), F.col("one.th").alias("th"), "size", "n", "sig"))
 
     runs = runs_for(threshold, recall)
-    placed = settle(classes.select("cid", "sig").join(families_of(classes, runs), "cid", "left"))
-    entries, abroad = entries_of(placed, runs)
-    entries = settle(entries)
+    placed = settle(classes.select("cid", "sig").join(families_of(classes, min(runs, FAMILY_RUNS)), "cid", "left"))
+    entries = settle(entries_of(placed, runs))
     lives = placed.where("kin is not null").select("kin", "cid", F.lit(True).alias("lives"))
-    participants = settle(lives.unionByName(visits_of(entries, abroad, classes).withColumn("lives", F.lit(False))))
+    participants = settle(lives.unionByName(visits_of(entries, placed, threshold).withColumn("lives", F.lit(False))))
 
     single = entries.where("not family").select("key", F.col("node").alias("cid"), "members")
     member = F.struct("cid", "own", "n", "sig")
