@@ -36,9 +36,9 @@ from lectern.llm.jaccard_join import mix
 U64 = np.uint64
 SIZE, RUN = 20, 6
 #: Stretches of an anchor beyond which its suffixes are split by all their words.
-GROUP = 20_000
-#: Stretches whose trees are built together.
-AT_ONCE = 20_000
+GROUP = 4_000
+#: Stretches whose trees are built together, and texts that are cut into stretches together.
+AT_ONCE, TEXTS = 10_000, 2_500
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 2**64))
 NONE = -(2**63)
@@ -111,7 +111,7 @@ def _anchors(size: int, run: int):
             at = np.concatenate([rows[heads], pairs[1]])
             told = np.arange(len(at)) < len(heads)
             values = pa.array(np.concatenate([np.zeros(len(heads), np.int64), pairs[0]]), mask=told)
-            n = pa.array(np.concatenate([counts, np.zeros(pairs.shape[1], np.int64)]))
+            n = pa.array(np.concatenate([counts, np.zeros(pairs.shape[1], np.int64)]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([least[heads].view(np.int64), own])), *(batch[c].take(pa.array(at)) for c in ("did", "tid")), values, n], names=["key", "did", "tid", "value", "n"])
 
     return emit
@@ -137,7 +137,7 @@ def _stretches(size: int, run: int):
     earliest of equal ones come as ``gone``. ``k`` is their number, 0 where the prefix is the whole suffix."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             words, edges = _flat(batch["w"])
             starts, rows = window_starts(edges, size)
             if not len(starts):
@@ -281,7 +281,7 @@ def repeated_starts(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataFr
     """(did, tid, gone): for texts with repeats, packed 32-bit word positions where a suffix of ``size`` words starts
     whose words also start earlier. ``docs`` has ``did`` (not null), ``tid`` and ``text``."""
     hashed = lambda col: F.transform(split_words(col), lambda x: F.xxhash64(x))
-    met = docs.select("did", "tid", hashed(F.col("text")).alias("w")).mapInArrow(_anchors(size, run), "key long, did long, tid int, value long, n long")
+    met = docs.select("did", "tid", hashed(F.col("text")).alias("w")).mapInArrow(_anchors(size, run), "key long, did long, tid int, value long, n int")
     here = Window.partitionBy("key")
     counted = met.withColumns({"rows": F.count(F.lit(1)).over(here), "n": F.sum("n").over(here)})
     repeated = settle(counted.where("value is not null or rows > 1").select("did", "tid", F.coalesce("value", "key").alias("value"), "n"))
