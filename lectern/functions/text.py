@@ -32,8 +32,11 @@ def normalize_space(col: Column) -> Column:
 
 
 def compact_text(col: Column) -> Column:
-    """Blanks between two CJK characters go."""
-    return F.regexp_replace(normalize_space(col), "(?<=[\\u3400-\\u9fff]) +(?=[\\u3400-\\u9fff])", "")
+    """Blanks between two CJK characters or marks go, and those before and inside option words (``A 选项``)."""
+    cjk = "[\\u3400-\\u9fff，。；：！？、（）《》“”‘’]"
+    out = F.regexp_replace(normalize_space(col), f"(?<={cjk}) +(?={cjk})", "")
+    out = F.regexp_replace(out, "(?<=[\\u3400-\\u9fff]) +(?=[A-D](?:选项|项))", "")
+    return F.btrim(F.regexp_replace(out, "(?<=[A-D]) +(?=(?:选项|项))", ""))
 
 
 def bare(col: Column) -> Column:
@@ -108,6 +111,11 @@ def round_half_up(col: Column) -> Column:
     return F.floor(col + F.lit(0.5)).cast("long")
 
 
+def round_half_even(col: Column, digits: int = 0) -> Column:
+    """Rounded by the decimal digits of the double, halves to even."""
+    return F.bround(col.cast("double"), digits)
+
+
 def outcome(selected: Column, answer: Column) -> Column:
     """correct, unanswered or wrong."""
     return F.when(selected == answer, "correct").when(selected.isNull() | (selected == ""), "unanswered").otherwise("wrong")
@@ -138,3 +146,11 @@ def decode_ids(col: Column, most: int = 100) -> Column:
 def or_else(*cols: Column) -> Column:
     """The first value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols[:-1]], cols[-1])
+
+
+def json_put(doc: Column, values: dict[str, Column]) -> Column:
+    """A JSON object with some keys set to JSON texts, in place where it has them; a null document counts as empty."""
+    old = F.from_json(F.coalesce(doc, F.lit("{}")), "map<string,variant>")
+    new = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.parse_json(v))])
+    replaced = F.transform_values(old, lambda k, v: F.coalesce(F.try_element_at(new, k), v))
+    return F.to_json(F.map_concat(replaced, F.map_filter(new, lambda k, v: ~F.array_contains(F.map_keys(old), k))))

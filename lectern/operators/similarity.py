@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,19 +63,25 @@ def candidates(docs: DataFrame, row_id: str, text: str, size: int = 16, sample:
 
 
 def _packed(rows: DataFrame, row_id: str, size: int) -> DataFrame:
-    """(ids, keys): ``size`` rows of each task laid into one, without a shuffle."""
+    """(ids, keys, block): up to ``size`` rows of a task and a block laid into one, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], names=["ids", "keys"])
+            by_block: dict = {}
+            for i, block in enumerate(batch["block"].to_pylist()):
+                by_block.setdefault(block, []).append(i)
+            for block, at in by_block.items():
+                for i in range(0, len(at), size):
+                    part = batch.take(pa.array(at[i : i + size]))
+                    ids, keys = (pa.array([part[c].to_pylist()], pa.list_(part[c].type)) for c in (row_id, "key"))
+                    yield pa.RecordBatch.from_arrays([ids, keys, pa.array([block], pa.string())], names=["ids", "keys", "block"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(rows.schema[row_id].dataType)), T.StructField("keys", T.ArrayType(T.StringType()))]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(rows.schema[row_id].dataType)), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("block", T.StringType())]))
 
 
 def _bigrams(key: str) -> Counter:
-    return Counter(map(add, key, key[1:]))
+    """The bigrams of a key; a key of one character is its own."""
+    return Counter(map(add, key, key[1:]) if len(key) > 1 else [key])
 
 
 def _score_blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -105,26 +109,43 @@ def _score_blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
                         has[j, place[0] : place[0] + min(n, place[1])] = 1
             shared = has @ ones
             j, i = np.nonzero(shared)
-            score = 2.0 * shared[j, i].astype(float) / np.maximum(1, lengths[i] + np.array([len(k) for k in right])[j] - 2)
+            score = np.minimum(1.0, 2.0 * shared[j, i].astype(float) / np.maximum(1, lengths[i] + np.array([len(k) for k in right])[j] - 2))
             yield pa.RecordBatch.from_arrays([batch["left_ids"][r].values.take(pa.array(i)), batch["right_ids"][r].values.take(pa.array(j)), pa.array(score)], names=names)
 
 
-def dice_multiset(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
+def dice_multiset(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, block: str | None = None) -> DataFrame:
     """(left_id, right_id, score) of pairs that share a bigram: twice the shared count over all bigrams of both.
 
-    Nearly all pairs share one, so blocks of both sides meet instead of grams.
+    With ``block``, pairs are of one block only. Nearly all pairs share a bigram,
+    so packs of both sides meet instead of grams: the left side is the stated
+    query set. Equal keys score 1, those of one character too; empty keys have no pair.
     """
-    keyed = lambda rows, row_id: rows.select(row_id, key_of(F.col(text)).alias("key")).where("length(key) >= 2")
-    a = _packed(keyed(left, left_id), left_id, LEFT_BLOCK).toDF("left_ids", "left_keys")
-    b = _packed(keyed(right, right_id), right_id, RIGHT_BLOCK).toDF("right_ids", "right_keys")
+    of = F.lit("") if block is None else F.col(block).cast("string")
+    keyed = lambda rows, row_id: rows.select(row_id, key_of(F.col(text)).alias("key"), of.alias("block")).where("length(key) >= 1")
+    a = _packed(keyed(left, left_id), left_id, LEFT_BLOCK).toDF("left_ids", "left_keys", "block")
+    b = _packed(keyed(right, right_id), right_id, RIGHT_BLOCK).toDF("right_ids", "right_keys", "block")
     names = [left_id, right_id, "score"]
     schema = T.StructType([T.StructField(left_id, left.schema[left_id].dataType), T.StructField(right_id, right.schema[right_id].dataType), T.StructField("score", T.DoubleType())])
-    return b.crossJoin(a).mapInArrow(lambda batches: _score_blocks(batches, names), schema)
+    met = b.drop("block").crossJoin(a.drop("block")) if block is None else b.join(a, "block")
+    return met.mapInArrow(lambda batches: _score_blocks(batches, names), schema)
+
+
+def accept(scored: DataFrame, row_id: str, other: str, least: float = 0.48, near: float = 0.08) -> DataFrame:
+    """(row_id, other, score, accepted, alike): each row's best partner, whether it is good enough, and all partners no
+    more than ``near`` below the best, in the order of their rank."""
+    alike = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col(other)))), lambda x: x[other])
+    top = scored.groupBy(row_id).agg(F.max("score").alias("top"))
+    kept = scored.join(top, row_id).where(F.col("score") >= F.col("top") - F.lit(near))
+    return kept.groupBy(row_id).agg(F.min_by(other, F.struct(-F.col("score"), other)).alias(other), F.max("top").alias("score"), alike.alias("alike")).withColumn("accepted", F.col("score") >= F.lit(least))
 
 
 def dice_set(a: Column, b: Column) -> Column:
     """Twice the shared distinct bigrams over the distinct bigrams of both; 0 where there are none."""
-    x, y = F.array_distinct(grams(a)), F.array_distinct(grams(b))
+    return dice_of(F.array_distinct(grams(a)), F.array_distinct(grams(b)))
+
+
+def dice_of(x: Column, y: Column) -> Column:
+    """The same of two arrays of distinct bigrams."""
     total = F.size(x) + F.size(y)
     return F.when(total == 0, F.lit(0.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(x, y)) / total)
 
@@ -149,8 +170,41 @@ def gram_containment(a: Column, b: Column) -> Column:
     return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, grams(b))) / F.size(x))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block ratio of two match keys, cut by ``key_of``; 0 where one is empty."""
-    for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""))])
+def anchors(texts: DataFrame, row_id: str, window: int = 12, size: int = 8) -> DataFrame:
+    """(row_id, anchor): of each window of ``window`` characters of ``key`` the least hash of its ``size``-grams.
+
+    Two keys that share a window share its anchor, wherever it stands; keys shorter than a window have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, key in enumerate(batch["key"].to_pylist()):
+                codes = np.frombuffer((key or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+                if len(codes) < window:
+                    continue
+                grams = np.zeros(len(codes) - size + 1, np.uint64)
+                for i in range(size):
+                    grams = (grams ^ codes[i : len(grams) + i]) * np.uint64(0x9E3779B97F4A7C15)
+                    grams ^= grams >> np.uint64(29)
+                least = np.lib.stride_tricks.sliding_window_view(grams, window - size + 1).min(axis=1)
+                found = np.unique(least).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch[row_id].take(pa.array([row] * len(found))), pa.array(found)], names=[row_id, "anchor"])
+
+    return texts.select(row_id, "key").mapInArrow(run, T.StructType([texts.schema[row_id], T.StructField("anchor", T.LongType())]))
+
+
+def probe(items: DataFrame, texts: DataFrame, item_id: str, text_id: str, text: str = "text", sizes: tuple[int, ...] = (32, 24, 18), least: int = 12) -> DataFrame:
+    """(item_id, text_id, matched): texts that hold the first characters of an item's match key, and how many of them.
+
+    The longest of ``sizes`` that lies inside counts; items with keys under ``least`` characters have no pair. Pairs meet
+    on the anchor of the item's first ``least`` characters, so no text is tried on all items.
+    """
+    keyed = lambda rows, row_id: rows.select(row_id, match_key(F.col(text)).alias("key"))
+    wanted = keyed(items, item_id).where(F.length("key") >= least)
+    heads = anchors(wanted.select(item_id, F.substring("key", 1, least).alias("key")), item_id, least)
+    keys = keyed(texts, text_id)
+    pairs = heads.join(anchors(keys, text_id, least), "anchor").select(item_id, text_id).distinct()
+    full = pairs.join(wanted.select(item_id, F.col("key").alias("probe")), item_id).join(keys, text_id)
+    hit = lambda n: F.contains("key", F.substring("probe", 1, n))
+    matched = F.coalesce(*[F.when(hit(n), F.least(F.length("probe"), F.lit(n))) for n in sorted(sizes, reverse=True)])
+    return full.select(item_id, text_id, matched.alias("matched")).where("matched is not null")

@@ -120,11 +120,10 @@ def json_group(spark, d):
     return Tables(spark, d).events.groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"seen\":[\"a\",\"b\"],\"n\":' || event_id || '}' AS props FROM events WHERE event_type = 'click'")
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"z":{"y":[1,"b"]},"seen":["a","b"],"n":' || event_id || '}' AS props FROM events""")
 def json_set(spark, d):
-    doc = F.from_json("props", "k long")
-    new = F.to_json(F.struct(doc["k"].alias("k"), F.array(F.lit("a"), F.lit("b")).alias("seen"), F.col("event_id").alias("n")))
-    return Tables(spark, d).events.where("event_type = 'click'").select("event_id", new.alias("props"))
+    events = Tables(spark, d).events.withColumn("props", F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"z":{"y":[1,"b"]},"seen":0}')))
+    return events.select("event_id", fn.json_put(F.col("props"), {"seen": F.lit('["a","b"]'), "n": F.col("event_id").cast("string")}).alias("props"))
 
 
 @query("SELECT p_partkey, json_valid(CASE WHEN p_size % 3 = 0 THEN '{\"a\":' || p_size || '}' WHEN p_size % 3 = 1 THEN '{\"a\":' ELSE '[1,2' || ']' END) AS ok FROM part")
@@ -133,21 +132,12 @@ def json_valid(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.try_parse_json(raw).isNotNull().alias("ok"))
 
 
-def _patched(part):
+@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part")
+def json_array_patch(spark, d):
     raw = F.lit('[{"label":"A","content":"x"},{"label":"B","content":"y"},{"label":"C","content":"z"},{"label":"D","content":"w"}]')
     options = F.from_json(raw, "array<struct<label:string,content:string>>")
     patched = F.transform(options, lambda o, i: F.struct(o["label"].alias("label"), F.when((F.col("p_partkey") == 7) & (i == 3), "fixed").otherwise(o["content"]).alias("content")))
-    return part.select("p_partkey", F.array_join(F.transform(patched, lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part WHERE p_partkey < 20")
-def json_array_patch(spark, d):
-    return _patched(Tables(spark, d).part.where("p_partkey < 20"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part")
-def json_array_patch_all(spark, d):
-    return _patched(Tables(spark, d).part)
+    return Tables(spark, d).part.select("p_partkey", F.array_join(F.transform(patched, lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
 
 
 @query("SELECT p_partkey, 'brand=' || p_brand || ';size=' || p_size AS entries FROM part")
@@ -210,15 +200,9 @@ def _refresh(lineitem, part):
     return bank.refresh_snapshots(items, named(part.where("p_partkey % 3 = 0"), "p_brand"), named(part.where("p_partkey % 2 = 0"), "p_name"), "l_partkey", "name").select("l_orderkey", "l_partkey", "name")
 
 
-@query("""SELECT l_orderkey, l_partkey, coalesce(cur.p_name, old.p_brand) AS name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 2000) i
-LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) cur ON cur.p_partkey = l_partkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) old ON old.p_partkey = l_partkey WHERE coalesce(cur.p_name, old.p_brand) IS NOT NULL""")
-def snapshot_refresh(spark, d):
-    return _refresh(Tables(spark, d).lineitem.where("l_orderkey < 2000"), Tables(spark, d).part)
-
-
 @query("""SELECT l_orderkey, l_partkey, coalesce(cur.p_name, old.p_brand) AS name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) i
 LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) cur ON cur.p_partkey = l_partkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) old ON old.p_partkey = l_partkey WHERE coalesce(cur.p_name, old.p_brand) IS NOT NULL""")
-def snapshot_refresh_all(spark, d):
+def snapshot_refresh(spark, d):
     return _refresh(Tables(spark, d).lineitem, Tables(spark, d).part)
 
 
@@ -226,27 +210,12 @@ def _zip(items, docs):
     return bank.numbered(items.select("item_id"), "item_id", "rn").join(bank.numbered(docs.select("doc_id"), "doc_id", "rn"), "rn").select("rn", "item_id", "doc_id")
 
 
-@query("SELECT b.rn AS rn, b.item_id AS item_id, a.doc_id AS doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) b JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE lang = 'de') a ON a.rn = b.rn")
-def positional_zip(spark, d):
-    t = Tables(spark, d)
-    return _zip(t.benchmark, t.documents.where("lang = 'de'"))
-
-
 @query("SELECT b.rn AS rn, b.item_id AS item_id, a.doc_id AS doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) b JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) a ON a.rn = b.rn")
-def positional_zip_all(spark, d):
+def positional_zip(spark, d):
     t = Tables(spark, d)
     return _zip(t.benchmark, t.documents)
 
 
-@query("""SELECT a.p_partkey, CASE WHEN length(b.p_name) < 1.35 * length(a.p_name) AND instr(b.p_name, 'a') > 0 THEN b.p_name ELSE a.p_name END AS stem
-FROM part a LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) b ON b.p_partkey = a.p_partkey + 1""")
-def conditional_merge(spark, d):
-    part = Tables(spark, d).part
-    alt = part.where("p_partkey % 2 = 0").select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("alt"))
-    better = F.expr("length(alt) < 1.35D * length(p_name) and instr(alt, 'a') > 0")
-    return part.join(alt, "p_partkey", "left").select("p_partkey", F.when(better, F.col("alt")).otherwise(F.col("p_name")).alias("stem"))
-
-
 @query("SELECT p_partkey, CASE p_partkey WHEN 1 THEN 'img/1.png' WHEN 5 THEN 'img/5.png' ELSE p_brand END AS image FROM part")
 def patch_join(spark, d):
     patch = spark.createDataFrame([(1, "img/1.png"), (5, "img/5.png")], "p_partkey long, patch string")

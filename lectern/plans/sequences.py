@@ -79,23 +79,6 @@ def asof_start(spark, d):
     return rows.select("event_id", F.coalesce("start", F.lit(-1).cast("long")).alias("start"))
 
 
-def _pool(items, docs):
-    # a range join as an equi join on buckets of the pool's width
-    items = items.select("item_id", (F.col("item_id") * 20).alias("at")).withColumn("b", F.explode(F.expr("sequence(floor((at - 35) / 72), floor((at + 36) / 72))")))
-    docs = docs.select("doc_id", F.expr("floor(doc_id / 72)").alias("b"))
-    return items.join(docs, "b").where("doc_id between at - 35 and at + 36").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-
-
-@query("SELECT b.item_id AS item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON d.lang = 'es' AND d.doc_id BETWEEN b.item_id * 20 - 35 AND b.item_id * 20 + 36 GROUP BY 1")
-def proportional_pool(spark, d):
-    return _pool(Tables(spark, d).benchmark, Tables(spark, d).documents.where("lang = 'es'"))
-
-
-@query("SELECT b.item_id AS item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON d.doc_id BETWEEN b.item_id * 20 - 35 AND b.item_id * 20 + 36 GROUP BY 1")
-def proportional_pool_all(spark, d):
-    return _pool(Tables(spark, d).benchmark, Tables(spark, d).documents)
-
-
 STATE = f"(SELECT *, max(CASE WHEN regexp_matches(line, '^T') OR regexp_matches(line, '^[AO]') THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM {LINES})"
 
 
@@ -117,39 +100,3 @@ def backward_collect(spark, d):
 def until_first_match(spark, d):
     stop = F.min(F.when(F.col("line").rlike("^[D-H]"), F.col("pos"))).over(Window.partitionBy("doc_id"))
     return _lines(spark, d).withColumn("stop", stop).where("stop is null or pos < stop").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT user_id, event_id AS anchor, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS span,
-coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS next_anchor FROM events WHERE event_type = 'purchase'""")
-def anchored_records(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    anchors = Tables(spark, d).events.where("event_type = 'purchase'")
-    return anchors.select("user_id", F.col("event_id").alias("anchor"), (F.col("event_id") - F.coalesce(F.lag("event_id").over(w), F.lit(-1))).alias("span"), F.coalesce(F.lead("event_id").over(w), F.lit(-1).cast("long")).alias("next_anchor"))
-
-
-@query("SELECT doc_id, regexp_extract(string_split(text, chr(10))[1], '^([A-Za-z]+)', 1) AS head, len(string_split(text, chr(10))) - 1 AS parts, len(string_split(text, chr(10))) < 5 AS partial FROM documents")
-def record_parse(spark, d):
-    lines = F.split("text", "\n")
-    return Tables(spark, d).documents.select("doc_id", F.regexp_extract(F.get(lines, 0), "^([A-Za-z]+)", 1).alias("head"), (F.size(lines) - 1).cast("long").alias("parts"), (F.size(lines) < 5).alias("partial"))
-
-
-def _options(part):
-    raw = F.concat(F.lit("A. "), "p_brand", F.lit(" B. "), "p_type", F.lit(" D.x C. c D. "), "p_name")
-    options = seg.label_sequence(raw)
-    return part.select("p_partkey", F.array_join(F.transform(options, lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
-
-
-@query("SELECT p_partkey, 'A=' || p_brand || ';B=' || p_type || ' D.x;C=c;D=' || p_name AS options FROM part WHERE p_partkey < 500")
-def option_sequence(spark, d):
-    return _options(Tables(spark, d).part.where("p_partkey < 500"))
-
-
-@query("SELECT p_partkey, 'A=' || p_brand || ';B=' || p_type || ' D.x;C=c;D=' || p_name AS options FROM part")
-def option_sequence_all(spark, d):
-    return _options(Tables(spark, d).part)
-
-
-@query("SELECT conv_id, count(*) FILTER (WHERE turn = 0) AS note_groups, count(*) AS notes FROM conversations GROUP BY 1")
-def note_groups(spark, d):
-    rows = seg.running_id(Tables(spark, d).conversations, ["conv_id"], ["turn"], F.col("turn") == 0, "grp")
-    return rows.groupBy("conv_id").agg(F.max("grp").alias("note_groups"), F.count(F.lit(1)).alias("notes"))

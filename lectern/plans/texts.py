@@ -42,11 +42,6 @@ def extract_number(spark, d):
     return Tables(spark, d).documents.where("rlike(text, '[0-9]%')").select("doc_id", fn.percent_in(F.col("text")).alias("pct"))
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), ''), nullif(regexp_extract(html, '<title>([^<]*)', 1), ''), '-') AS title FROM pages")
-def regex_fallback_extract(spark, d):
-    return Tables(spark, d).pages.select("page_id", F.coalesce(fn.first_of(F.col("html"), ["<h1[^>]*>([^<]*)", "<title>([^<]*)"]), F.lit("-")).alias("title"))
-
-
 @query("SELECT p_partkey, CAST(CASE p_size % 3 WHEN 0 THEN 12 WHEN 1 THEN 10 ELSE p_size END AS INTEGER) AS marker FROM part")
 def char_map_numbers(spark, d):
     raw = F.expr("case p_size % 3 when 0 then '①②' when 1 then '⑩' else cast(p_size as string) end")
@@ -95,158 +90,98 @@ def added_parentheticals(spark, d):
 
 # --- similarity
 
-KEYS = "SELECT {id}, substr(lower(regexp_replace(text, '[^0-9A-Za-z\\x{{3400}}-\\x{{9fff}}]', '', 'g')), 1, 800) AS k FROM {t}"
-GRAMS = "(SELECT {id}, k, substr(k, CAST(i AS BIGINT), 2) AS g, count(*) AS n FROM (SELECT *, unnest(generate_series(1, length(k) - 1)) AS i FROM ({keys})) GROUP BY ALL)"
-SCORES = f"""(SELECT item_id, doc_id, CASE WHEN a.k = b.k THEN 1.0 ELSE 2.0 * sum(least(a.n, b.n)) / greatest(1, length(any_value(a.k)) + length(any_value(b.k)) - 2) END::DOUBLE AS score
-FROM {GRAMS.format(id='item_id', keys=KEYS.format(id='item_id', t='(SELECT * FROM benchmark)'))} a JOIN {GRAMS.format(id='doc_id', keys=KEYS.format(id='doc_id', t="(SELECT * FROM documents WHERE lang = 'es')"))} b ON a.g = b.g GROUP BY item_id, doc_id, a.k, b.k)"""
-
-
-#: The same over the documents of all languages, for the queries in ``_all``.
-SCORES_ALL = f"""(SELECT item_id, doc_id, CASE WHEN a.k = b.k THEN 1.0 ELSE 2.0 * sum(least(a.n, b.n)) / greatest(1, length(any_value(a.k)) + length(any_value(b.k)) - 2) END::DOUBLE AS score
-FROM {GRAMS.format(id='item_id', keys=KEYS.format(id='item_id', t='benchmark'))} a JOIN {GRAMS.format(id='doc_id', keys=KEYS.format(id='doc_id', t='documents'))} b ON a.g = b.g GROUP BY item_id, doc_id, a.k, b.k)"""
+KEYS = "SELECT {id}, {block} AS block, substr(lower(regexp_replace(text, '[^0-9A-Za-z\\x{{3400}}-\\x{{9fff}}]', '', 'g')), 1, 800) AS k FROM {t}"
+GRAMS = "(SELECT {id}, block, k, substr(k, CAST(i AS BIGINT), 2) AS g, count(*) AS n FROM (SELECT *, unnest(generate_series(1, greatest(length(k) - 1, 1))) AS i FROM ({keys}) WHERE k <> '') GROUP BY ALL)"
 
 
-def _scores(spark, d, docs="lang = 'es'"):
-    t = Tables(spark, d)
-    return sim.dice_multiset(t.benchmark, t.documents.where(docs), "item_id", "doc_id", "text")
-
-
-@query(f"SELECT item_id, count(*) AS pairs, round(max(score), 6) AS best FROM {SCORES} GROUP BY 1")
-def dice_multiset(spark, d, docs="lang = 'es'"):
-    return _scores(spark, d, docs).groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("score"), 6).alias("best"))
+def _scores_sql(left: str = "''", right: str = "''") -> str:
+    """Scores of all pairs of an item and a document, or those of one block."""
+    a = GRAMS.format(id="item_id", keys=KEYS.format(id="item_id", block=left, t="benchmark"))
+    b = GRAMS.format(id="doc_id", keys=KEYS.format(id="doc_id", block=right, t="documents"))
+    return f"""(SELECT item_id, doc_id, round(CASE WHEN a.k = b.k THEN 1.0 ELSE 2.0 * sum(least(a.n, b.n)) / greatest(1, length(any_value(a.k)) + length(any_value(b.k)) - 2) END::DOUBLE, 9) AS score
+FROM {a} a JOIN {b} b ON a.g = b.g AND a.block = b.block GROUP BY item_id, doc_id, a.k, b.k)"""
 
 
-@query(f"SELECT item_id, count(*) AS pairs, round(max(score), 6) AS best FROM {SCORES_ALL} GROUP BY 1")
-def dice_multiset_all(spark, d):
-    return dice_multiset(spark, d, "true")
+SCORES, BLOCK = _scores_sql(), "'src' || item_id % 20"
+BLOCKED = _scores_sql(BLOCK, "source")
+BEST = "(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn, max(score) OVER (PARTITION BY item_id) AS top FROM {s})"
 
 
-RANKED = f"(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM {SCORES})"
-
-
-RANKED_ALL = f"(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM {SCORES_ALL})"
-
-
-def _best(spark, d, docs="lang = 'es'"):
-    return sim.best_match(_scores(spark, d, docs).withColumn("score", F.round("score", 9)), "item_id", "doc_id")
-
-
-@query(f"SELECT item_id, doc_id, round(score, 6) AS score FROM {RANKED} WHERE rn = 1")
-def similarity_best_match(spark, d, docs="lang = 'es'"):
-    return _best(spark, d, docs).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+def _scores(spark, d):
+    t = Tables(spark, d)
+    return sim.dice_multiset(t.benchmark, t.documents, "item_id", "doc_id", "text").withColumn("score", F.round("score", 9))
 
 
-@query(f"SELECT item_id, doc_id, round(score, 6) AS score FROM {RANKED_ALL} WHERE rn = 1")
-def similarity_best_match_all(spark, d):
-    return similarity_best_match(spark, d, "true")
+def _blocked(spark, d):
+    """Items meet the documents of one source only."""
+    t = Tables(spark, d)
+    items = t.benchmark.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+    return sim.dice_multiset(items, t.documents, "item_id", "doc_id", "text", block="source").withColumn("score", F.round("score", 9))
 
 
-@query(f"SELECT item_id, CASE WHEN score >= 0.48 THEN doc_id ELSE item_id END AS partner, score >= 0.48 AS accepted FROM {RANKED} WHERE rn = 1")
-def similarity_fallback(spark, d, docs="lang = 'es'"):
-    ok = F.col("score") >= 0.48
-    return _best(spark, d, docs).select("item_id", F.when(ok, F.col("doc_id")).otherwise(F.col("item_id")).alias("partner"), ok.alias("accepted"))
+@query(f"SELECT item_id, count(*) AS pairs, round(max(score), 6) AS best FROM {SCORES} GROUP BY 1")
+def dice_multiset(spark, d):
+    return _scores(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("score"), 6).alias("best"))
 
 
-@query(f"SELECT item_id, CASE WHEN score >= 0.48 THEN doc_id ELSE item_id END AS partner, score >= 0.48 AS accepted FROM {RANKED_ALL} WHERE rn = 1")
-def similarity_fallback_all(spark, d):
-    return similarity_fallback(spark, d, "true")
+@query(f"SELECT item_id, doc_id, round(score, 6) AS score FROM {BEST.format(s=BLOCKED)} WHERE rn = 1")
+def similarity_best_match(spark, d):
+    return sim.best_match(_blocked(spark, d), "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT item_id, count(*) AS near, min(doc_id) AS first_doc FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM (SELECT item_id, doc_id, round(score, 9) AS score FROM {SCORES})) WHERE score >= top - 0.08 GROUP BY 1")
-def assign_with_tolerance(spark, d, docs="lang = 'es'"):
-    top = F.max("score").over(Window.partitionBy("item_id"))
-    near = _scores(spark, d, docs).withColumn("score", F.round("score", 9)).withColumn("top", top).where("score >= top - 0.08D")
-    return near.groupBy("item_id").agg(F.count(F.lit(1)).alias("near"), F.min("doc_id").alias("first_doc"))
+@query(f"SELECT item_id, CASE WHEN score >= 0.48 THEN doc_id ELSE item_id END AS partner, score >= 0.48 AS accepted FROM {BEST.format(s=BLOCKED)} WHERE rn = 1")
+def similarity_fallback(spark, d):
+    paired = sim.accept(_blocked(spark, d), "item_id", "doc_id")
+    return paired.select("item_id", F.when(F.col("accepted"), F.col("doc_id")).otherwise(F.col("item_id")).alias("partner"), "accepted")
 
 
-@query(f"SELECT item_id, count(*) AS near, min(doc_id) AS first_doc FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM (SELECT item_id, doc_id, round(score, 9) AS score FROM {SCORES_ALL})) WHERE score >= top - 0.08 GROUP BY 1")
-def assign_with_tolerance_all(spark, d):
-    return assign_with_tolerance(spark, d, "true")
+@query(f"SELECT item_id, count(*) AS near, min(doc_id) AS first_doc FROM {BEST.format(s=SCORES)} WHERE score >= top - 0.08 GROUP BY 1")
+def assign_with_tolerance(spark, d):
+    near = sim.accept(_scores(spark, d), "item_id", "doc_id")
+    return near.select("item_id", F.size("alike").cast("long").alias("near"), F.array_min("alike").alias("first_doc"))
 
 
-@query(f"""SELECT item_id, first(source ORDER BY rn) AS source FROM (SELECT r.*, nullif(CASE WHEN d.n_chars % 2 = 0 THEN '' ELSE source END, '') AS source FROM {RANKED} r JOIN documents d USING (doc_id)) WHERE rn <= 10 AND source IS NOT NULL GROUP BY 1""")
-def backfill_first_nonnull(spark, d, docs="lang = 'es'"):
-    scored = _scores(spark, d, docs).withColumn("score", F.round("score", 9)).withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 10")
-    named = scored.join(Tables(spark, d).documents.select("doc_id", F.expr("if(n_chars % 2 = 0, '', source)").alias("source")), "doc_id").where("source <> ''")
+@query(f"""SELECT item_id, first(source ORDER BY rn) AS source FROM (SELECT r.*, nullif(CASE WHEN d.n_chars % 2 = 0 THEN '' ELSE lang END, '') AS source FROM {BEST.format(s=BLOCKED)} r JOIN documents d USING (doc_id)) WHERE score >= top - 0.08 AND source IS NOT NULL GROUP BY 1""")
+def backfill_first_nonnull(spark, d):
+    alike = sim.accept(_blocked(spark, d), "item_id", "doc_id").select("item_id", F.posexplode("alike").alias("rn", "doc_id"))
+    named = alike.join(Tables(spark, d).documents.select("doc_id", F.expr("if(n_chars % 2 = 0, '', lang)").alias("source")), "doc_id").where("source <> ''")
     return named.groupBy("item_id").agg(F.min_by("source", "rn").alias("source"))
 
 
-@query(f"""SELECT item_id, first(source ORDER BY rn) AS source FROM (SELECT r.*, nullif(CASE WHEN d.n_chars % 2 = 0 THEN '' ELSE source END, '') AS source FROM {RANKED_ALL} r JOIN documents d USING (doc_id)) WHERE rn <= 10 AND source IS NOT NULL GROUP BY 1""")
-def backfill_first_nonnull_all(spark, d):
-    return backfill_first_nonnull(spark, d, "true")
-
-
-PAIRS = "(SELECT a.doc_id AS a, b.doc_id AS b, substr(a.text, 1, 200) AS x, substr(b.text, 1, 200) AS y FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id = a.doc_id + 20)"
-LIST = "(CASE WHEN length({c}) < {k} THEN []::VARCHAR[] ELSE list_distinct(list_transform(generate_series(1, length({c}) - {k} + 1), lambda i: substr({c}, i, {k}))) END)"
-
-
-def _pairs(spark, d):
+def _similar(spark, d):
+    """Candidates with the distinct bigrams of both, built once a document; whole texts are beyond SQL twins."""
     docs = Tables(spark, d).documents
-    a = docs.select("source", F.col("doc_id").alias("a"), F.substring("text", 1, 200).alias("x"))
-    return a.join(docs.select("source", (F.col("doc_id") - 20).alias("a"), F.col("doc_id").alias("b"), F.substring("text", 1, 200).alias("y")), ["source", "a"])
-
-
-@query(f"SELECT a, b, round(CASE WHEN len({LIST.format(c='x', k=2)}) + len({LIST.format(c='y', k=2)}) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect({LIST.format(c='x', k=2)}, {LIST.format(c='y', k=2)})) / (len({LIST.format(c='x', k=2)}) + len({LIST.format(c='y', k=2)})) END, 6)::DOUBLE AS score FROM {PAIRS}")
-def dice_set(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round(sim.dice_set(F.col("x"), F.col("y")), 6).alias("score"))
-
-
-@query(f"SELECT a, b, round(len(list_intersect({LIST.format(c='x', k=2)}, {LIST.format(c='y', k=2)}))::DOUBLE / len({LIST.format(c='x', k=2)}), 6) AS share FROM {PAIRS}")
-def gram_containment(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round(sim.gram_containment(F.col("x"), F.col("y")), 6).alias("share"))
-
-
-X30, Y30 = "substr(x, 1, 30)", "substr(y, 1, 30)"
-
-
-@query(f"SELECT a, b, len(list_filter(list_intersect({LIST.format(c=X30, k=2)}, {LIST.format(c=Y30, k=2)}), lambda g: NOT list_contains(['th', 'he'], g))) >= 2 OR len(list_intersect({LIST.format(c=X30, k=3)}, {LIST.format(c=Y30, k=3)})) > 0 AS near FROM {PAIRS}")
-def distinctive_overlap(spark, d):
-    return _pairs(spark, d).select("a", "b", sim.distinctive_overlap(F.col("x"), F.substring("y", 1, 30), ["th", "he"], 30).alias("near"))
-
-
-def _similar(spark, d, text):
-    """Candidates with ``text`` of both documents as x and y; the whole-text scores are beyond SQL twins."""
-    docs = Tables(spark, d).documents
-    side = lambda i, x: docs.select(F.col("doc_id").alias(i), text.alias(x))
+    grams = F.array_distinct(sim.grams(fn.bare(F.col("text"))))
+    side = lambda i, x: docs.select(F.col("doc_id").alias(i), grams.alias(x))
     return sim.candidates(docs, "doc_id", "text").join(side("a", "x"), "a").join(side("b", "y"), "b")
 
 
 @query()
-def dice_set_all(spark, d):
-    return _similar(spark, d, fn.bare(F.col("text"))).select("a", "b", F.round(sim.dice_set(F.col("x"), F.col("y")), 6).alias("score"))
+def dice_set(spark, d):
+    return _similar(spark, d).select("a", "b", F.round(sim.dice_of(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 @query()
-def gram_containment_all(spark, d):
-    return _similar(spark, d, fn.bare(F.col("text"))).select("a", "b", F.round(sim.gram_containment(F.col("x"), F.col("y")), 6).alias("share"))
+def gram_containment(spark, d):
+    return _similar(spark, d).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.lit(1)), 6).alias("share"))
 
 
 @query()
-def distinctive_overlap_all(spark, d):
-    return _similar(spark, d, fn.bare(F.col("text"))).select("a", "b", sim.distinctive_overlap(F.col("x"), F.col("y"), ["th", "he"]).alias("near"))
+def distinctive_overlap(spark, d):
+    docs = Tables(spark, d).documents
+    side = lambda i, x: docs.select(F.col("doc_id").alias(i), fn.bare(F.col("text")).alias(x))
+    pairs = sim.candidates(docs, "doc_id", "text").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return pairs.select("a", "b", sim.distinctive_overlap(F.col("x"), F.col("y"), ["th", "he"]).alias("near"))
 
 
-@query()
-def seqmatch(spark, d):
-    """Matching-block ratios of candidates' match keys; difflib has no SQL twin."""
-    return _similar(spark, d, sim.key_of(F.col("text"))).select("a", "b", F.round(sim.sequence_ratio("x", "y"), 6).alias("ratio"))
+NORMAL = "lower(regexp_replace({c}, '[^0-9A-Za-z\\x{{3400}}-\\x{{9fff}}]', '', 'g'))"
 
 
-@query("SELECT item_id, count(*) AS hits, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 32)) WHERE length(b.text) >= 12 GROUP BY 1")
+@query(f"""SELECT item_id, count(*) AS hits, min(doc_id) AS first_doc, max(least(length(p), CASE WHEN contains(k, substr(p, 1, 32)) THEN 32 WHEN contains(k, substr(p, 1, 24)) THEN 24 ELSE 18 END)) AS matched
+FROM (SELECT item_id, {NORMAL.format(c='text')} AS p FROM benchmark) JOIN (SELECT doc_id, {NORMAL.format(c='text')} AS k FROM documents) ON contains(k, substr(p, 1, 18)) WHERE length(p) >= 12 GROUP BY 1""")
 def probe_containment(spark, d):
     t = Tables(spark, d)
-    probes = t.benchmark.where("length(text) >= 12").select("item_id", F.substring("text", 1, 32).alias("probe"))
-    # a text that holds the probe holds its inner words as words: the longest is the key of an equi join
-    words = F.split("probe", "\\s+")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    keyed = probes.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    texts = t.documents.select("doc_id", "text")
-    spread = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("word"))
-    by_word = spread.join(keyed.where("word is not null"), "word").join(texts, "doc_id").select("item_id", "probe", "doc_id", "text")
-    # probes without an inner word are tried on every text; they are a few odd ones
-    odd = keyed.where("word is null").drop("word").join(texts, F.contains("text", "probe")).select("item_id", "probe", "doc_id", "text")
-    candidates = by_word.unionByName(odd)
-    return candidates.where(F.contains("text", "probe")).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
+    return sim.probe(t.benchmark, t.documents, "item_id", "doc_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"), F.max("matched").cast("long").alias("matched"))
 
 
 @query("SELECT source, arg_max(doc_id, (n_chars, -doc_id)) AS longest, arg_min(doc_id, (n_chars, doc_id)) AS shortest FROM documents GROUP BY 1")
@@ -261,67 +196,25 @@ def priority_pick(spark, d):
     return offers.where("content <> ''").groupBy("p_partkey").agg(F.min_by("content", "prio").alias("content"))
 
 
-@query("SELECT conv_id, count(DISTINCT lower(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'))) AS kept FROM conversations WHERE length(text) <= 600 AND length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) > 8 GROUP BY 1")
-def note_clean(spark, d):
-    rows = Tables(spark, d).conversations.where("length(text) <= 600").withColumn("key", F.lower(F.regexp_replace("text", "[^0-9A-Za-z]", ""))).where("length(key) > 8")
-    return first_wins(rows, ["conv_id", "key"], F.col("turn")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
-
-
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
 def compose_text(spark, d):
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     return Tables(spark, d).conversations.groupBy("conv_id").agg(F.array_join(turns, "\n\n").alias("body"))
 
 
-@query("SELECT source, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents WHERE lang = 'de' GROUP BY 1")
-def group_to_list(spark, d, docs="lang = 'de'"):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return Tables(spark, d).documents.where(docs).groupBy("source").agg(F.array_join(ids, ",").alias("ids"))
-
-
 @query("SELECT source, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1")
-def group_to_list_all(spark, d):
-    return group_to_list(spark, d, "true")
+def group_to_list(spark, d):
+    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
+    return Tables(spark, d).documents.groupBy("source").agg(F.array_join(ids, ",").alias("ids"))
 
 
 # --- audits
 
-RULES = "(SELECT doc_id, 'short' AS rule FROM documents WHERE n_chars < 100 UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars > 15000 UNION ALL SELECT doc_id, 'secret' FROM documents WHERE contains(text, 'token =') UNION ALL SELECT doc_id, 'lang' FROM documents WHERE lang NOT IN ('en', 'fr', 'de'))"
-
-
-@query(f"SELECT doc_id, rule FROM {RULES}")
-def rule_violations(spark, d):
-    rules = {"short": F.expr("n_chars < 100"), "long": F.expr("n_chars > 15000"), "secret": F.contains("text", F.lit("token =")), "lang": ~F.col("lang").isin("en", "fr", "de")}
-    return audit.violations(Tables(spark, d).documents, "doc_id", rules)
-
-
-@query(f"SELECT rule, count(*) AS n, min(doc_id) AS first_doc FROM {RULES} GROUP BY 1")
-def audit_violations(spark, d):
-    return rule_violations(spark, d).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-
-
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, sum(len(string_split(text, chr(10))))::BIGINT AS lines, count(*) FILTER (WHERE contains(text, '|')) AS piped FROM documents GROUP BY 1")
 def audit_profile(spark, d):
     return Tables(spark, d).documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.count_if(F.contains("text", F.lit("|"))).alias("piped"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT d.doc_id) AS ids, count(quality) AS labelled, min(n_chars) AS least, count(*) FILTER (WHERE quality = 0) AS poor FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def quality_report(spark, d):
-    t = Tables(spark, d)
-    return t.documents.join(t.labels, "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.count("quality").alias("labelled"), F.min("n_chars").alias("least"), F.count_if(F.col("quality") == 0).alias("poor"))
-
-
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '!!'))) > 0) AS shouting, count(*) FILTER (WHERE contains(text, '@')) AS mails FROM documents")
-def import_summary(spark, d):
-    shout = F.exists(F.split("text", "\n"), lambda x: F.contains(x, F.lit("!!")))
-    return Tables(spark, d).documents.agg(F.count(F.lit(1)).alias("total"), F.count_if(shout).alias("shouting"), F.count_if(F.contains("text", F.lit("@"))).alias("mails"))
-
-
-@query("SELECT count(*) FILTER (WHERE trim(text) = '') AS blank, count(*) FILTER (WHERE NOT contains(text, chr(10))) AS one_line, count(*) FILTER (WHERE n_chars <> length(text)) AS off FROM documents")
-def preview_checks(spark, d):
-    return Tables(spark, d).documents.agg(F.count_if(F.trim("text") == "").alias("blank"), F.count_if(~F.contains("text", F.lit("\n"))).alias("one_line"), F.count_if(F.expr("n_chars <> length(text)")).alias("off"))
-
-
 @query("SELECT i AS id, 'missing' AS side FROM (SELECT unnest(generate_series(0, 599)) AS i) WHERE i NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id > 599")
 def idset_diff(spark, d):
     return audit.id_difference(spark.range(600), Tables(spark, d).labels.select(F.col("doc_id").alias("id")), "id")
