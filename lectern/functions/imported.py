@@ -289,12 +289,15 @@ def fill_blanks(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r["underline"] & r["text"].rlike("\\A[\\s\\u00a0_]+\\z"), "__________").otherwise(F.replace(r["text"], F.lit("\u00a0"), F.lit(" ")))), "")
 
 
+def json_text(col: Column) -> Column:
+    """JSON text with escapes of control characters in lower case, as most writers have them."""
+    for c in "ABCDEF":
+        col = F.regexp_replace(col, f"(?<=(?<!\\\\)(?:\\\\\\\\){{0,50}}\\\\u00[01]){c}", c.lower())
+    return col
+
+
 def import_key(stem: Column, options: Column, source: Column) -> Column:
-    """SHA-256 of the JSON list of stem, options and source; escapes of control characters in lower case."""
+    """SHA-256 of the JSON list of stem, options and source."""
     parts = [F.to_json(F.array(stem)), F.to_json(options), F.to_json(F.array(source))]
     bare = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
-    text = F.concat(F.lit("["), bare(parts[0]), F.lit(","), parts[1], F.lit(","), bare(parts[2]), F.lit("]"))
-    for c in "ABCDEF":
-        text = F.regexp_replace(text, f"(?<=(?<!\\\\)(?:\\\\\\\\){{0,50}}\\\\u00[01]){c}", c.lower())
-    return F.sha2(text, 256)
-
+    return F.sha2(json_text(F.concat(F.lit("["), bare(parts[0]), F.lit(","), parts[1], F.lit(","), bare(parts[2]), F.lit("]"))), 256)

@@ -27,6 +27,11 @@ def seeded_order(seed: str, key: Column | str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")))
 
 
+def lookup_one(bank: DataFrame, key: str, value) -> DataFrame:
+    """The row of a unique key, or none."""
+    return bank.where(F.col(key) == F.lit(value)).limit(1)
+
+
 def sample(bank: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """At most ``n`` rows in seeded random order."""
     return bank.orderBy(seeded_order(seed, key), key).limit(n)
@@ -63,11 +68,14 @@ def keep_latest(rows: DataFrame, owner: str, key: str, k: int, *order: Column) -
 def numbered(rows: DataFrame, by: str, name: str, size: int = 100_000) -> DataFrame:
     """Rows numbered from 1 in the order of ``by``: by ranges of about ``size`` rows, offset by the counts of those before."""
     parts = -(-rows.count() // size)
-    cuts = rows.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
+    rank_of = by if dict(rows.dtypes)[by] != "string" else F.conv(F.hex(F.substring(F.encode(by, "utf-8"), 1, 7)), 16, 10).cast("long")
+    rows = rows if isinstance(rank_of, str) else rows.withColumn("_by", rank_of)
+    at = by if isinstance(rank_of, str) else "_by"
+    cuts = rows.select(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(at))) if cuts else F.lit(0)
     ranged = rows.withColumn("_range", place)
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # one row a range
     offsets = [sum(n for r, n in counts.items() if r < i) for i in range(len(cuts) + 1)]
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(by))
-    return ranged.withColumn(name, rank + F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_range"))).drop("_range")
+    return ranged.withColumn(name, rank + F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_range"))).drop("_range", "_by")

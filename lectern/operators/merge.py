@@ -52,3 +52,19 @@ def adopt_keys(target: DataFrame, staged: DataFrame, twin: list[str], key: str,
     lowest = target.where(F.col(key).isNull()).groupBy(*twin).agg(F.min(row_id).alias("_low"))
     joined = target.join(keys, twin, "left").join(lowest, twin, "left")
     return joined.withColumn(key, F.when(F.col(key).isNull() & (F.col(row_id) == F.col("_low")), F.col("_new")).otherwise(F.col(key))).select(*target.columns)
+
+
+def import_error(status: Column, received: Column, total: Column) -> Column:
+    """Why an import can't be finalized: ``ended``, ``incomplete``, or null if it can."""
+    return F.when(status != "uploading", "ended").when(~received.eqNullSafe(total), "incomplete")
+
+
+def finalize_append(target: DataFrame, staged: DataFrame, key: str, twin: list[str], row_id: str, update: list[str]) -> DataFrame:
+    """Appends an import: unkeyed rows that a staged row equals in ``twin`` adopt its key, then rows are upserted on the key.
+
+    Rows that were there keep ``row_id`` and all columns but ``update``; new rows have no ``row_id`` yet. Target rows
+    without a key and without a twin stay. Staged keys are unique; staged rows without one are ignored.
+    """
+    adopted = adopt_keys(target, staged, twin, key, row_id)
+    source = staged.where(F.col(key).isNotNull()).withColumn(row_id, F.lit(None).cast(dict(target.dtypes)[row_id]))
+    return merge(adopted, source, [key], update)

@@ -62,9 +62,3 @@ def sections_between(lines: DataFrame, start: str, stop: str, key: str = "doc_id
     is_start, is_stop = F.col("line").rlike(start), F.col("line").rlike(stop)
     last = F.last(F.when(is_stop, F.lit(False)).when(is_start, F.lit(True)), ignorenulls=True).over(_before([key], ["pos"]))
     return lines.withColumn("_in", last).where("_in").drop("_in")
-
-
-def label_sequence(text: Column, labels: str = "ABCD") -> Column:
-    """Options ``A.`` then the next ``B.`` and so on, out-of-order labels skipped: an array of (label, content)."""
-    pattern = "(?s)(?:\\A|.*?\\s)" + "".join(f"(?:{x}[.．、]\\s*(.*?))" + ("\\s+" if x != labels[-1] else "\\s*\\z") for x in labels)
-    return F.array(*[F.struct(F.lit(x).alias("label"), F.regexp_extract(text, pattern, i + 1).alias("content")) for i, x in enumerate(labels)])

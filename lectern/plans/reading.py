@@ -36,14 +36,6 @@ def type_counts(spark, d):
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type")))
 
 
-@query("""SELECT p_brand, label, sum(n)::BIGINT AS n, string_agg(p_type, ',' ORDER BY p_type) AS types FROM (
-SELECT p_brand, p_type, split_part(p_type, ' ', 1) AS label, count(*) AS n FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2""")
-def type_rollup(spark, d):
-    counts = Tables(spark, d).part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
-    rolled = counts.groupBy("p_brand", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("label"))
-    return rolled.agg(F.sum("n").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list("p_type"))).alias("types"))
-
-
 @query("""SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey
 WHERE e.event_type = 'purchase' AND e.ts > TIMESTAMP '2024-01-02' AND c.c_acctbal > 0""")
 def session_join(spark, d):
@@ -165,12 +157,6 @@ def option_normalize(spark, d):
     return part.select("p_partkey", F.array_join(content, ";").alias("options"))
 
 
-@query("SELECT doc_id, sha256(to_json([text, lang, source])) AS content_key FROM documents WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]')")
-def content_key(spark, d):
-    docs = Tables(spark, d).documents.where("not rlike(text, '[\\\\x00-\\\\x08\\\\x0B-\\\\x1F\\\\x7F]')")
-    return docs.select("doc_id", F.sha2(F.to_json(F.array("text", "lang", "source")), 256).alias("content_key"))
-
-
 BANKS = """(SELECT p_partkey, p_name || ' v1' AS name, 1 AS prio FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, p_name, 2 FROM part)"""
 
