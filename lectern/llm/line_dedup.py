@@ -1,20 +1,28 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
-The state is a small log-structured store: each batch of documents adds one
-sorted run of ``(h1, h2, n, keeper)`` rows; once a level holds ``fanout`` runs
-they are merged into one run of the next level. A new batch is anti-joined with
-the keys that the store already has settled (found in ``min_docs`` documents),
-so settled keys never enter another run. Batches come by falling ``doc_id``,
-hence the keeper of a settled key, its largest ``doc_id``, is already known.
+The state is a small log-structured store: each batch of documents adds one run
+of ``(h1, h2, n, keeper)`` rows, a table bucketed and sorted by the hashes; once
+a level holds ``fanout`` runs they are merged into one run of the next level. A
+new batch is merge-anti-joined with each run, bucket by bucket: keys that a run
+has settled (found in ``min_docs`` documents) never enter another run. Batches
+come by falling ``doc_id``, hence the keeper of a settled key, its largest
+``doc_id``, is already known.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, scratch, settle, sha256_text, text_of
+from lectern.llm.common import SPACE, settle, sha256_text, text_of
 
+#: Documents of a batch, and the least and largest number of batches.
+BATCH_DOCS, LEAST_BATCHES, MOST_BATCHES = 60_000, 5, 64
+FANOUT = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,45 +47,58 @@ def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return long_enough.select("doc_id", "th", "pos", _hashes(F.col("line")).alias("h")).select("doc_id", "th", "pos", "h.h1", "h.h2")
 
 
+@contextlib.contextmanager
+def _dealt_anew(spark: SparkSession) -> Iterator[None]:
+    """Spark 4.1 takes a union of bucketed tables as dealt by their buckets and then sums up too little; not in here."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Levelled sorted runs of line hashes in the shared folder."""
+    """Levelled sorted runs of line hashes: managed tables, bucketed by the hashes, in the warehouse."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.root = scratch(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.made = 0
+        self.compactions = 0
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.root}/run-{self.made}"
+        """``rows`` are dealt to the buckets already."""
+        name = f"{self.name}_{self.made}"
         self.made += 1
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
-    def rows(self) -> DataFrame | None:
-        """All keys of all runs, merged."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return None
-        return self.merged(self.spark.read.parquet(*paths))
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """The runs' keys, each once; to be run under ``_dealt_anew``."""
+        whole = runs[0]
+        for more in runs[1:]:
+            whole = whole.unionByName(more)
+        return whole.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
-    def settled(self) -> DataFrame | None:
+    def settled(self) -> DataFrame:
         """Keys found in ``min_docs`` documents or more, with their keeper."""
-        rows = self.rows()
-        return None if rows is None else rows.where(F.col("n") >= self.min_docs).select("h1", "h2", "keeper")
+        return self.merged(self.runs()).where(F.col("n") >= self.min_docs).select("h1", "h2", "keeper")
 
     def add(self, batch: DataFrame) -> None:
-        """Anti-join the batch's keys with the settled ones and add the rest as a run."""
-        fresh, settled = batch, self.settled()
-        if settled is not None:
-            fresh = batch.join(settled.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._write(fresh, 0)
+        """Anti-join the batch's keys with the settled ones of each run and add the rest as a run."""
+        batch = batch.repartition(self.buckets, "h1", "h2")
+        for run in self.runs():
+            batch = batch.join(run.where(F.col("n") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._write(batch, 0)
         self.compact()
 
     def compact(self) -> None:
@@ -85,10 +106,28 @@ class LineRuns:
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                runs, self.levels[level] = self.levels[level], []
-                self._write(self.merged(self.spark.read.parquet(*runs)), level + 1)
+                names, self.levels[level] = self.levels[level], []
+                with _dealt_anew(self.spark):
+                    self._write(self.merged([self.spark.table(name) for name in names]), level + 1)
+                self.compactions += 1
+                self._drop(names)
             level += 1
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Drop all runs."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
+
+def batches_for(docs: DataFrame) -> int:
+    """Batches of about ``BATCH_DOCS`` documents; at least so many that levels fill, at most ``MOST_BATCHES``."""
+    return max(LEAST_BATCHES, min(MOST_BATCHES, -(-docs.count() // BATCH_DOCS)))
+
 
 def _batches(docs: DataFrame, count: int) -> list[Column]:
     """Conditions that split the documents by ``doc_id``, largest ids first; together they cover all rows."""
@@ -106,34 +145,43 @@ def _batches(docs: DataFrame, count: int) -> list[Column]:
     return out
 
 
-def repeated_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 2, fanout: int = 2) -> DataFrame:
+def repeated_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """Keys (h1, h2) of long lines found in at least ``min_docs`` documents, with ``keeper``, the largest doc_id."""
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
-    for here in _batches(docs, batches):
+    for here in _batches(docs, batches or batches_for(docs)):
         runs.add(_per_key(docs.where(here), min_chars))
-    return settle(runs.settled())
+    with _dealt_anew(docs.sparkSession):
+        keys = settle(runs.settled())
+    runs.close()
+    return keys
 
 
 def _per_key(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, n, keeper): each document counts a key once, so counts need no distinct."""
+    """(h1, h2, n, keeper): documents (distinct ids) that hold a key, and the largest of them."""
     text = text_of("text")
     long_lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) >= min_chars) & (F.length(F.btrim(x, F.lit(SPACE))) >= min_chars))
     keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(long_lines, _hashes))).alias("h"))
-    return keys.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    # by document first: rows that repeat an id count once
+    once = keys.groupBy("h.h1", "h.h2", "doc_id").agg(F.lit(1).alias("one"))
+    return once.groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+
+
+RESULTS = ("kept_text", "n_lines", "n_dropped")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 2, fanout: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """Documents with their kept text: all columns of ``docs`` plus ``kept_text``, ``n_lines``, ``n_dropped``.
 
     A text is split at ``\\n``; keys of at least ``min_chars`` code points found
     in at least ``min_docs`` documents lose all their lines except in the
     largest ``doc_id`` holding it, which keeps each of its own.
 
-    Nulls and empty texts have one empty line, which stays. Each row counts as
-    one document: repeated rows count once each, and all rows of the largest
-    ``doc_id`` keep the line. A null ``doc_id`` counts as a document but is
-    never a keeper unless no other row holds the key. Empty tables give empty
-    results; columns beside ``doc_id`` and ``text`` pass through untouched.
+    Nulls and empty texts have one empty line, which stays. Documents are
+    distinct ``doc_id``s: rows that repeat one count once, and all rows of the
+    largest keep the line. A null ``doc_id`` does not count, and never keeps a
+    line that others lose. Empty tables give empty results. Columns beside
+    ``doc_id`` and ``text`` pass through untouched, but those of the three new
+    names are replaced; names that begin with ``_ld_`` are reserved.
     """
     keys = repeated_keys(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
     lines = _long_lines(docs, min_chars)
@@ -141,20 +189,21 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         lines.join(keys, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "th")
-        .agg(F.collect_set("pos").alias("_drop_pos"))
-        .select(F.col("doc_id").alias("_drop_id"), F.col("th").alias("_drop_th"), "_drop_pos")
+        .agg(F.collect_set("pos").alias("_ld_pos"))
+        .select(F.col("doc_id").alias("_ld_id"), F.col("th").alias("_ld_th"), "_ld_pos")
     )
     text = text_of("text")
     th = F.xxhash64(text)
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_drop_id")) & (th == F.col("_drop_th")), "left")
-    split = joined.withColumn("_lines", F.split(text, "\n"))
-    gone = F.coalesce(F.col("_drop_pos"), F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    kept = F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    names = [c for c in docs.columns if c not in RESULTS]
+    joined = docs.select(names).join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (th == F.col("_ld_th")), "left")
+    split = joined.withColumn("_ld_lines", F.split(text, "\n"))
+    gone = F.coalesce(F.col("_ld_pos"), F.array().cast("array<int>"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), gone)
+    kept = F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_ld_lines"), i)), "\n"))
     return split.select(
-        *[F.col(c) for c in docs.columns],
+        *names,
         kept.alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size("_ld_lines").cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
     )
 
@@ -179,7 +228,7 @@ WITH lines AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
   GROUP BY k HAVING count(DISTINCT doc_id) >= 5
 ), marked AS (
-  SELECT keyed.doc_id, pos, line, (bad.k IS NOT NULL AND keyed.doc_id <> bad.keeper) AS gone
+  SELECT keyed.doc_id, pos, line, (bad.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM bad.keeper) AS gone
   FROM keyed LEFT JOIN bad ON keyed.k = bad.k
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
