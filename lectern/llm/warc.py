@@ -5,13 +5,16 @@ into files of the shared folder, each followed by one zero byte (zero padding
 between members is legal gzip). Reading: whole files come in as ``binaryFile``
 rows (files are bounded by ``records_per_file``). Where a member or a record
 fails a check, the reader searches for the next valid member or version line,
-goes on from there and logs the bytes between as a quarantined gap.
+inside the inflated bytes too, goes on from there and logs the bytes between as a
+quarantined gap.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +29,8 @@ from lectern.llm.common import scratch, text_of
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
+#: Algorithms of digest headers that are checked.
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 READ_SCHEMA = "path string, offset long, length long, kind string, reason string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long"
 
 
@@ -67,8 +72,14 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def records_per_file(pages: DataFrame, most: int = 4000, file_bytes: int = 1 << 29) -> int:
+    """So many records that even the longest ones don't fill more than a file of ``file_bytes``."""
+    longest = pages.agg(F.max(F.octet_length("html")).alias("n")).first()["n"] or 0
+    return max(1, min(most, file_bytes // (longest + 4096)))
+
+
 def write_archives(rows: DataFrame, path: str, records_per_file: int = 4000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write ``assign_roles`` rows as gzip WARC files under ``path``."""
+    """Write ``assign_roles`` rows as gzip WARC files of at most ``records_per_file`` records under ``path``."""
 
     @F.pandas_udf("binary")
     def member(page_id: pd.Series, url: pd.Series, payload: pd.Series, digest: pd.Series, refers_to: pd.Series) -> pd.Series:
@@ -83,6 +94,15 @@ def write_archives(rows: DataFrame, path: str, records_per_file: int = 4000, dat
     out.write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def digest_holds(declared: str | None, data: bytes) -> bool:
+    """Whether data has the digest that a header declares, as hex or base32; unknown algorithms are not checked."""
+    name, _, value = (declared or "").partition(":")
+    if name.lower() not in DIGESTS or not value:
+        return True
+    found = hashlib.new(name.lower(), data).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
 def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` and its end; raises ValueError on any failed check."""
     if not data.startswith(VERSION, at):
@@ -99,61 +119,83 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     block = data[start:stop]
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("record does not end where it should")
-    if (want := head.get("warc-block-digest")) and want != "sha1:" + hashlib.sha1(block).hexdigest():
+    if not digest_holds(head.get("warc-block-digest"), block):
         raise ValueError("block digest differs")
     http, _, payload = block.partition(b"\r\n\r\n")
     size = re.search(rb"(?i)\ncontent-length: *(\d+)", http)
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if head["warc-type"] == "response" and digest and digest != hashlib.sha1(payload).hexdigest():
+    digest = head.get("warc-payload-digest", "")
+    if head["warc-type"] == "response" and not digest_holds(digest, payload):
         raise ValueError("payload digest differs")
     ids = {k: head.get(k, "").strip("<>") or None for k in ("warc-record-id", "warc-refers-to")}
-    return {"record_type": head["warc-type"], "record_id": ids["warc-record-id"], "refers_to": ids["warc-refers-to"], "target_uri": head.get("warc-target-uri"), "payload_digest": digest or None, "payload_bytes": int(size[1]) if size else len(payload), "payload": payload}, stop + 4
+    return {"record_type": head["warc-type"], "record_id": ids["warc-record-id"], "refers_to": ids["warc-refers-to"], "target_uri": head.get("warc-target-uri"), "payload_digest": digest.removeprefix("sha1:") or None, "payload_bytes": int(size[1]) if size else len(payload), "payload": payload}, stop + 4
+
+
+def _inside(plain: bytes) -> tuple[list[dict], str]:
+    """The records of an inflated member that pass their checks, and the first failure (empty if none): after one, the
+    search goes on at the next version line."""
+    found, at, why = [], 0, ""
+    while at < len(plain):
+        try:
+            one, at = _parse(plain, at)
+            found.append(one)
+        except ValueError as problem:
+            why = why or str(problem)
+            at = plain.find(VERSION, at + 1)
+            if at < 0:
+                break
+    return found, why
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records of an archive in order, and a row of kind ``gap`` for each run of bytes that gave none."""
+    """Records of an archive in order, and a row of kind ``gap`` for each run of bytes that failed a check.
+
+    A gzip member is inflated as far as it goes; records inside that pass are
+    recovered even if others fail or the member is cut off, and the member is
+    logged as a gap then (its records come before it).
+    """
     at, lost, reason, n = 0, None, "", len(data)
     while at < n:
         if lost is None and data[at] in b"\x00\r\n":
             at += 1
             continue
-        found, end, why = [], at, "neither member nor version line"
-        try:
-            if data.startswith(MAGIC, at):
-                (plain, end), inner = _inflate(data, at), 0
-                while inner < len(plain):
-                    one, inner = _parse(plain, inner)
-                    found.append(one)
-            elif data.startswith(VERSION, at):
+        found, end, why = [], None, "neither member nor version line"
+        if data.startswith(MAGIC, at):
+            plain, end, why = _inflate(data, at)
+            found, inner = _inside(plain)
+            why = why or inner or ("" if found else "empty member")
+        elif data.startswith(VERSION, at):
+            try:
                 one, end = _parse(data, at)
-                found.append(one)
-        except (ValueError, zlib.error) as problem:
-            found, why = [], str(problem)
-        if found:
-            if lost is not None:
-                yield {"kind": "gap", "offset": lost, "length": at - lost, "reason": reason}
-                lost = None
-            for one in found:
-                yield {"kind": "record", "offset": at, "length": end - at} | one
-            at = end
-            continue
-        if lost is None:
+                found, why = [one], ""
+            except ValueError as problem:
+                why = str(problem)
+        if found and lost is not None:
+            yield {"kind": "gap", "offset": lost, "length": at - lost, "reason": reason}
+            lost = None
+        # version lines of stored members were met inside of them already
+        marks = [data.find(MAGIC, at + 1), -1 if found else data.find(VERSION, at + 1)]
+        following = end if end is not None else min((x for x in marks if x >= 0), default=n)
+        for one in found:
+            yield {"kind": "record", "offset": at, "length": following - at} | one
+        if why and lost is None:
             lost, reason = at, why
-        following = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(following, default=n)
+        at = following
     if lost is not None:
         yield {"kind": "gap", "offset": lost, "length": n - lost, "reason": reason}
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
-    """The member at ``at`` and its end, without copying what lies behind it."""
+def _inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int | None, str]:
+    """What the member at ``at`` holds, its end (None if it has none) and what is wrong with it; what lies behind is not copied."""
     unzip, out, view = zlib.decompressobj(31), [], memoryview(data)
-    while at < len(data) and not unzip.eof:
-        out.append(unzip.decompress(view[at : at + step]))
-        at += len(view[at : at + step])
+    try:
+        while at < len(data) and not unzip.eof:
+            out.append(unzip.decompress(view[at : at + step]))
+            at += len(view[at : at + step])
+    except zlib.error as problem:
+        return b"".join(out), None, str(problem)
     if not unzip.eof:
-        raise ValueError("member is cut off")
-    return b"".join(out), at - len(unzip.unused_data)
+        return b"".join(out), None, "member is cut off"
+    return b"".join(out), at - len(unzip.unused_data), ""
 
 
 def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
@@ -169,9 +211,9 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch["path"].to_pylist(), batch["content"]):
-                rows = [r | {"path": where} for r in salvage(data.as_py())]
-                for i in range(0, len(rows), 1000):
-                    yield _batch([[r.get(c) for r in rows[i : i + 1000]] for c in names], names)
+                rows = ([where if c == "path" else r.get(c) for c in names] for r in salvage(data.as_py()))  # one record at a time
+                while some := list(itertools.islice(rows, 1000 if not payloads else 50)):
+                    yield _batch([list(x) for x in zip(*some)], names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, schema)
 
@@ -184,7 +226,7 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
 def op10_warc(pages: DataFrame) -> DataFrame:
     """Write an archive of all pages, read it back: one row per page."""
     path = scratch(pages.sparkSession, "warc")
-    write_archives(assign_roles(pages), path)
+    write_archives(assign_roles(pages), path, records_per_file(pages))
     read = read_archives(pages.sparkSession, path)
     page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return read.where("kind = 'record'").select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))

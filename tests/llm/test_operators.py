@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -153,6 +154,43 @@ def test_license_scan(docs, none):
     assert license_scan.align("a b c d".split(), "x a b y c d z".split(), 1)[0] == 4
 
 
+def local_alignment(template, words):
+    """The best local score over all cells, without a band."""
+    score, best = np.zeros((len(template) + 1, len(words) + 1), int), 0
+    for i, a in enumerate(template, 1):
+        for j, b in enumerate(words, 1):
+            score[i, j] = max(0, score[i - 1, j - 1] + (2 if a == b else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
+            best = max(best, score[i, j])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_banded_alignment_is_the_best_one(seed):
+    rng = np.random.default_rng(seed)
+    template = [f"t{i}" for i in range(40)]
+    words = list(template)
+    for _ in range(4):
+        at = int(rng.integers(0, len(words)))
+        words[at : at + int(rng.integers(0, 2))] = ["other"] * int(rng.integers(0, 2))
+    words = ["x"] * 7 + words + ["y"] * 5
+    matched, first, last = license_scan.align(template, words, 7)
+    span = words[first : last + 1]
+    assert local_alignment(template, words) == local_alignment(template, span) and matched == len(set(span) & set(template))
+
+
+def test_whole_licenses_and_neighbours(spark):
+    mit, short = license_scan.TEMPLATES["MIT-text"], license_scan.TEMPLATES["MIT"]
+    changed = mit.replace("sublicense", "relicense").replace("substantial portions", "large parts")
+    nc = license_scan.TEMPLATES["CC-BY-NC-4.0"]
+    texts = [f"Copyright me\n\n{changed}\nend", f"{short} {nc} {short}", short.replace("the", "this"), "x " * 50_000 + short, license_scan.TEMPLATES["BSD-3-Clause-text"], "", None]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, coverage int")
+    got = [(r["doc_id"], r["license"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in license_scan.scan(rows.unionByName(rows.where("doc_id = 1"))).collect()]
+    assert (0, "MIT-text", changed[:-1]) in got
+    assert sorted(x[1] for x in got if x[0] == 1) == sorted(["MIT", "CC-BY-NC-4.0", "MIT"] * 2)
+    assert [x[1] for x in got if x[0] == 2] == ["MIT"] and [x[1] for x in got if x[0] == 3] == ["MIT"]
+    assert {"BSD-3-Clause-text", "BSD-3-Clause"} <= {x[1] for x in got if x[0] == 4}
+
+
 def test_quality(docs, none, texts):
     got = {r["doc_id"]: r for r in quality.op6_quality_rules(docs).collect()}
     for i, t in enumerate(texts):
@@ -244,6 +282,31 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert sorted(kinds) == ["gap", "record"]
 
 
+def test_warc_records_inside_damaged_members():
+    records = [warc.record_bytes(i, "u", b"payload %d" % i, hashlib.sha1(b"payload %d" % i).hexdigest(), None, "2024-01-01T00:00:00Z") for i in range(4)]
+    kinds = lambda data: [(x["kind"], (x.get("record_id") or "")[-1:]) for x in warc.salvage(data)]
+    spoilt = records[1].replace(b"payload 1", b"payload X")
+    assert kinds(gzip.compress(records[0] + spoilt + records[2]) + gzip.compress(records[3])) == [("record", "0"), ("record", "2"), ("gap", ""), ("record", "3")]
+    big = gzip.compress(b"".join(records), 0)
+    assert kinds(big[:-40]) == [("record", "0"), ("record", "1"), ("record", "2"), ("gap", "")]
+    assert kinds(b"") == [] and kinds(b"junk") == [("gap", "")]
+
+
+def test_warc_digests_by_their_algorithm():
+    sha = hashlib.sha1(b"x")
+    for told in ("sha1:" + sha.hexdigest(), "SHA1:" + sha.hexdigest().upper(), "sha1:" + base64.b32encode(sha.digest()).decode(), "md5:" + hashlib.md5(b"x").hexdigest(), "blake9:zz", "", None):
+        assert warc.digest_holds(told, b"x")
+    assert not warc.digest_holds("sha1:" + sha.hexdigest(), b"y") and not warc.digest_holds("md5:00", b"x")
+
+
+def test_warc_files_are_bounded_by_bytes(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1_000_000), (2, None, None)], "page_id long, url string, html string")
+    assert warc.records_per_file(pages, file_bytes=3_100_000) == 3
+    assert warc.records_per_file(pages.where("page_id = 2")) == 4000
+    extra = pages.unionByName(pages).withColumns({"payload": F.lit(1), "refers_to": F.lit("z")})
+    assert sorted((r["page_id"], r["record_type"]) for r in warc.op10_warc(extra).collect()) == [(1, "response")] * 2 + [(2, "response")] * 2
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
