@@ -509,3 +509,28 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: its class of equal sets, its number of links and its group."""
     return near_duplicates(docs.select("doc_id", "text"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') AS s FROM (
+    SELECT doc_id, ws, unnest(generate_series(1, len(ws) - least(5, len(ws)) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS whole FROM s GROUP BY 1
+), links AS (
+  SELECT p.a AS a, p.b AS b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b WHERE p.c >= 0.8 * (u.n + v.n - p.c) - 1e-9
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), g AS (
+  SELECT a, min(b) AS group_id FROM reach GROUP BY 1
+), k AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY 1
+), c AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS class_id, count(*) OVER (PARTITION BY whole) AS class_size FROM n
+)
+SELECT d.doc_id AS doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(class_size, 1) AS class_size, coalesce(n_links, 0) AS n_links, group_id
+FROM documents d JOIN g ON g.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""

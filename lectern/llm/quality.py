@@ -94,3 +94,33 @@ def score_documents(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
 
 def op6_quality_rules(docs: DataFrame) -> DataFrame:
     return score_documents(docs).drop("clean_text")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '{SPACE_RUN}'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d
+), t AS (
+  SELECT doc_id, pos, word, lead(word) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), m AS (
+  SELECT doc_id, pos, CASE WHEN w2 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w1, w2) > 1 THEN 1 ELSE 0 END AS twice FROM t
+), r AS (
+  SELECT doc_id, sum(c)::BIGINT AS n FROM (SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM m) GROUP BY 1
+), l AS (
+  SELECT doc_id, line, length(line) AS n, length(regexp_replace(line, '{SPACE_RUN}', '', 'g')) AS chars, length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) AS symbols,
+         length(line) - length(regexp_replace(line, '\p{{Lu}}', '', 'g')) AS upper, length(line) - length(regexp_replace(line, '\p{{L}}', '', 'g')) AS letters,
+         length(line) - length(regexp_replace(line, ' [|>»] ', '', 'g')) AS separators, length(line) - length(replace(line, '!', '')) AS shouts
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+), j AS (
+  SELECT doc_id, line, chars, chars > 0 AND (symbols > 0.1 * chars OR (5 * shouts > 3 * (n - chars + 1) AND n - chars + 1 >= 5) OR separators >= 9
+         OR (letters >= 20 AND upper > 0.6 * letters) OR (n <= 200 AND regexp_matches(line, '{BOILERPLATE}'))) AS fails FROM l
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE chars > 0) - count(DISTINCT line) FILTER (WHERE chars > 0) AS dup, coalesce(sum(chars) FILTER (WHERE NOT fails), 0) AS held FROM j GROUP BY 1
+), a AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '{SPACE_RUN}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols,
+         g.dup AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, g.held AS held FROM d JOIN g USING (doc_id) LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND held >= 0.5 * word_chars AS kept FROM a
+"""

@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_quality_rules": quality.ORACLE_SQL,
+    "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_topk_search": topk_search.ORACLE_SQL,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }

@@ -341,3 +341,21 @@ def drop_repeats(docs: DataFrame, size: int = SIZE, carry: list[str] | None = No
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, for windows of 20 words."""
     return drop_repeats(docs).select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept_text")).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)
+), s AS (
+  SELECT doc_id, pos, CASE WHEN count(*) OVER f = 20 THEN string_agg(word, ' ') OVER f END AS suffix FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), m AS (
+  SELECT doc_id, pos, CASE WHEN suffix IS NOT NULL AND row_number() OVER (PARTITION BY suffix ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS again FROM s
+), c AS (
+  SELECT doc_id, pos, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM m
+), k AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM w JOIN c USING (doc_id, pos) GROUP BY 1
+)
+SELECT d.doc_id AS doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
