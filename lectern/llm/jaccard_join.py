@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from lectern.llm.common import settle, split_words, text_of
 
 SIGNATURE, BUCKET, DEPTH = 64, 128, 8
-#: Classes of a large bucket that are compared with as many others in one unit of work.
+#: Classes of a large bucket that are compared with as many others in one unit of work; a bucket that was split twice may be as large.
 BLOCK = 512
 DRAWS = 2.0  # paths of two tokens sampled per run, on average
 #: Tokens drawn along a path when its bucket is split, on average: above 1 / threshold, so that near pairs stay together,
@@ -175,9 +175,10 @@ def entries_of(placed: DataFrame, runs: int) -> DataFrame:
     for level in range(DEPTH):
         rows = settle(single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True))))
         found = settle(rows.join(_buckets(rows), "key"))
-        heavy = found.where(F.col("members") > BUCKET).select("key").distinct()
+        limit = BUCKET if level < 2 else BLOCK
+        heavy = found.where(F.col("members") > limit).select("key").distinct()
         last = level == DEPTH - 1 or heavy.isEmpty()
-        part = found if last else found.where(F.col("members") <= BUCKET)
+        part = found if last else found.where(F.col("members") <= limit)
         entries = part if entries is None else entries.unionByName(part)
         if last:
             break
@@ -446,7 +447,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float
 
     runs = runs_for(threshold, recall)
     placed = settle(classes.select("cid", "sig").join(families_of(classes, min(runs, FAMILY_RUNS)), "cid", "left"))
-    entries = settle(entries_of(placed, runs))
+    entries = entries_of(placed, runs)
     lives = placed.where("kin is not null").select("kin", "cid", F.lit(True).alias("lives"))
     participants = settle(lives.unionByName(visits_of(entries, placed, threshold).withColumn("lives", F.lit(False))))
 
