@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,19 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, read from the session.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests in local mode) a
-    temporary folder takes its place.
+    Where ``spark.checkpoint.dir`` is unset a temporary folder takes its place in
+    local mode (tests); on a cluster that is an error, as no other machine would see it.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        jvm_dir = sc._jsc.sc().getCheckpointDir()
-        where = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="lectern-shared-")
+        set_before = sc._jsc.sc().getCheckpointDir()
+        if set_before.isDefined():
+            where = set_before.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            where = tempfile.mkdtemp(prefix="lectern-shared-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
