@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as fn
 from lectern.operators import audit, segment, similarity as sim
-from lectern.operators.bank import first_wins
 from lectern.plans.base import Tables, query
 
 
