@@ -46,6 +46,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files and checkpoints that nothing refers to any more: it learns of them when
+    the driver collects its garbage, which in a job of many small steps may come late."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(col: Column | str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

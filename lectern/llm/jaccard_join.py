@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import settle, split_words, text_of
+from lectern.llm.common import settle, split_words, text_of, tidy
 
 SIGNATURE, BUCKET, DEPTH = 64, 128, 8
 #: Classes of a large bucket that are compared with as many others in one unit of work; a bucket that was split twice may be as large.
@@ -173,7 +173,7 @@ def entries_of(placed: DataFrame, runs: int) -> DataFrame:
     single, family = _drawn(placed.where("kin is null"), runs), _drawn(placed.where("kin is not null"), runs)
     entries = None
     for level in range(DEPTH):
-        rows = settle(single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True))))
+        rows = single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True)))
         found = settle(rows.join(_buckets(rows), "key"))
         limit = BUCKET if level < 2 else BLOCK
         heavy = found.where(F.col("members") > limit).select("key").distinct()
@@ -447,10 +447,12 @@ def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float
 
     runs = runs_for(threshold, recall)
     placed = settle(classes.select("cid", "sig").join(families_of(classes, min(runs, FAMILY_RUNS)), "cid", "left"))
+    tidy(docs.sparkSession)
     entries = entries_of(placed, runs)
     lives = placed.where("kin is not null").select("kin", "cid", F.lit(True).alias("lives"))
     participants = settle(lives.unionByName(visits_of(entries, placed, threshold).withColumn("lives", F.lit(False))))
 
+    tidy(docs.sparkSession)
     single = entries.where("not family").select("key", F.col("node").alias("cid"), "members")
     member = F.struct("cid", "own", "n", "sig")
     sketched = (
@@ -461,10 +463,13 @@ def _near_duplicates(docs: DataFrame, threshold: float, size: int, recall: float
     active = settle(sketched)
     wanted = active.select("cid").unionByName(participants.select("cid")).unionByName(participants.select(F.col("kin").alias("cid"))).distinct().join(classes.select("cid", "class_id", "th", "size"), "cid")
     sets = settle(_sets_of(docs, wanted, size))
+    tidy(docs.sparkSession)
     verified = settle(single_links(single.withColumnRenamed("cid", "node"), active, sets, threshold).unionByName(family_links(participants, sets, threshold)))
 
+    tidy(docs.sparkSession)
     links = verified.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
     groups = components(verified.where("b is not null"))
+    tidy(docs.sparkSession)
     info = classes.select("cid", "class_id", "size").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = info.groupBy("root").agg(F.min("class_id").alias("group_id"))
     out = worded.select("doc_id", "th", "cid").join(info.join(least, "root"), "cid").select(

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, scratch, settle, sha256_text, text_of
+from lectern.llm.common import SPACE, settle, sha256_text, text_of, tidy
 
 #: Documents of a batch, and the least and largest number of batches.
 BATCH_DOCS, LEAST_BATCHES, MOST_BATCHES = 60_000, 5, 64
@@ -129,30 +129,34 @@ def batches_for(docs: DataFrame) -> int:
     return max(LEAST_BATCHES, min(MOST_BATCHES, -(-docs.count() // BATCH_DOCS)))
 
 
-def _staged(docs: DataFrame, min_chars: int, count: int) -> tuple[DataFrame, int]:
-    """(doc_id, h1, h2, batch) of all long lines, written once in the shared folder, and the number of batches; batch 0
-    has the largest ids, the last one the null ids too. The texts are read once for all batches."""
+def _staged(docs: DataFrame, min_chars: int, count: int, name: str) -> int:
+    """Writes (doc_id, h1, h2, batch) of all long lines as a table, so that the texts are read once for all batches, and
+    gives the number of batches; batch 0 has the largest ids, the last one the null ids too."""
     cuts = docs.select(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10_000).alias("c")).first()["c"] if count > 1 else []
     cuts = sorted(set(cuts or []))
     place = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
     text = text_of("text")
     long_lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) >= min_chars) & (F.length(F.btrim(x, F.lit(SPACE))) >= min_chars))
     lines = docs.select("doc_id", F.coalesce(place, F.lit(len(cuts))).alias("batch"), F.explode(F.array_distinct(F.transform(long_lines, _hashes))).alias("h"))
-    path = scratch(docs.sparkSession, "line-keys")
     spread = F.pmod(F.xxhash64("h"), F.lit(64))  # a batch goes to several tasks
-    lines.select("doc_id", "h.h1", "h.h2", "batch", spread.alias("spread")).repartition("batch", "spread").drop("spread").write.partitionBy("batch").parquet(path)
-    return docs.sparkSession.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path), len(cuts) + 1
+    dealt = lines.select("doc_id", "h.h1", "h.h2", "batch", spread.alias("spread")).repartition("batch", "spread").drop("spread")
+    dealt.write.partitionBy("batch").format("parquet").saveAsTable(name)
+    return len(cuts) + 1
 
 
 def repeated_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """Keys (h1, h2) of long lines found in at least ``min_docs`` documents, with ``keeper``, the largest doc_id."""
-    runs = LineRuns(docs.sparkSession, min_docs, fanout)
-    lines, count = _staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, batches or batches_for(docs))
+    spark = docs.sparkSession
+    runs = LineRuns(spark, min_docs, fanout)
+    lines = f"{runs.name}_lines"
+    count = _staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, batches or batches_for(docs), lines)
     for batch in range(count):
-        runs.add(_per_key(lines.where(F.col("batch") == batch)))
-    with _dealt_anew(docs.sparkSession):
+        runs.add(_per_key(spark.table(lines).where(F.col("batch") == batch)))
+    with _dealt_anew(spark):
         keys = settle(runs.settled())
     runs.close()
+    spark.sql(f"DROP TABLE IF EXISTS {lines}")
+    tidy(spark)
     return keys
 
 
