@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, conversation_repair, jaccard_join, license_scan, line_dedup, packing, quality, quality_classifier, substring_dedup, topk_search, toxicity, warc
+from lectern.llm import bpe, conversation_repair, jaccard_join, lexical_search, license_scan, line_dedup, packing, quality, quality_classifier, substring_dedup, topk_search, toxicity, warc
 from lectern.session import load
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": _over("embeddings", topk_search.op8_topk_search),
     "op9_jaccard_join": _over("documents", jaccard_join.op9_jaccard_join),
     "op10_warc": _over("pages", warc.op10_warc),
+    "op11_lexical_search": lambda spark, sf_dir: lexical_search.op11_lexical_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")),
     "op12_conversation_repair": _over("conversations", conversation_repair.op12_conversation_repair),
     "op13_quality_classifier": lambda spark, sf_dir: quality_classifier.op13_quality_classifier(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
 }
@@ -36,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op8_topk_search": topk_search.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
     "op12_conversation_repair": conversation_repair.ORACLE_SQL,
 }
