@@ -4,12 +4,15 @@ Every term of the items has a list of (document, value), ranged by term and
 value and sorted by falling value in the shared folder. An item's score of a
 document is the sum of its lists' values, each times the term's repeats.
 
-1. Heads: the first k of every list give partial sums, and the exact scores of
-   the documents with the best sums a lower bound ``floor`` of the k-th score.
-2. Thresholds: of an item with m lists every entry above (floor - 1) div m is
-   fetched; a document without one can't reach the floor. Partial sums and the
-   most that unseen lists can hold (the threshold, or the list's own head where
-   that is less) bound scores from above; the k-th partial sum lifts the floor.
+1. Heads: the first entries of every list give partial sums, and the exact
+   scores of the documents with the best sums a lower bound ``floor`` of the
+   k-th score.
+2. Thresholds: every entry of an item's lists above one threshold is fetched, the
+   largest at which all lists together hold less than a share of the floor below
+   it (a list with a lower head only that head): a document without such an entry
+   can't reach the floor, and one with few is soon told from the best. Fetched entries meet by document, in blocks of items; partial
+   sums and the most that unseen lists can hold bound scores from above, and what
+   can't reach the floor goes at once. The k-th partial sum lifts the floor.
 3. Candidates whose bound reaches the floor are looked up in all lists.
 
 All three work on integers, so no score is lost to rounding, ties included.
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +36,14 @@ from lectern.llm.common import scratch, settle
 LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes(b if b >= 128 or bytes([b]).lower() in LETTERS else 32 for b in range(256)).lower()
 PIECE = 1 << 22
-#: Terms that a task looks for at once; more are looked for in further passes over the documents.
+#: Terms that a task looks for at once, and terms of items whose sums it builds at once; more come in further passes.
 BLOCK = 200_000
+#: Entries of each list's head, and documents an item looks up after them: a better floor, the same result.
+HEAD, LOOK = 256, 128
+#: The share of the floor that lists may hold below the threshold, as a divisor: a larger one fetches more and looks up less.
+SHARE = 4
+#: Products built at once, unless one document has more.
+PRODUCTS = 1 << 20
 
 
 def terms_of(data: bytes, size: int = PIECE) -> Counter:
@@ -125,13 +136,107 @@ def _exact(wanted: DataFrame, lists: DataFrame, queries: DataFrame) -> DataFrame
     return asked.join(of, ["term", "doc"]).groupBy("item", "doc").agg(F.sum(F.col("qtf") * F.col("v")).alias("score"))
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id", item_id: str = "item_id", block: int = BLOCK) -> DataFrame:
+@dataclass
+class Asked:
+    """A block of items: their terms sorted by term (``starts`` of each), and per item threshold, floor and what lists hold below the threshold."""
+
+    items: np.ndarray
+    terms: np.ndarray
+    starts: np.ndarray
+    item: np.ndarray
+    qtf: np.ndarray
+    most: np.ndarray
+    limit: np.ndarray
+    floor: np.ndarray
+    cap: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list) -> Asked:
+        at = {name: np.array([r[name] for r in rows], np.int64) for name in ("item", "term", "qtf", "most", "limit", "floor")}
+        at = {name: a[np.argsort(at["term"], kind="stable")] for name, a in at.items()}
+        items, item = np.unique(at["item"], return_inverse=True)
+        terms, starts = np.unique(at["term"], return_index=True)
+        limit, floor, cap = (np.zeros(len(items), np.int64) for _ in range(3))
+        limit[item], floor[item] = at["limit"], at["floor"]
+        np.add.at(cap, item, at["most"])
+        return cls(items, terms, np.append(starts, len(item)), item, at["qtf"], at["most"], limit, floor, cap)
+
+    def reach(self, doc: np.ndarray, term: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, doc, low, bound) of the pairs that may reach their item's floor; all entries of a document are here, one after the other."""
+        t = np.searchsorted(self.terms, term)
+        n = self.starts[t + 1] - self.starts[t]
+        row = np.repeat(np.arange(len(doc)), n)
+        at = np.arange(len(row)) + np.repeat(self.starts[t] - (np.cumsum(n) - n), n)
+        value = self.qtf[at] * v[row]
+        over = value > self.limit[self.item[at]]
+        row, at, value = row[over], at[over], value[over]
+        if not len(row):
+            return (np.zeros(0, np.int64),) * 4
+        docs, nth = np.unique(doc, return_inverse=True)
+        pair = nth[row] * len(self.items) + self.item[at]
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        low, seen = np.add.reduceat(value[order], first), np.add.reduceat(self.most[at][order], first)
+        nth, item = np.divmod(pair[order][first], len(self.items))
+        bound = low + self.cap[item] - seen
+        may = bound >= self.floor[item]
+        return self.items[item[may]], docs[nth[may]], low[may], bound[may]
+
+    def steps(self, doc: np.ndarray, term: np.ndarray) -> Iterator[slice]:
+        """Cuts between documents, about PRODUCTS products apart."""
+        ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc))
+        t = np.searchsorted(self.terms, term)
+        made = np.cumsum(self.starts[t + 1] - self.starts[t])[ends - 1]
+        at, done = 0, 0
+        while at < len(doc):
+            i = max(np.searchsorted(made, done + PRODUCTS, "right") - 1, np.searchsorted(ends, at, "right"))
+            yield slice(at, ends[i])
+            at, done = ends[i], made[i]
+
+
+def _reaching(fetched: DataFrame, asked: Asked) -> DataFrame:
+    """(item, doc, low, bound) of all pairs that may reach their floor, from fetched entries (doc, term, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for columns in _with_end(batches):
+            new = [np.zeros(0, np.int64)] * 3 if columns is None else [np.asarray(columns[c], np.int64) for c in ("doc", "term", "v")]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            # the last document may go on in the next batch
+            whole = len(held[0]) if columns is None else int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            ready, held = [x[:whole] for x in held], [x[whole:] for x in held]
+            for part in asked.steps(ready[0], ready[1]) if whole else ():
+                found = asked.reach(*(x[part] for x in ready))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["item", "doc", "low", "bound"])
+
+    return fetched.repartition("doc").sortWithinPartitions("doc").select("doc", "term", "v").mapInArrow(run, "item long, doc long, low long, bound long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _item_blocks(bounded: DataFrame, size: int) -> Iterator[list]:
+    """The items' rows in blocks of about ``size``, each item whole in one."""
+    block: list = []
+    for row in bounded.select("item", "term", "qtf", "most", "limit", "floor").orderBy("item").toLocalIterator():
+        if len(block) >= size and row["item"] != block[-1]["item"]:
+            yield block
+            block = []
+        block.append(row)
+    if block:
+        yield block
+
+
+def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id", item_id: str = "item_id", block: int = BLOCK, head: int = HEAD, look: int = LOOK) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents (score above 0) of each item, ties by doc_id (null first).
 
     Each row of either side counts as a document or item of its own, also where ids are null or repeat (equal documents
     with one id then follow each other in any order). Null texts have no terms; items without terms, or a table without
-    documents, give no rows; other columns are not read. Items come in ``block`` terms at a time; documents are read once
-    for each such block, whole and in pieces.
+    documents, give no rows; other columns are not read. Terms and items come in blocks of ``block`` rows, the only part
+    of either table that the driver or a task holds whole; documents are read once for each block of terms, in pieces.
     """
     spark = docs.sparkSession
     asked = settle(item_terms(items, item_id))
@@ -162,22 +267,28 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id
     queries = settle(numbered.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("item"))))
 
     # 1: heads
-    heads = lists.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("v"), "doc"))).where(F.col("rank") <= k)
+    heads = lists.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("v"), "doc"))).where(F.col("rank") <= head)
     sums = heads.join(queries, "term").groupBy("item", "doc").agg(F.sum(F.col("qtf") * F.col("v")).alias("low"))
-    first = _exact(_best(sums, k, F.desc("low"), F.asc("doc")), lists, queries)
+    first = _exact(_best(sums, max(look, k), F.desc("low"), F.asc("doc")), lists, queries)
     floors = _kth(first, "score", k)
 
     # 2: uniform thresholds
-    limit = F.call_function("div", F.greatest(F.coalesce("floor", F.lit(0)) - 1, F.lit(0)), F.col("m"))
-    bounded = settle(queries.join(floors, "item", "left").withColumn("limit", limit).withColumn("most", F.least("limit", F.col("qtf") * F.col("top"))))
-    caps = bounded.groupBy("item").agg(F.sum("most").alias("cap"), F.max(F.coalesce("floor", F.lit(0))).alias("floor"))
-    fetched = lists.join(bounded.select("item", "term", "qtf", "limit", "most"), "term").where(F.col("qtf") * F.col("v") > F.col("limit"))
-    partial = settle(fetched.groupBy("item", "doc").agg(F.sum(F.col("qtf") * F.col("v")).alias("low"), F.sum("most").alias("seen")))
-    lifted = caps.join(_kth(partial, "low", k).withColumnRenamed("floor", "lifted"), "item", "left").select("item", "cap", F.greatest("floor", F.coalesce("lifted", F.lit(0))).alias("floor"))
-
-    # 3: exact scores of what can still be among the first k
-    candidates = partial.join(lifted, "item").where(F.col("low") + F.col("cap") - F.col("seen") >= F.col("floor")).select("item", "doc")
-    scored = _exact(settle(candidates), lists, queries).where("score > 0")
+    rise = Window.partitionBy("item").orderBy("reach", "term")
+    below = F.sum("reach").over(rise) - F.col("reach")
+    level = F.call_function("div", F.call_function("div", F.col("floor"), F.lit(SHARE)) - 1 - below, F.col("m") - F.row_number().over(rise) + 1)
+    leveled = queries.join(floors, "item", "left").fillna(0, "floor").withColumn("reach", F.col("qtf") * F.col("top")).withColumn("level", level)
+    limit = F.greatest(F.max("level").over(Window.partitionBy("item")), F.lit(0))
+    bounded = settle(leveled.withColumn("limit", limit).withColumn("most", F.least("limit", "reach")))
+    reaching = scratch(spark, "reaching")
+    spark.createDataFrame([], "item long, doc long, low long, bound long").write.parquet(f"{reaching}/block=-1")
+    for i, rows in enumerate(_item_blocks(bounded, block)):
+        here = bounded.where(F.col("item").between(rows[0]["item"], rows[-1]["item"]))
+        least = here.groupBy("term").agg(F.min(F.call_function("div", F.col("limit"), F.col("qtf"))).alias("least"))
+        _reaching(lists.join(least, "term").where(F.col("v") > F.col("least")), Asked.of(rows)).write.parquet(f"{reaching}/block={i}")
+    partial = spark.read.parquet(reaching).drop("block")
+    # 3: what the lifted floor leaves is looked up
+    candidates = partial.join(_kth(partial, "low", k), "item", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0))).select("item", "doc")
+    scored = _exact(candidates, lists, queries).where("score > 0")
     named = scored.join(sizes.select("doc", F.col("id").alias(doc_id)), "doc")
     ranked = _best(named, k, F.desc("score"), F.asc_nulls_first(doc_id), F.asc("doc"))
     ids = asked.select("item", F.col("id").alias(item_id)).distinct()
