@@ -62,7 +62,7 @@ def faulted(rows: DataFrame) -> DataFrame:
     last = F.right(F.rtrim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit(1))
     fault = F.when(~F.rlike("text", F.lit("[^\\x20\\x09-\\x0D]")), "blank").when(_seen(order), "duplicate").when(~last.isin(".", "!", "?"), "truncated")
     # of equal rows the duplicates come last
-    return dealt.withColumn("fault", fault).drop("_digest").sortWithinPartitions(F.asc_nulls_first("conv_id"), *order, F.asc_nulls_first("fault"))
+    return dealt.withColumn("fault", fault).drop("_digest").sortWithinPartitions(F.asc_nulls_first("conv_id"), *order, F.coalesce(F.col("fault") == "duplicate", F.lit(False)))
 
 
 class Best:
