@@ -25,10 +25,10 @@ DEFAULT_TYPE = "片段阅读"
 
 
 def normalize_space(col: Column) -> Column:
-    """Ideographic, no-break and tab blanks become spaces; runs collapse; no blanks around line breaks or at the ends."""
-    plain = F.translate(col, "　 \t\r", "   \n")
-    collapsed = F.regexp_replace(F.regexp_replace(plain, " +", " "), " ?\\n ?", "\n")
-    return F.regexp_replace(collapsed, "\\A[ \\n]+|[ \\n]+\\z", "")
+    """Ideographic, no-break and other blanks (carriage returns, tabs, form feeds) become spaces; runs collapse; no blanks
+    around line breaks or at the ends."""
+    plain = F.regexp_replace(col, "[ \\t\\r\\f\\x0B\\u3000\\u00a0]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, " ?\\n ?", "\n"), "\\A[ \\n]+|[ \\n]+\\z", "")
 
 
 def compact_text(col: Column) -> Column:

@@ -68,7 +68,7 @@ def keep_latest(rows: DataFrame, owner: str, key: str, k: int, *order: Column) -
 def numbered(rows: DataFrame, by: str, name: str, size: int = 100_000) -> DataFrame:
     """Rows numbered from 1 in the order of ``by``: by ranges of about ``size`` rows, offset by the counts of those before."""
     parts = -(-rows.count() // size)
-    rank_of = by if dict(rows.dtypes)[by] != "string" else F.conv(F.hex(F.substring(F.encode(by, "utf-8"), 1, 7)), 16, 10).cast("long")
+    rank_of = by if dict(rows.dtypes)[by] != "string" else F.conv(F.rpad(F.hex(F.substring(F.encode(by, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
     rows = rows if isinstance(rank_of, str) else rows.withColumn("_by", rank_of)
     at = by if isinstance(rank_of, str) else "_by"
     cuts = rows.select(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []

@@ -46,12 +46,22 @@ def delete_children(child: DataFrame, parent_gone: DataFrame, child_key: str, pa
     return child.join(parent_gone.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def adopt_keys(target: DataFrame, staged: DataFrame, twin: list[str], key: str, row_id: str) -> DataFrame:
-    """Unkeyed target rows take the key of a staged row that agrees in ``twin``; of equal twins the lowest id does."""
-    keys = staged.groupBy(*twin).agg(F.min(key).alias("_new"))
-    lowest = target.where(F.col(key).isNull()).groupBy(*twin).agg(F.min(row_id).alias("_low"))
-    joined = target.join(keys, twin, "left").join(lowest, twin, "left")
-    return joined.withColumn(key, F.when(F.col(key).isNull() & (F.col(row_id) == F.col("_low")), F.col("_new")).otherwise(F.col(key))).select(*target.columns)
+def adopt_keys(target: DataFrame, staged: DataFrame, twin: list[str], key: str, row_id: str, scope: list[str] | None = None) -> DataFrame:
+    """Unkeyed target rows take the key of a staged row that agrees in ``twin``; of equal twins the lowest id does.
+
+    Only keys that the target lacks are adopted, each by one row; with ``scope`` (a category, say) twins and keys count
+    within it. Of several staged twins the least key that is free counts.
+    """
+    within = [*(scope or []), *twin]
+    taken = target.where(F.col(key).isNotNull()).select(*(scope or []), key).distinct()
+    keys = staged.where(F.col(key).isNotNull()).join(taken, [*(scope or []), key], "left_anti").groupBy(*within).agg(F.min(key).alias("_new"))
+    lowest = target.where(F.col(key).isNull()).groupBy(*within).agg(F.min(row_id).alias("_low"))
+    joined = target.join(keys, within, "left").join(lowest, within, "left")
+    # a key that is staged for several twins goes to the one with the lowest id
+    fits = F.col(key).isNull() & (F.col(row_id) == F.col("_low")) & F.col("_new").isNotNull()
+    first = joined.where(fits).groupBy(*(scope or []), "_new").agg(F.min(row_id).alias("_first"))
+    placed = joined.join(first, [*(scope or []), "_new"], "left")
+    return placed.withColumn(key, F.when(fits & (F.col(row_id) == F.col("_first")), F.col("_new")).otherwise(F.col(key))).select(*target.columns)
 
 
 def import_error(status: Column, received: Column, total: Column) -> Column:
@@ -59,12 +69,13 @@ def import_error(status: Column, received: Column, total: Column) -> Column:
     return F.when(status != "uploading", "ended").when(~received.eqNullSafe(total), "incomplete")
 
 
-def finalize_append(target: DataFrame, staged: DataFrame, key: str, twin: list[str], row_id: str, update: list[str]) -> DataFrame:
+def finalize_append(target: DataFrame, staged: DataFrame, key: str, twin: list[str], row_id: str, update: list[str], scope: list[str] | None = None) -> DataFrame:
     """Appends an import: unkeyed rows that a staged row equals in ``twin`` adopt its key, then rows are upserted on the key.
 
     Rows that were there keep ``row_id`` and all columns but ``update``; new rows have no ``row_id`` yet. Target rows
-    without a key and without a twin stay. Staged keys are unique; staged rows without one are ignored.
+    without a key and without a twin stay. Staged keys are unique; staged rows without one are ignored. With ``scope``,
+    twins, taken keys and the upsert count within these columns.
     """
-    adopted = adopt_keys(target, staged, twin, key, row_id)
+    adopted = adopt_keys(target, staged, twin, key, row_id, scope)
     source = staged.where(F.col(key).isNotNull()).withColumn(row_id, F.lit(None).cast(dict(target.dtypes)[row_id]))
-    return merge(adopted, source, [key], update)
+    return merge(adopted, source, [*(scope or []), key], update)

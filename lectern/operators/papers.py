@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import imported as im
 from lectern.functions.text import bare, compact_text, marker_number
-from lectern.operators.segment import running_id
+from lectern.operators.segment import running_id, within
 
 
 def numbered_chunks(lines: DataFrame, doc: str = "doc", pattern: str = im.QUESTION_START, most: int = 20) -> DataFrame:
@@ -51,30 +51,39 @@ def titled_slots(titles: DataFrame, doc: str = "doc", size: int = 20, near: int
     return marks.select(doc, F.inline(kept)).withColumn("slot", F.col("section") * size + F.col("number") - 1)
 
 
-def question_starts(lines: DataFrame, doc: str = "doc", answer: str = im.ANSWER, size: int = 20) -> DataFrame:
-    """(doc, nth, answer_pos, start, how) of every answer line: where its question begins, after the answer before.
-
-    The last line with the expected number at its start (``strict``), else anywhere in it (``loose``), else with any
-    number (``any``), else the line after the answer before (``after``).
-    """
+def _by_answer(lines: DataFrame, doc: str, answer: str, size: int) -> DataFrame:
+    """Lines with the number (from 0) of the answer at or after them, and where its question begins and how that was found."""
     flagged = lines.withColumn("is_answer", F.contains("line", F.lit(answer)))
     # lines belong to the next answer at or after them
     ahead = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     numbered = flagged.withColumn("nth", F.coalesce(F.sum(F.col("is_answer").cast("int")).over(ahead), F.lit(0)))
     expected = (F.col("nth") % size + 1).cast("string")
-    at = lambda hit: F.max(F.when(hit, F.col("pos")))
+    own = Window.partitionBy(doc, "nth")
+    at = lambda hit: F.max(F.when(hit, F.col("pos"))).over(own)
     strict = F.regexp_extract("line", "\\A\\s*(\\d{1,3})\\s*[.．、]", 1) == expected
     loose = F.array_contains(F.regexp_extract_all("line", F.lit("(?<!\\d)(\\d{1,3})\\s*[.．、]"), F.lit(1)), expected)
     some = F.col("line").rlike("(?<!\\d)\\d{1,3}\\s*[.]")
-    spans = numbered.groupBy(doc, "nth").agg(F.max(F.when(F.col("is_answer"), F.col("pos"))).alias("answer_pos"), at(strict).alias("a"), at(loose).alias("b"), at(some).alias("c"), F.min("pos").alias("d"))
-    how = F.when(F.col("a").isNotNull(), "strict").when(F.col("b").isNotNull(), "loose").when(F.col("c").isNotNull(), "any").otherwise("after")
-    return spans.where("answer_pos is not null").select(doc, "nth", "answer_pos", F.coalesce("a", "b", "c", "d").alias("start"), how.alias("how"))
+    # the lines of one answer are in one partition already, so these maxima need no further shuffle
+    found = numbered.withColumns({"answer_pos": at(F.col("is_answer")), "_a": at(strict), "_b": at(loose), "_c": at(some), "_d": F.min("pos").over(own)}).where("answer_pos is not null")
+    how = F.when(F.col("_a").isNotNull(), "strict").when(F.col("_b").isNotNull(), "loose").when(F.col("_c").isNotNull(), "any").otherwise("after")
+    return found.withColumns({"start": F.coalesce("_a", "_b", "_c", "_d"), "how": how}).drop("_a", "_b", "_c", "_d")
+
+
+def question_starts(lines: DataFrame, doc: str = "doc", answer: str = im.ANSWER, size: int = 20) -> DataFrame:
+    """(doc, nth, answer_pos, start, how) of every answer line: where its question begins, after the answer before.
+
+    The last line with the expected number at its start (``strict``), else anywhere in it (``loose``), else with any
+    number (``any``), else the line after the answer before (``after``).
+    """
+    return _by_answer(lines, doc, answer, size).where("is_answer").select(doc, "nth", "answer_pos", "start", "how")
 
 
 def anchored_records(lines: DataFrame, doc: str = "doc", size: int = 20) -> DataFrame:
-    """(doc, nth, how, stem, options, missing, answer) of every answer line, from the lines of its question."""
-    starts = question_starts(lines, doc, size=size)
-    own = lines.join(starts, [doc]).where("pos between start and answer_pos")
+    """(doc, nth, how, stem, options, missing, answer) of every answer line, from the lines of its question.
+
+    Each line knows its answer, so lines aren't joined with answers: those before the question's start just go.
+    """
+    own = _by_answer(lines, doc, im.ANSWER, size).where("pos >= start")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     text = own.groupBy(doc, "nth", "how").agg(body.alias("body"))
     question = F.regexp_replace(F.get(F.split("body", im.ANSWER, 2), 0), "\\A\\s*\\d{1,3}\\s*[.．、]\\s*", "")
@@ -96,11 +105,12 @@ def materials_before(lines: DataFrame, stop: str, border: str, doc: str = "doc",
     """(doc, stop_pos, material): up to ``most`` lines before a stop line, backwards to a border once something is found;
     repeated lines go; materials shorter than ``least`` characters go."""
     flagged = lines.withColumns({"_stop": F.col("line").rlike(stop), "_border": F.col("line").rlike(border) | F.col("line").rlike(stop)})
-    stops = flagged.where("_stop").select(doc, F.col("pos").alias("stop_pos"))
-    below = flagged.join(stops, doc).where(F.col("pos").between(F.col("stop_pos") - most, F.col("stop_pos") - 1) & (F.trim("line") != ""))
-    last = below.groupBy(doc, "stop_pos").agg(F.max(F.when(~F.col("_border"), F.col("pos"))).alias("last"))
-    border_at = below.join(last, [doc, "stop_pos"]).where("_border and pos < last").groupBy(doc, "stop_pos").agg(F.max("pos").alias("border"))
-    parts = below.join(last, [doc, "stop_pos"]).join(border_at, [doc, "stop_pos"], "left").where("not _border and pos <= last and pos > coalesce(border, -1)")
+    stops = flagged.where("_stop").select(doc, F.col("pos").alias("stop_pos"), (F.col("pos") - most).alias("_low"), (F.col("pos") - 1).alias("_high"))
+    below = within(flagged.where(F.trim("line") != ""), stops, doc, "_low", "_high", most)
+    near = Window.partitionBy(doc, "stop_pos")
+    last = below.withColumn("_last", F.max(F.when(~F.col("_border"), F.col("pos"))).over(near))
+    border_at = F.max(F.when(F.col("_border") & (F.col("pos") < F.col("_last")), F.col("pos"))).over(near)
+    parts = last.withColumn("_from", border_at).where("not _border and pos <= _last and (_from is null or pos > _from)")
     # of repeated lines the last stays: the walk goes backwards
     text = parts.groupBy(doc, "stop_pos", compact_text(F.col("line")).alias("line")).agg(F.max("pos").alias("pos"))
     joined = text.groupBy(doc, "stop_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("material"))
@@ -128,9 +138,10 @@ def practical_after(lines: DataFrame, probes: DataFrame, key: str, doc: str = "d
     spread = text.select(doc, "pos", "_k", F.explode(F.array_distinct(grams)).alias("_g"))
     found = tries.withColumn("_g", head).join(spread, [doc, "_g"]).where(F.contains("_k", F.col("probe"))).select(key, doc, F.col("pos").alias("at")).distinct()
     labelled = lines.where(F.contains("line", F.lit(im.PRACTICAL))).select(doc, F.col("pos").alias("solved"))
-    first = found.join(labelled, doc).where(F.col("solved").between(F.col("at"), F.col("at") + reach)).groupBy(key, doc, "at").agg(F.min("solved").alias("solved"))
+    reached = within(labelled, found.withColumn("_until", F.col("at") + reach), doc, "at", "_until", reach, pos="solved")
+    first = reached.groupBy(key, doc, "at").agg(F.min("solved").alias("solved"))
     stop = F.col("line").rlike(f"\\A\\s*\\d{{1,2}}\\s*[.．、]|{im.ANSWER}|【题型|{im.NOTE}")
-    body = lines.withColumn("_stop", stop).join(first, doc).where(F.col("pos").between(F.col("solved"), F.col("solved") + longest - 1))
+    body = within(lines.withColumn("_stop", stop), first.withColumn("_until", F.col("solved") + longest - 1), doc, "solved", "_until", longest)
     w = Window.partitionBy(key, "at").orderBy("pos")
     open_ = body.withColumn("_ended", F.max(F.col("_stop") & (F.col("pos") > F.col("solved"))).over(w)).where("not _ended")
     own = F.when(F.col("pos") == F.col("solved"), F.get(F.split("line", im.PRACTICAL, 2), 1)).otherwise(F.col("line"))

@@ -1,10 +1,10 @@
-"""Text similarity on character bigrams, blocked by an equi key or by the grams themselves."""
+"""Text similarity on character bigrams, within blocks or of a stated query set and all texts."""
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from operator import add
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions.text import match_key
+from lectern.operators.grams import blocks_of
 
 WINDOW = 800
 LEFT_BLOCK, RIGHT_BLOCK = 256, 512
@@ -33,35 +34,6 @@ def grams(key: Column, size: int = 2) -> Column:
     return F.filter(out, lambda g: g.isNotNull())
 
 
-def candidates(docs: DataFrame, row_id: str, text: str, size: int = 16, sample: int = 16, most: int = 32) -> DataFrame:
-    """(a, b), a before b: pairs whose match keys share a rare gram, and each copy with the first row of its key.
-
-    Grams of ``size`` characters are sampled by hash (one in ``sample``, and the
-    least hash of each key, so short keys have one too); rare ones lie in
-    at most ``most`` distinct keys. Pairs are joined on grams alone, whatever
-    their ids. Empty keys are similar to nothing.
-    """
-    keyed = docs.select(row_id, match_key(F.col(text)).alias("key")).where("key <> ''")
-    digests = keyed.select(row_id, F.md5("key").alias("h"))
-    first = digests.groupBy("h").agg(F.min(row_id).alias("a"))
-    copies = digests.join(first, "h").where(F.col(row_id) > F.col("a")).select("a", F.col(row_id).alias("b")).distinct()
-    firsts = keyed.join(first.select(F.col("a").alias(row_id)), row_id, "left_semi").select(F.col(row_id).alias("id"), "key")
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, key in enumerate(batch["key"].to_pylist()):
-                all_of = {g: zlib.crc32(g.encode()) for g in {key[i : i + size] for i in range(max(len(key) - size, 0) + 1)}}
-                kept = [g for g, h in all_of.items() if h % sample == 0] + [min(all_of, key=lambda g: (all_of[g], g))]
-                kept = list(dict.fromkeys(kept))
-                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array([row] * len(kept))), pa.array(kept)], names=["id", "g"])
-
-    spread = firsts.mapInArrow(sampled, T.StructType([T.StructField("id", firsts.schema["id"].dataType), T.StructField("g", T.StringType())]))
-    rare = spread.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select("g")
-    met = spread.join(rare, "g")
-    pairs = met.select("g", F.col("id").alias("a")).join(met.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b").distinct()
-    return pairs.unionByName(copies)
-
-
 def _packed(rows: DataFrame, row_id: str, size: int) -> DataFrame:
     """(ids, keys, block): up to ``size`` rows of a task and a block laid into one, without a shuffle."""
 
@@ -84,50 +56,76 @@ def _bigrams(key: str) -> Counter:
     return Counter(map(add, key, key[1:]) if len(key) > 1 else [key])
 
 
-def _score_blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Scores of all pairs of two blocks: a bigram's n-th copy is a column of its own, so the shared count is a matrix product."""
-    known, columns, ones = None, {}, None
+class Pack:
+    """Left keys as a matrix: a bigram's n-th copy is a column of its own, so the shared count is a product."""
+
+    def __init__(self, keys: list[str]):
+        counts = [_bigrams(k) for k in keys]
+        most: Counter = Counter()
+        for c in counts:
+            most |= c
+        starts = np.concatenate([[0], np.cumsum(list(most.values()))])
+        self.columns = {g: (int(at), n) for at, (g, n) in zip(starts, most.items())}
+        self.ones = np.zeros((int(starts[-1]), len(keys)), np.float32)
+        for i, c in enumerate(counts):
+            for g, n in c.items():
+                self.ones[self.columns[g][0] : self.columns[g][0] + n, i] = 1
+        self.lengths = np.array([len(k) for k in keys])
+
+    def scores(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(right place, left place, score) of all pairs that share a bigram."""
+        has = np.zeros((len(keys), len(self.ones)), np.float32)
+        for j, key in enumerate(keys):
+            for g, n in _bigrams(key).items():
+                if (place := self.columns.get(g)) is not None:
+                    has[j, place[0] : place[0] + min(n, place[1])] = 1
+        shared = has @ self.ones
+        j, i = np.nonzero(shared)
+        return j, i, np.minimum(1.0, 2.0 * shared[j, i].astype(float) / np.maximum(1, self.lengths[i] + np.array([len(k) for k in keys])[j] - 2))
+
+
+def _score_packs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    known, pack = None, None
     for batch in batches:
         for r in range(batch.num_rows):
-            left, right = batch["left_keys"][r].as_py(), batch["right_keys"][r].as_py()
+            left = batch["left_keys"][r].as_py()
             if left != known:
-                counts = [_bigrams(k) for k in left]
-                most: Counter = Counter()
-                for c in counts:
-                    most |= c
-                starts = np.concatenate([[0], np.cumsum(list(most.values()))])
-                columns = {g: (int(at), n) for at, (g, n) in zip(starts, most.items())}
-                ones = np.zeros((int(starts[-1]), len(left)), np.float32)
-                for i, c in enumerate(counts):
-                    for g, n in c.items():
-                        ones[columns[g][0] : columns[g][0] + n, i] = 1
-                known, lengths = left, np.array([len(k) for k in left])
-            has = np.zeros((len(right), len(ones)), np.float32)
-            for j, key in enumerate(right):
-                for g, n in _bigrams(key).items():
-                    if (place := columns.get(g)) is not None:
-                        has[j, place[0] : place[0] + min(n, place[1])] = 1
-            shared = has @ ones
-            j, i = np.nonzero(shared)
-            score = np.minimum(1.0, 2.0 * shared[j, i].astype(float) / np.maximum(1, lengths[i] + np.array([len(k) for k in right])[j] - 2))
+                known, pack = left, Pack(left)
+            j, i, score = pack.scores(batch["right_keys"][r].as_py())
             yield pa.RecordBatch.from_arrays([batch["left_ids"][r].values.take(pa.array(i)), batch["right_ids"][r].values.take(pa.array(j)), pa.array(score)], names=names)
 
 
 def dice_multiset(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, block: str | None = None) -> DataFrame:
     """(left_id, right_id, score) of pairs that share a bigram: twice the shared count over all bigrams of both.
 
-    With ``block``, pairs are of one block only. Nearly all pairs share a bigram,
-    so packs of both sides meet instead of grams: the left side is the stated
-    query set. Equal keys score 1, those of one character too; empty keys have no pair.
+    With ``block``, pairs are of one block only, and packs of both sides meet on it. Without, the left side is the
+    stated query set: it goes to the tasks in packs of LEFT_BLOCK keys, and the right side is read once for each.
+    Equal keys score 1, those of one character too; empty keys have no pair.
     """
     of = F.lit("") if block is None else F.col(block).cast("string")
     keyed = lambda rows, row_id: rows.select(row_id, key_of(F.col(text)).alias("key"), of.alias("block")).where("length(key) >= 1")
-    a = _packed(keyed(left, left_id), left_id, LEFT_BLOCK).toDF("left_ids", "left_keys", "block")
-    b = _packed(keyed(right, right_id), right_id, RIGHT_BLOCK).toDF("right_ids", "right_keys", "block")
     names = [left_id, right_id, "score"]
     schema = T.StructType([T.StructField(left_id, left.schema[left_id].dataType), T.StructField(right_id, right.schema[right_id].dataType), T.StructField("score", T.DoubleType())])
-    met = b.drop("block").crossJoin(a.drop("block")) if block is None else b.join(a, "block")
-    return met.mapInArrow(lambda batches: _score_blocks(batches, names), schema)
+    if block is not None:
+        a = _packed(keyed(left, left_id), left_id, LEFT_BLOCK).toDF("left_ids", "left_keys", "block")
+        b = _packed(keyed(right, right_id), right_id, RIGHT_BLOCK).toDF("right_ids", "right_keys", "block")
+        return b.join(a, "block").mapInArrow(lambda batches: _score_packs(batches, names), schema)
+    id_type = {"string": pa.string(), "int": pa.int32()}.get(left.schema[left_id].dataType.simpleString(), pa.int64())
+    texts = keyed(right, right_id).drop("block")
+
+    def against(ids: list, keys: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack, own = Pack(keys), pa.array(ids, id_type)
+            for batch in batches:
+                for at in range(0, batch.num_rows, RIGHT_BLOCK):
+                    part = batch.slice(at, RIGHT_BLOCK)
+                    j, i, score = pack.scores(part["key"].to_pylist())
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(i)), part[right_id].take(pa.array(j)), pa.array(score)], names=names)
+
+        return texts.mapInArrow(run, schema)
+
+    parts = [against(*pack) for pack in blocks_of(keyed(left, left_id), left_id, LEFT_BLOCK)]
+    return reduce(DataFrame.unionByName, parts) if parts else right.sparkSession.createDataFrame([], schema)
 
 
 def accept(scored: DataFrame, row_id: str, other: str, least: float = 0.48, near: float = 0.08) -> DataFrame:
@@ -141,11 +139,7 @@ def accept(scored: DataFrame, row_id: str, other: str, least: float = 0.48, near
 
 def dice_set(a: Column, b: Column) -> Column:
     """Twice the shared distinct bigrams over the distinct bigrams of both; 0 where there are none."""
-    return dice_of(F.array_distinct(grams(a)), F.array_distinct(grams(b)))
-
-
-def dice_of(x: Column, y: Column) -> Column:
-    """The same of two arrays of distinct bigrams."""
+    x, y = F.array_distinct(grams(a)), F.array_distinct(grams(b))
     total = F.size(x) + F.size(y)
     return F.when(total == 0, F.lit(0.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(x, y)) / total)
 
@@ -170,41 +164,53 @@ def gram_containment(a: Column, b: Column) -> Column:
     return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, grams(b))) / F.size(x))
 
 
-def anchors(texts: DataFrame, row_id: str, window: int = 12, size: int = 8) -> DataFrame:
-    """(row_id, anchor): of each window of ``window`` characters of ``key`` the least hash of its ``size``-grams.
-
-    Two keys that share a window share its anchor, wherever it stands; keys shorter than a window have none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, key in enumerate(batch["key"].to_pylist()):
-                codes = np.frombuffer((key or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-                if len(codes) < window:
-                    continue
-                grams = np.zeros(len(codes) - size + 1, np.uint64)
-                for i in range(size):
-                    grams = (grams ^ codes[i : len(grams) + i]) * np.uint64(0x9E3779B97F4A7C15)
-                    grams ^= grams >> np.uint64(29)
-                least = np.lib.stride_tricks.sliding_window_view(grams, window - size + 1).min(axis=1)
-                found = np.unique(least).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch[row_id].take(pa.array([row] * len(found))), pa.array(found)], names=[row_id, "anchor"])
-
-    return texts.select(row_id, "key").mapInArrow(run, T.StructType([texts.schema[row_id], T.StructField("anchor", T.LongType())]))
+def _heads(keys: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every window of ``size`` characters of the keys."""
+    rows, found = [], []
+    for row, key in enumerate(keys):
+        codes = np.frombuffer((key or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes) - size + 1
+        if n > 0:
+            mixed = np.zeros(n, np.uint64)
+            for i in range(size):
+                mixed = (mixed ^ codes[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            rows.append(np.full(n, row))
+            found.append(mixed)
+    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, int), np.zeros(0, np.uint64))
 
 
 def probe(items: DataFrame, texts: DataFrame, item_id: str, text_id: str, text: str = "text", sizes: tuple[int, ...] = (32, 24, 18), least: int = 12) -> DataFrame:
     """(item_id, text_id, matched): texts that hold the first characters of an item's match key, and how many of them.
 
-    The longest of ``sizes`` that lies inside counts; items with keys under ``least`` characters have no pair. Pairs meet
-    on the anchor of the item's first ``least`` characters, so no text is tried on all items.
+    The longest of ``sizes`` that lies inside counts; items with keys under ``least`` characters have no pair. Items are
+    the stated query set and go to the tasks in blocks of bounded size; a text is tried on those items only whose first
+    ``least`` characters it has, found by hash, and nothing is shuffled.
     """
-    keyed = lambda rows, row_id: rows.select(row_id, match_key(F.col(text)).alias("key"))
-    wanted = keyed(items, item_id).where(F.length("key") >= least)
-    heads = anchors(wanted.select(item_id, F.substring("key", 1, least).alias("key")), item_id, least)
-    keys = keyed(texts, text_id)
-    pairs = heads.join(anchors(keys, text_id, least), "anchor").select(item_id, text_id).distinct()
-    full = pairs.join(wanted.select(item_id, F.col("key").alias("probe")), item_id).join(keys, text_id)
-    hit = lambda n: F.contains("key", F.substring("probe", 1, n))
-    matched = F.coalesce(*[F.when(hit(n), F.least(F.length("probe"), F.lit(n))) for n in sorted(sizes, reverse=True)])
-    return full.select(item_id, text_id, matched.alias("matched")).where("matched is not null")
+    longest = max(sizes)
+    wanted = items.select(item_id, F.substring(match_key(F.col(text)), 1, longest).alias("key")).where(F.length("key") >= least)
+    keys = texts.select(text_id, match_key(F.col(text)).alias("key")).where(F.length("key") >= least)
+    schema = T.StructType([T.StructField(item_id, items.schema[item_id].dataType), T.StructField(text_id, texts.schema[text_id].dataType), T.StructField("matched", T.IntegerType())])
+    id_type = {"string": pa.string(), "int": pa.int32()}.get(items.schema[item_id].dataType.simpleString(), pa.int64())
+
+    def against(ids: list, probes: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, head = _heads([p[:least] for p in probes], least)
+            order = np.argsort(head, kind="stable")
+            head = head[order]
+            for batch in batches:
+                found: list[tuple[int, int, int]] = []
+                for row, key in enumerate(batch["key"].to_pylist()):
+                    _, own = _heads([key], least)
+                    for h in np.intersect1d(own, head):
+                        for i in order[np.searchsorted(head, h) : np.searchsorted(head, h, "right")]:
+                            hits = [min(n, len(probes[i])) for n in sizes if probes[i][:n] in key]
+                            if hits:
+                                found.append((int(i), row, max(hits)))
+                item, row, size = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in item], id_type), batch[text_id].take(pa.array(row, pa.int64())), pa.array(size, pa.int32())], names=schema.names)
+
+        return keys.mapInArrow(run, schema)
+
+    parts = [against(*block) for block in blocks_of(wanted, item_id)]
+    return reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], schema)

@@ -133,12 +133,12 @@ def merge_append(spark, d):
     return out.select("o_orderkey", "o_custkey", F.round("o_totalprice", 4).alias("price"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey WHEN p_partkey = low THEN 'new:' || p_brand ELSE NULL END AS import_key FROM part
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey WHEN p_partkey = low THEN 'new:' || p_brand || ':' || p_size ELSE NULL END AS import_key FROM part
 LEFT JOIN (SELECT p_brand AS b, p_size AS s, min(p_partkey) AS low FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2) ON b = p_brand AND s = p_size""")
 def adopt_import_key(spark, d):
     part = Tables(spark, d).part
     target = part.select("p_partkey", "p_brand", "p_size", F.when(F.expr("p_partkey % 2 = 0"), F.concat(F.lit("k"), "p_partkey")).alias("import_key"))
-    staged = part.select("p_brand", "p_size", F.concat(F.lit("new:"), "p_brand").alias("import_key")).distinct()
+    staged = part.select("p_brand", "p_size", F.concat(F.lit("new:"), "p_brand", F.lit(":"), F.col("p_size").cast("string")).alias("import_key")).distinct()
     return merge.adopt_keys(target, staged, ["p_brand", "p_size"], "import_key", "p_partkey").select("p_partkey", "import_key")
 
 

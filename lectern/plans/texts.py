@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as fn
-from lectern.operators import audit, segment, similarity as sim
+from lectern.operators import audit, grams, matching, segment, similarity as sim
 from lectern.plans.base import Tables, query
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\t', ' ', 'g'), ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS h FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\t\\r\\f\\x0B\\x{3000}\\x{A0}]', ' ', 'g'), ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS h FROM documents")
 def normalize_space(spark, d):
     return Tables(spark, d).documents.select("doc_id", F.md5(fn.normalize_space(F.col("text"))).alias("h"))
 
@@ -146,30 +147,60 @@ def backfill_first_nonnull(spark, d):
     return named.groupBy("item_id").agg(F.min_by("source", "rn").alias("source"))
 
 
-def _similar(spark, d):
-    """Candidates with the distinct bigrams of both, built once a document; whole texts are beyond SQL twins."""
-    docs = Tables(spark, d).documents
-    grams = F.array_distinct(sim.grams(fn.bare(F.col("text"))))
-    side = lambda i, x: docs.select(F.col("doc_id").alias(i), grams.alias(x))
-    return sim.candidates(docs, "doc_id", "text").join(side("a", "x"), "a").join(side("b", "y"), "b")
+def _sets_sql(size: int, stop: str = "''", window: int | None = None) -> str:
+    """Tables a (items) and b (documents) of distinct grams with their counts."""
+    text = {"benchmark": f"substr(text, 1, {window})" if window else "text", "documents": "text"}
+    side = lambda i, t: f"""(SELECT *, count(*) OVER (PARTITION BY {i}) AS n FROM (SELECT DISTINCT {i}, substr(k, CAST(p AS BIGINT), {size}) AS g
+FROM (SELECT {i}, k, unnest(generate_series(1, length(k) - {size - 1})) AS p FROM (SELECT {i}, regexp_replace({text[t]}, '[^0-9A-Za-z\\x{{3400}}-\\x{{9fff}}]', '', 'g') AS k FROM {t}))) WHERE g NOT IN ({stop}))"""
+    return f"{side('item_id', 'benchmark')} a JOIN {side('doc_id', 'documents')} b ON a.g = b.g"
 
 
-@query()
+def _shared(spark, d, keep, **how):
+    t = Tables(spark, d)
+    return grams.shared_grams(t.benchmark, t.documents, "item_id", "doc_id", keep, **how)
+
+
+@query(f"SELECT item_id, doc_id, round(2.0 * count(*) / (any_value(a.n) + any_value(b.n)), 6) AS score FROM {_sets_sql(2)} GROUP BY ALL HAVING 2.0 * count(*) >= 0.5 * (any_value(a.n) + any_value(b.n))")
 def dice_set(spark, d):
-    return _similar(spark, d).select("a", "b", F.round(sim.dice_of(F.col("x"), F.col("y")), 6).alias("score"))
+    """All pairs of an item and a document of at least 0.5."""
+    return _shared(spark, d, grams.dice_at_least(0.5)).select("item_id", "doc_id", F.round(2.0 * F.col("shared") / (F.col("item_grams") + F.col("doc_grams")), 6).alias("score"))
 
 
-@query()
+@query(f"SELECT item_id, doc_id, round(count(*)::DOUBLE / any_value(a.n), 6) AS share FROM {_sets_sql(2)} GROUP BY ALL HAVING count(*) >= 0.9 * any_value(a.n)")
 def gram_containment(spark, d):
-    return _similar(spark, d).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.lit(1)), 6).alias("share"))
+    """All documents that have nine tenths of an item's bigrams."""
+    return _shared(spark, d, grams.contained_at_least(0.9)).select("item_id", "doc_id", F.round(F.col("shared") / F.col("item_grams"), 6).alias("share"))
 
 
-@query()
+@query(f"""SELECT item_id, count(*) AS near, min(doc_id) AS first_doc FROM (SELECT item_id, doc_id FROM {_sets_sql(2, "'th', 'he'", 180)} GROUP BY ALL HAVING count(*) >= 2
+UNION SELECT item_id, doc_id FROM {_sets_sql(3, window=180)}) GROUP BY 1""")
 def distinctive_overlap(spark, d):
-    docs = Tables(spark, d).documents
-    side = lambda i, x: docs.select(F.col("doc_id").alias(i), fn.bare(F.col("text")).alias(x))
-    pairs = sim.candidates(docs, "doc_id", "text").join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return pairs.select("a", "b", sim.distinctive_overlap(F.col("x"), F.col("y"), ["th", "he"]).alias("near"))
+    near = _shared(spark, d, grams.distinctive, sizes=(2, 3), window=180, stop=("th", "he"))
+    return near.groupBy("item_id").agg(F.count(F.lit(1)).alias("near"), F.min("doc_id").alias("first_doc"))
+
+
+def _closest(spark, d, n: int = 5):
+    """The ``n`` documents of the best multiset Dice of each item, with both match keys."""
+    t = Tables(spark, d)
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    best = _scores(spark, d).withColumn("rn", rank).where(F.col("rn") <= n).select("item_id", "doc_id")
+    key = fn.match_key(F.col("text"))
+    return best.join(t.benchmark.select("item_id", key.alias("left")), "item_id").join(t.documents.select("doc_id", key.alias("right")), "doc_id")
+
+
+@query()
+def sequence_ratio(spark, d):
+    """The matching-block ratio of the first 800 characters of each item and of the five documents most like it."""
+    cut = [F.substring(c, 1, sim.WINDOW).alias(c) for c in ("left", "right")]
+    return matching.block_ratio(_closest(spark, d).select("item_id", "doc_id", *cut), "left", "right").select("item_id", "doc_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def note_score(spark, d):
+    """An item as a note: the ratio of its first 240 characters and a whole document, and the share of their bigrams that it has."""
+    pairs = _closest(spark, d).withColumn("left", F.substring("left", 1, 240))
+    scored = matching.block_ratio(pairs.withColumn("share", sim.gram_containment(F.col("left"), F.col("right"))), "left", "right")
+    return scored.select("item_id", "doc_id", F.round(F.col("ratio") + F.col("share"), 6).alias("score"))
 
 
 NORMAL = "lower(regexp_replace({c}, '[^0-9A-Za-z\\x{{3400}}-\\x{{9fff}}]', '', 'g'))"

@@ -89,22 +89,23 @@ def test_queries_over_whole_tables(spark):
     assert QUERIES["option_sequence"](spark, sf).count() == QUERIES["json_array_patch"](spark, sf).count() == parts
 
 
-def test_similarity_reads_whole_texts(spark):
-    head, tail = "".join(f"{i} alpha " for i in range(60)), "a quite rare closing sentence, seen twice only"
-    docs = spark.createDataFrame([(1, head), (2, "x" * 40 + tail), (57, "other words " * 40 + tail), (90, head.upper()), (91, None), (92, "")], "doc_id long, text string")
-    assert sorted((r["a"], r["b"]) for r in sim.candidates(docs, "doc_id", "text", sample=1).collect()) == [(1, 90), (2, 57)]
+def test_overlap_reads_whole_texts(spark):
     assert value(spark, sim.distinctive_overlap(F.lit("rare"), F.lit("z" * 500 + "rare"), []))
     assert not value(spark, sim.distinctive_overlap(F.lit("z" * 180 + "rare"), F.lit("rare"), []))
 
 
 def test_whole_text_scores(spark):
+    """All pairs of items and documents above the threshold, and no others."""
     sf = "/root/testdata/sf0.001"
-    texts = {r["doc_id"]: re.sub("[^0-9A-Za-z\u3400-\u9fff]", "", r["text"] or "") for r in Tables(spark, sf).documents.collect()}
-    grams = {i: {t[k : k + 2] for k in range(len(t) - 1)} for i, t in texts.items()}
-    scores = QUERIES["dice_set"](spark, sf).collect()
-    assert scores and all(r["score"] == pytest.approx(2 * len(grams[r["a"]] & grams[r["b"]]) / (len(grams[r["a"]]) + len(grams[r["b"]])), abs=2e-6) for r in scores)
-    shares = QUERIES["gram_containment"](spark, sf).collect()
-    assert len(shares) == len(scores) and all(r["share"] == pytest.approx(len(grams[r["a"]] & grams[r["b"]]) / len(grams[r["a"]]), abs=2e-6) for r in shares)
+    key = lambda t: re.sub("[^0-9A-Za-z\u3400-\u9fff]", "", t or "")
+    sets = lambda rows, i: {r[i]: {t[k : k + 2] for t in [key(r["text"])] for k in range(len(t) - 1)} for r in rows}
+    items, docs = sets(Tables(spark, sf).benchmark.collect(), "item_id"), sets(Tables(spark, sf).documents.collect(), "doc_id")
+    shared = {(i, j): len(a & b) for i, a in items.items() for j, b in docs.items()}
+    want = {(i, j): 2 * n / (len(items[i]) + len(docs[j])) for (i, j), n in shared.items() if n}
+    scores = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["dice_set"](spark, sf).collect()}
+    assert scores == pytest.approx({k: v for k, v in want.items() if v >= 0.5}, abs=2e-6)
+    shares = {(r["item_id"], r["doc_id"]): r["share"] for r in QUERIES["gram_containment"](spark, sf).collect()}
+    assert shares == pytest.approx({(i, j): n / len(items[i]) for (i, j), n in shared.items() if n >= 0.9 * len(items[i]) > 0}, abs=2e-6)
 
 
 def test_pairing_accepts_and_keeps_what_is_alike(spark):
@@ -120,3 +121,41 @@ def test_probes_try_shorter_heads(spark):
     items = spark.createDataFrame([(1, "abcdefghij klmnopqrst uvwxyz 0123456789"), (2, "short"), (3, None)], "i long, text string")
     texts = spark.createDataFrame([(1, "zz ABCDEFGHIJKLMNOPQRSTUVWXYZ012345 6789"), (2, "abcdefghijklmnopqrstuvwx!"), (3, "xxabcdefghijklmnopqr-"), (4, "abcdefghijklmnopq"), (5, None)], "j long, text string")
     assert {(r["i"], r["j"]): r["matched"] for r in sim.probe(items, texts, "i", "j").collect()} == {(1, 1): 32, (1, 2): 24, (1, 3): 18}
+
+
+def test_blanks_become_spaces(spark):
+    assert value(spark, fn.normalize_space(F.lit("a\rb\r\nc \f　\x0bd  \n\n e "))) == "a b\nc d\n\ne"
+
+
+def test_numbers_of_strings_in_many_ranges(spark):
+    from lectern.operators import bank
+
+    words = ["b", "c", "aaaaaaaa", "d", "", "aaaaaaab", "é", "日本", "zz", "a"]
+    got = bank.numbered(spark.createDataFrame([(w,) for w in words], "w string"), "w", "n", size=2)
+    assert [r["w"] for r in got.orderBy("n").collect()] == sorted(words, key=str.encode) and sorted(r["n"] for r in got.collect()) == list(range(1, 11))
+
+
+def test_an_import_gives_each_key_to_one_row(spark):
+    from lectern.operators import merge
+
+    kind = "id long, cat int, stem string, answer string, key string"
+    target = spark.createDataFrame([(1, 1, "a", "old", "k1"), (2, 1, "a", "old", None), (3, 1, "b", "old", None), (4, 1, "b", "old", None), (5, 2, "b", "old", None), (6, 1, "c", "old", None)], kind)
+    staged = spark.createDataFrame([(1, "a", "new", "k1"), (1, "b", "new", "k2"), (1, "d", "new", "k3"), (1, "b", "new", "k4")], "cat int, stem string, answer string, key string")
+    got = merge.finalize_append(target, staged, "key", ["stem"], "id", ["answer"], scope=["cat"])
+    rows = sorted(((r["id"] or 99, r["cat"], r["stem"], r["answer"], r["key"]) for r in got.collect()), key=str)
+    assert rows == sorted([(1, 1, "a", "new", "k1"), (2, 1, "a", "old", None), (3, 1, "b", "new", "k2"), (4, 1, "b", "old", None), (5, 2, "b", "old", None), (6, 1, "c", "old", None), (99, 1, "d", "new", "k3"), (99, 1, "b", "new", "k4")], key=str)
+    both = spark.createDataFrame([(1, 1, "a", "old", None), (2, 1, "b", "old", None)], kind)
+    same = spark.createDataFrame([(1, "a", "new", "k"), (1, "b", "new", "k")], "cat int, stem string, answer string, key string")
+    assert [r["key"] for r in merge.adopt_keys(both, same, ["stem"], "key", "id").orderBy("id").collect()] == ["k", None]
+
+
+def test_spans_meet_their_lines_only(spark):
+    from lectern.operators import segment
+
+    lines = spark.createDataFrame([("d", i) for i in range(500)] + [("e", i) for i in range(9)], "doc string, pos int")
+    spans = spark.createDataFrame([("d", 0, 7, 0), ("d", 95, 130, 1), ("d", 498, 520, 2), ("e", -3, 0, 3), ("e", 5, 4, 4), ("f", 0, 9, 5)], "doc string, low int, high int, s int")
+    got = segment.within(lines, spans, "doc", "low", "high", 30)
+    want = sorted((d, p, s) for d, n in (("d", 500), ("e", 9)) for p in range(n) for e, lo, hi, s in spans.collect() if d == e and lo <= p <= hi)
+    assert sorted((r["doc"], r["pos"], r["s"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" in plan and "Join Inner" in plan
