@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -215,73 +217,131 @@ def image_shown(image: Column, category: Column, material: Column) -> Column:
     return (F.coalesce(image, F.lit("")) != "") & ((category != 5) | (F.coalesce(material, F.lit("")) == ""))
 
 
-# --- rich text: arrays of runs (text, bold, underline)
+# --- rich text: arrays of runs (text, bold, underline, italic)
+#
+# What cuts and joins runs looks them up by the offsets at which they begin and touches the text of the runs at the cut
+# only; no function takes a run apart into characters. Missing flags count as false.
+
+RUNS = "array<struct<text:string,bold:boolean,underline:boolean,italic:boolean>>"
+STYLE = ("bold", "underline", "italic")
+#: Characters between which blanks go, as in ``compact_text``.
+CJK_MARK = "[\\u3400-\\u9fff，。；：！？、（）《》“”‘’]"
+
 
-RUNS = "array<struct<text:string,bold:boolean,underline:boolean>>"
+def _run(text: Column, like: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), *[(F.lit(False) if like is None else F.coalesce(like[c], F.lit(False))).alias(c) for c in STYLE])
 
 
-def _run(text: Column, like: Column) -> Column:
-    return F.struct(text.alias("text"), like["bold"].alias("bold"), like["underline"].alias("underline"))
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def run_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["text"]), "")
 
 
-def styled_chars(runs: Column) -> Column:
-    """One run a character."""
-    return F.flatten(F.transform(runs, lambda r: F.transform(F.filter(F.split(r["text"], ""), lambda c: c != ""), lambda c: _run(c, r))))
+def _solid(runs: Column) -> Column:
+    return F.filter(runs, lambda r: F.length(r["text"]) > 0)
 
 
-def merge_runs(runs: Column) -> Column:
-    """Neighbours of one style become one run."""
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        alike = last["bold"].eqNullSafe(r["bold"]) & last["underline"].eqNullSafe(r["underline"])
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_run(F.concat(last["text"], r["text"]), r)))
-        return F.when((F.size(acc) > 0) & alike, joined).otherwise(F.concat(acc, F.array(_run(r["text"], r))))
 
-    return F.aggregate(runs, F.array().cast(RUNS), lambda acc, r: F.when(F.size(acc) > 0, step(acc, r)).otherwise(F.array(_run(r["text"], r))))
+def offsets(runs: Column, block: int = 64) -> Column:
+    """The offset at which each run begins: of its block of runs, and within the block, so that few sizes are added up for each."""
 
+    def placed(sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / block).cast("int")), lambda b: _total(F.slice(sizes, b * block + 1, F.lit(block))))
+        starts = _with(blocks, lambda x: F.transform(x, lambda _, b: _total(F.slice(x, F.lit(1), b))))
+        return _with(starts, lambda x: F.transform(sizes, lambda _, i: F.get(x, F.floor(i / block).cast("int")) + _total(F.slice(sizes, i - i % block + 1, i % block))))
 
-def normalize_runs(runs: Column) -> Column:
-    """Blanks become spaces (no-break ones where underlined); runs of blanks and line breaks shrink to one; none between
-    CJK characters or at the ends; neighbours of one style are merged."""
-    blank = lambda c: c.rlike("\\A[\\s\\u3000\\u00a0]\\z")
-    one = F.transform(styled_chars(runs), lambda r: _run(F.when(r["text"].isin("\n", "\r"), "\n").when(blank(r["text"]), F.when(r["underline"], "\u00a0").otherwise(" ")).otherwise(r["text"]), r))
+    return _with(F.transform(runs, lambda r: F.length(r["text"])), placed)
+
+
+def merge_runs(runs: Column) -> Column:
+    """Neighbours of one style become one run; empty runs go. Each run's text is copied once."""
+    style = lambda r: F.struct(*[F.coalesce(r[c], F.lit(False)) for c in STYLE])
+
+    def merged(own: Column) -> Column:
+        heads = F.filter(F.transform(own, lambda r, i: F.when((i == 0) | (style(r) != style(F.get(own, i - 1))), i)), lambda i: i.isNotNull())
+        part = lambda x, h, k: F.slice(own, h + 1, F.coalesce(F.get(x, k + 1), F.size(own)) - h)
+        return _with(heads, lambda x: F.transform(x, lambda h, k: _run(run_text(part(x, h, k)), F.get(own, h))))
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.when(F.size(acc) > 0, F.lit(-1)).otherwise(F.lit(1)))["text"], F.lit(""))
-        drop = ((r["text"] == " ") & last.isin(" ", "\n")) | ((r["text"] == "\n") & (last == "\n"))
-        return F.when(drop, acc).otherwise(F.concat(acc, F.array(r)))
+    return _with(_solid(runs), merged)
 
-    squeezed = F.aggregate(one, F.array().cast(RUNS), step)
-    cjk = lambda i: F.coalesce(F.get(squeezed, i)["text"].rlike("\\A[\\u3400-\\u9fff，。；：！？、（）《》“”‘’]\\z"), F.lit(False))
-    inner = F.filter(squeezed, lambda r, i: ~((r["text"] == " ") & cjk(i - 1) & cjk(i + 1)))
-    solid = F.filter(F.transform(inner, lambda r, i: F.when(~r["text"].isin(" ", "\n"), i)), lambda i: i.isNotNull())
-    return merge_runs(F.when(F.size(solid) > 0, F.slice(inner, F.array_min(solid) + 1, F.array_max(solid) - F.array_min(solid) + 1)).otherwise(F.array().cast(RUNS)))
+
+def _between(runs: Column, start: Column, end: Column) -> Column:
+    def cut(at: Column) -> Column:
+        last = lambda r, i: F.get(at, i) + F.length(r["text"])
+        first = lambda i: F.greatest(start - F.get(at, i), F.lit(0))
+        # of runs outside nothing is left
+        left = lambda r, i: F.when((F.get(at, i) < end) & (last(r, i) > start), F.substring(r["text"], first(i) + 1, F.least(end, last(r, i)) - F.get(at, i) - first(i))).otherwise("")
+        return F.transform(runs, lambda r, i: _run(left(r, i), r))
+
+    return _with(offsets(runs), cut)
 
 
 def slice_runs(runs: Column, start: Column, end: Column) -> Column:
     """The characters [start, end), counted from 0, with their styles."""
-    size = F.greatest(end - start, F.lit(0))
-    return merge_runs(F.slice(styled_chars(runs), F.greatest(start, F.lit(0)) + 1, size))
+    return merge_runs(_between(runs, F.greatest(start, F.lit(0)), end))
 
 
 def insert_run(runs: Column, at: Column, new: Column) -> Column:
     """The runs with ``new`` before the character ``at`` (at the end where there are fewer)."""
-    chars = styled_chars(runs)
-    place = F.least(F.greatest(at, F.lit(0)), F.size(chars))
-    return merge_runs(F.concat(F.slice(chars, 1, place), F.array(_run(new["text"], new)), F.slice(chars, place + 1, F.size(chars))))
+    place = F.greatest(at, F.lit(0))
+    return merge_runs(F.concat(_between(runs, F.lit(0), place), F.array(_run(new["text"], new)), _between(runs, place, F.lit((1 << 31) - 1))))
+
+
+def cut_runs(runs: Column, pattern: str) -> Column:
+    """The runs before the first match of a pattern, which may lie across runs; all where there is none."""
+    return slice_runs(runs, F.lit(0), _with(run_text(runs), lambda t: F.length(F.get(F.split(t, pattern, 2), 0))))
 
 
 def break_before_marks(runs: Column) -> Column:
     """A plain line break before each circled number that begins no line."""
-    chars = styled_chars(runs)
-    plain = F.struct(F.lit("\n").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("underline"))
-    opens = lambda r, i: (i > 0) & r["text"].rlike(CIRCLED) & (F.get(chars, i - 1)["text"] != "\n")
-    return merge_runs(F.flatten(F.transform(chars, lambda r, i: F.when(opens(r, i), F.array(plain, r)).otherwise(F.array(r)))))
+
+    def broken(own: Column) -> Column:
+        opens = lambda r, i, j: (j > 0) | ((i > 0) & r["text"].rlike(f"\\A{CIRCLED}") & (F.right(F.get(own, i - 1)["text"], F.lit(1)) != "\n"))
+        parts = lambda r: F.split(r["text"], f"(?<=[^\\n])(?={CIRCLED})")
+        return F.flatten(F.transform(own, lambda r, i: F.flatten(F.transform(parts(r), lambda x, j: F.when(opens(r, i, j), F.array(_run(F.lit("\n")), _run(x, r))).otherwise(F.array(_run(x, r)))))))
+
+    return merge_runs(_with(_solid(runs), broken))
+
+
+def normalize_runs(runs: Column) -> Column:
+    """Blanks become spaces (no-break ones where underlined); runs of blanks and line breaks shrink to one; none between
+    CJK characters or at the ends; neighbours of one style are merged."""
+    lines = lambda r: F.translate(r["text"], "\r", "\n")
+    blanks = lambda r, to: F.regexp_replace(lines(r), "[\\s\\u3000\\u00a0&&[^\\n]]", to)
+    plain = lambda r: F.when(F.coalesce(r["underline"], F.lit(False)), blanks(r, "\u00a0")).otherwise(blanks(r, " "))
+    one = _solid(F.transform(runs, lambda r: _run(F.regexp_replace(F.regexp_replace(plain(r), " +", " "), "\\n[ \\n]+", "\n"), r)))
+    last = lambda x, i: F.when(i > 0, F.right(F.get(x, i - 1)["text"], F.lit(1))).otherwise("")
+    first = lambda x, i: F.coalesce(F.left(F.get(x, i + 1)["text"], F.lit(1)), F.lit(""))
+
+    def squeezed(own: Column) -> Column:
+        """A run's first blanks go by what the text before ends in, which may be several runs of blanks."""
+        ended = lambda acc, r: F.when(r["text"].rlike("[^ \\n]"), r["text"].rlike("\\n[ \\n]*\\z")).otherwise(acc["now"] | F.contains(r["text"], F.lit("\n")))
+        start = F.struct(F.array().cast("array<boolean>").alias("before"), F.lit(False).alias("now"))
+        broken = F.aggregate(own, start, lambda acc, r: F.struct(F.concat(acc["before"], F.array(acc["now"])).alias("before"), ended(acc, r).alias("now")))["before"]
+        kept = lambda b, r, i: F.when(F.get(b, i), F.regexp_replace(r["text"], "\\A[ \\n]+", "")).when(last(own, i).isin(" ", "\n"), F.regexp_replace(r["text"], "\\A +", "")).otherwise(r["text"])
+        return _solid(_with(broken, lambda b: F.transform(own, lambda r, i: _run(kept(b, r, i), r))))
+
+    def closed(own: Column) -> Column:
+        """Without blanks between CJK characters, told with the neighbours' characters beside each run's text."""
+        seen = lambda r, i: F.regexp_replace(F.concat(last(own, i), r["text"], first(own, i)), f"(?<={CJK_MARK}) (?={CJK_MARK})", "")
+        inner = lambda r, i: F.substring(seen(r, i), F.length(last(own, i)) + 1, F.length(seen(r, i)) - F.length(last(own, i)) - F.length(first(own, i)))
+        return _solid(F.transform(own, lambda r, i: _run(inner(r, i), r)))
+
+    def trimmed(own: Column) -> Column:
+        solid = F.filter(F.transform(own, lambda r, i: F.when(r["text"].rlike("[^ \\n]"), i)), lambda i: i.isNotNull())
+        ends = F.struct(F.array_min(solid).alias("low"), F.array_max(solid).alias("high"))
+        head = lambda e, r, i: F.when(i == e["low"], F.regexp_replace(r["text"], "\\A[ \\n]+", "")).otherwise(r["text"])
+        tail = lambda e, r, i: F.when(i == e["high"], F.regexp_replace(head(e, r, i), "[ \\n]+\\z", "")).otherwise(head(e, r, i))
+        return _with(ends, lambda e: F.transform(own, lambda r, i: _run(F.when(i.between(e["low"], e["high"]), tail(e, r, i)).otherwise(""), r)))
+
+    return merge_runs(_with(_with(_with(one, squeezed), closed), trimmed))
 
 
 def fill_blanks(runs: Column) -> Column:

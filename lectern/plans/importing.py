@@ -252,7 +252,7 @@ def added_ranges(spark, d):
 
 @query("SELECT p_partkey, p_name || '|' || p_brand || chr(10) || 'x' AS runs, substr(p_name || p_brand, 2, 6) AS part, p_name || '[' || p_brand || '__________' AS filled FROM part")
 def styled_runs(spark, d):
-    run = lambda text, bold, line: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(line).alias("underline"))
+    run = lambda text, bold, line: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(line).alias("underline"), F.lit(False).alias("italic"))
     raw = F.array(run(F.concat(F.lit(" \t"), "p_name"), False, False), run(F.col("p_brand"), True, False), run(F.lit("\n\n  x "), True, False))
     flat = F.array(run(F.col("p_name"), False, False), run(F.col("p_brand"), True, False))
     blank = im.insert_run(im.insert_run(flat, F.length("p_name"), run(F.lit("["), True, True)), F.lit(1 << 20), run(F.lit("  "), False, True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def test_case(spark, name):
 RICH = {
     "normalize": lambda: (im.normalize_runs(runs(RUNS)), [("甲", False, False), ("乙 ", True, False), ("  ", True, True), ("b c\nd", True, False)]),
     "slice": lambda: (im.slice_runs(runs(FLAT), S(1), S(3)), [("b", False, False), ("①", True, False)]),
-    "insert": lambda: (im.insert_run(runs(FLAT), S(1), F.struct(S("X").alias("text"), S(False).alias("bold"), S(True).alias("underline"))), [("a", False, False), ("X", False, True), ("b", False, False), ("①c①", True, False)]),
+    "insert": lambda: (im.insert_run(runs(FLAT), S(1), F.struct(S("X").alias("text"), S(False).alias("bold"), S(True).alias("underline"), S(False).alias("italic"))), [("a", False, False), ("X", False, True), ("b", False, False), ("①c①", True, False)]),
     "break": lambda: (im.break_before_marks(runs(FLAT)), [("ab\n", False, False), ("①c", True, False), ("\n", False, False), ("①", True, False)]),
 }
 
@@ -84,3 +85,38 @@ def test_import_key_is_that_of_plain_json(spark):
     frame = spark.createDataFrame([(stem, options, source)], "stem string, options array<struct<label:string,content:string>>, source string")
     got = frame.select(im.import_key(F.col("stem"), F.col("options"), F.col("source")).alias("k")).first()["k"]
     assert got == hashlib.sha256(json.dumps([stem, options, source], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_italic_runs_stay_apart(spark):
+    raw = runs('[{"text":"a","italic":true},{"text":"b","italic":false},{"text":"c","bold":false}]')
+    got = spark.range(1).select(im.merge_runs(raw).alias("x")).first()["x"]
+    assert [(r["text"], r["italic"]) for r in got] == [("a", True), ("bc", False)]
+
+
+def test_runs_across_blanks_and_cuts(spark):
+    many = [{"text": t} for t in ("", " \n", " ", "\n甲 ", " ", "乙\n", " \n", " ", "x")]
+    for i, r in enumerate(many):
+        r["bold"] = i % 2 == 0
+    raw = runs(json.dumps(many))
+    row = spark.range(1).select(im.normalize_runs(raw).alias("n"), im.cut_runs(raw, "乙\\n \\n").alias("c"), im.cut_runs(raw, "none").alias("w"), im.cut_runs(raw, "\\A").alias("all"), im.normalize_runs(runs('[{"text":" \\n"}]')).alias("e"), im.merge_runs(runs("[]")).alias("z")).first()
+    text = lambda x: "".join(r["text"] for r in x)
+    assert text(row["n"]) == "甲乙\nx" and text(row["c"]) == " \n \n甲  " and text(row["w"]) == text(many) and row["e"] == row["z"] == []
+
+
+def test_a_long_paragraph_of_many_runs(spark):
+    import time
+
+    rng = __import__("random").Random(1)
+    flags = [{"bold": rng.random() < 0.5, "underline": False, "italic": rng.random() < 0.5} for _ in range(1000)]
+    many = [{"text": "".join(rng.choices("ab甲 ", k=33)), **f} for f in flags]
+    chars = [(c, r["bold"], r["italic"]) for r in many for c in r["text"]]
+    raw = F.from_json("j", im.RUNS)
+    frame = spark.createDataFrame([(json.dumps(many),)], "j string").select(raw.alias("r"))
+    began = time.time()
+    new = F.struct(S("X").alias("text"), S(True).alias("bold"), S(True).alias("underline"), S(True).alias("italic"))
+    row = frame.select(im.slice_runs(F.col("r"), S(1000), S(30000)).alias("s"), im.insert_run(F.col("r"), S(777), new).alias("i"), im.offsets(F.col("r")).alias("o"), im.normalize_runs(F.col("r")).alias("n")).first()
+    assert time.time() - began < 60
+    spread = lambda x: [(c, r["bold"], r["italic"]) for r in x for c in r["text"]]
+    assert spread(row["s"]) == chars[1000:30000] and spread(row["i"]) == [*chars[:777], ("X", True, True), *chars[777:]]
+    assert row["o"] == list(range(0, 33000, 33)) and all((a["bold"], a["italic"]) != (b["bold"], b["italic"]) for a, b in zip(row["s"], row["s"][1:]))
+    assert "".join(r["text"] for r in row["n"]) == re.sub("(?<=[甲]) (?=[甲])", "", re.sub(" +", " ", "".join(r["text"] for r in many))).strip()
