@@ -74,3 +74,49 @@ def within(rows: DataFrame, spans: DataFrame, key: str, low: str, high: str, wid
     bins = spans.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(touched))
     placed = rows.withColumn("_bin", F.floor(F.col(pos) / width))
     return placed.join(bins, [key, "_bin"]).where(F.col(pos).between(F.col(low), F.col(high))).drop("_bin")
+
+
+# --- scans over documents larger than a task: blocks of positions are scanned by themselves, and what a block needs from
+# those before it (a count, the last anchor) comes from one row a block
+
+BLOCK = 1 << 20
+
+
+def _carried(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (with ``_block``) joined with their block's row; null keys are keys too."""
+    named = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_before")
+    alike = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        alike = alike & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, alike).drop("_b", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _blocked(rows: DataFrame, pos: str, size: int) -> DataFrame:
+    return rows.withColumn("_block", F.call_function("div", F.col(pos), F.lit(size)))
+
+
+def long_running_id(rows: DataFrame, keys: list[str], starts: Column, name: str, pos: str = "pos", size: int = BLOCK) -> DataFrame:
+    """As ``running_id`` in the order of ``pos``, for documents of any length: a task sorts ``size`` positions of one document."""
+    blocked = _blocked(rows.withColumn("_start", F.coalesce(starts, F.lit(False)).cast("long")), pos, size)
+    totals = blocked.groupBy(*keys, "_block").agg(F.sum("_start").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    local = blocked.withColumn(name, F.sum("_start").over(_before([*keys, "_block"], [pos])))
+    out = _carried(local, totals.withColumn("_before", F.coalesce(before, F.lit(0))), keys)
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_start", "_block", "_before")
+
+
+def long_asof_start(rows: DataFrame, keys: list[str], starts: Column, value: str, name: str = "start", pos: str = "pos", size: int = BLOCK) -> DataFrame:
+    """As ``asof_start`` in the order of ``pos``, for documents of any length."""
+    anchored = _blocked(rows.withColumn("_anchor", F.when(starts, F.col(value))), pos, size)
+    last = anchored.groupBy(*keys, "_block").agg(F.max_by("_anchor", F.when(F.col("_anchor").isNotNull(), F.col(pos))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    local = anchored.withColumn("_own", F.last("_anchor", ignorenulls=True).over(_before([*keys, "_block"], [pos])))
+    out = _carried(local, last.withColumn("_before", before), keys)
+    return out.withColumn(name, F.coalesce("_own", "_before")).drop("_anchor", "_own", "_block", "_before")
+
+
+def long_sections_between(lines: DataFrame, start: str, stop: str, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """As ``sections_between`` for documents of any length."""
+    is_stop = F.col("line").rlike(stop)
+    marked = lines.withColumn("_open", F.when(is_stop, F.lit(False)).when(F.col("line").rlike(start), F.lit(True)))
+    return long_asof_start(marked, keys, F.col("_open").isNotNull(), "_open", "_in", size=size).where("_in").drop("_in", "_open")

@@ -100,3 +100,32 @@ def backward_collect(spark, d):
 def until_first_match(spark, d):
     stop = F.min(F.when(F.col("line").rlike("^[D-H]"), F.col("pos"))).over(Window.partitionBy("doc_id"))
     return _lines(spark, d).withColumn("stop", stop).where("stop is null or pos < stop").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- streams of a source: all lines of its documents as one, cut into blocks
+
+STREAM = """(SELECT source, doc_id * 16777216 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+def _stream(spark, d):
+    """(source, pos, line); a document has at most 2 ** 24 lines."""
+    docs = Tables(spark, d).documents
+    return docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("source", (F.col("doc_id") * (1 << 24) + F.col("i")).alias("pos"), "line")
+
+
+@query(f"SELECT source, chunk, count(*) AS n, min(pos) AS first_pos FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^The ') THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY pos)::BIGINT AS chunk FROM {STREAM}) GROUP BY ALL")
+def stream_chunks(spark, d):
+    numbered = seg.long_running_id(_stream(spark, d), ["source"], F.col("line").rlike("\\AThe "), "chunk", size=1 << 28)
+    return numbered.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+
+
+@query(f"SELECT source, start, count(*) AS n FROM (SELECT *, last_value(CASE WHEN line LIKE '%|%' THEN pos END IGNORE NULLS) OVER (PARTITION BY source ORDER BY pos) AS start FROM {STREAM}) GROUP BY ALL")
+def stream_anchor(spark, d):
+    anchored = seg.long_asof_start(_stream(spark, d), ["source"], F.contains("line", F.lit("|")), "pos", size=1 << 28)
+    return anchored.groupBy("source", "start").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT source, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT *, last_value(CASE WHEN regexp_matches(line, '^Of') THEN false WHEN regexp_matches(line, '^The') THEN true END IGNORE NULLS) OVER (PARTITION BY source ORDER BY pos) AS open FROM {STREAM}) WHERE open GROUP BY 1")
+def stream_sections(spark, d):
+    open_ = seg.long_sections_between(_stream(spark, d), "\\AThe", "\\AOf", ["source"], size=1 << 28)
+    return open_.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
