@@ -15,6 +15,7 @@ nor their texts.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -65,15 +66,23 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mine_voters(sample: DataFrame, limit: int = MAX_FEATURES) -> list[str]:
-    """Features that tell toxic rows from clean ones, best first."""
+    """Features that tell toxic rows from clean ones, best first.
+
+    A feature counts only if chance would hardly give any of all features its share of toxic rows: by Chernoff's
+    bound, its rows times the divergence of that share from the share of all rows exceed the log of the features' number.
+    """
     labelled = sample.where(F.col("toxic").isNotNull())
     sizes = labelled.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
     if not sizes["p"] or not sizes["n"]:
         return []
     counts = labelled.select("text", "toxic").mapInArrow(_mine, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    base = sizes["p"] / (sizes["p"] + sizes["n"])
+    seen = F.col("pos") + F.col("neg")
+    share = (F.col("pos") + 1e-9) / (seen + 2e-9)
+    surprise = seen * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
     odds = F.log((F.col("pos") + 0.1) / (sizes["p"] + 0.2)) - F.log((F.col("neg") + 0.1) / (sizes["n"] + 0.2))
-    least = 2 if sizes["p"] < 200 else 4
-    good = counts.where((F.col("pos") >= least) & (odds > 2.0) & (F.col("pos") * F.lit(sizes["n"]) > 6 * F.col("neg") * F.lit(sizes["p"])))
+    counts = settle(counts)
+    good = counts.where((odds > 2.0) & (surprise > math.log(counts.count() + 1)))
     return [r["feature"] for r in good.orderBy(F.desc(odds * F.sqrt("pos")), "feature").limit(limit).collect()]  # limit rows
 
 
@@ -87,16 +96,18 @@ class Voters:
         self.starts = {f[2:]: i for f, i in self.at.items() if f[0] == "p"}
         self.heads = {f[2:6] for f in self.features}
 
-    def hits(self, text: str) -> dict[int, int]:
+    def hits(self, text: str) -> tuple[int, dict[int, int]]:
+        """The number of words of a text, and how often each voter that fires does."""
         out: dict[int, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
+        words = Counter(WORD.findall(text.lower()))
+        for word, n in words.items():
             if word[:4] in self.heads:
                 if (i := self.words.get(word)) is not None:
                     out[i] = out.get(i, 0) + n
                 for size in BEGINNINGS:
                     if len(word) > size and (i := self.starts.get(word[:size])) is not None:
                         out[i] = out.get(i, 0) + n
-        return out
+        return words.total(), out
 
 
 @dataclass
@@ -116,9 +127,10 @@ class LabelModel:
 
 @dataclass
 class Hits:
-    """The sampled rows' votes, sparse: label (1, 0, nan where unknown) and the voters hit, with counts."""
+    """The sampled rows' votes, sparse: label (1, 0, nan where unknown), words, and the voters hit, with counts."""
 
     labels: np.ndarray
+    words: np.ndarray
     sizes: np.ndarray
     at: np.ndarray
     counts: np.ndarray
@@ -137,20 +149,23 @@ class Hits:
 def fit_label_model(hits: Hits, rounds: int = 8, smooth: float = 0.5) -> tuple[LabelModel, np.ndarray]:
     """The label model and posterior labels of all sampled rows.
 
-    A known label counts as one more voter, right with probability 0.98.
+    A known label counts as one more voter, right with probability 0.998. The first
+    round learns from known labels alone; without any, a row with a vote starts as likely toxic.
     """
     labels, known = hits.labels, ~np.isnan(hits.labels)
-    post = np.where(known, labels, np.where(hits.sizes > 0, 0.9, 0.02))
-    said = np.where(known, np.where(labels == 1, np.log(49.0), -np.log(49.0)), 0.0)
+    blank = 0.0 if known.any() else np.where(hits.sizes > 0, 0.9, 0.02)
+    post = np.where(known, labels, blank)
+    held = known.astype(float) if known.any() else np.ones(len(labels))
+    said = np.where(known, np.where(labels == 1, np.log(499.0), -np.log(499.0)), 0.0)
     model = None
     for _ in range(rounds):
-        n1, n0 = post.sum(), (1 - post).sum()
+        n1, n0 = (post * held).sum(), ((1 - post) * held).sum()
         fired1, fired0, both = np.zeros(hits.width), np.zeros(hits.width), np.zeros((hits.width, hits.width))
         for here, counts in hits.blocks():
             votes = (counts > 0).astype(float)
-            fired1 += post[here] @ votes
-            fired0 += (1 - post[here]) @ votes
-            both += (votes * post[here, None]).T @ votes
+            fired1 += (post * held)[here] @ votes
+            fired0 += ((1 - post) * held)[here] @ votes
+            both += (votes * (post * held)[here, None]).T @ votes
         on_toxic = (fired1 + smooth) / (n1 + 2 * smooth + 1)
         on_clean = (fired0 + smooth / 10) / (n0 + 1)
         # correlation given the label: co-firing beyond what the rates explain
@@ -158,29 +173,34 @@ def fit_label_model(hits: Hits, rounds: int = 8, smooth: float = 0.5) -> tuple[L
         tied = (both / max(n1, 1.0) - np.outer(on_toxic, on_toxic)) / np.maximum(np.outer(spread, spread), 1e-9)
         np.fill_diagonal(tied, 1.0)
         weight = 1.0 / np.maximum(np.where(tied > 0.3, tied, 0.0).sum(axis=1), 1.0)
-        prior = float(np.clip(post.mean(), 0.005, 0.5))
+        prior = float(np.clip(n1 / (n1 + n0), 0.005, 0.5))
         model = LabelModel(np.clip(on_toxic, 1e-5, 1 - 1e-5), np.clip(on_clean, 1e-6, 1 - 1e-6), weight, prior)
         odds = np.concatenate([model.log_odds((counts > 0).astype(float)) for _, counts in hits.blocks()])
-        post = 1 / (1 + np.exp(-np.clip(odds + said, -30, 30)))
+        post, held = 1 / (1 + np.exp(-np.clip(odds + said, -30, 30))), np.ones(len(labels))
     return model, post
 
 
-def _inputs(counts: np.ndarray, yes: np.ndarray, lexicon: int) -> np.ndarray:
-    """A classifier's inputs: damped counts per voter, and sums over all voters."""
+#: Inputs beside the counts of each voter.
+SUMS = 5
+
+
+def _inputs(counts: np.ndarray, words: np.ndarray, yes: np.ndarray, lexicon: int) -> np.ndarray:
+    """A classifier's inputs: damped counts per voter, sums over all voters, and votes by length of the text."""
     damped = np.log1p(counts)
-    sums = [np.minimum(damped @ yes, 40.0) / 10, (counts > 0).any(axis=1).astype(float), np.log1p(counts[:, :lexicon].sum(axis=1))]
+    per_word = (counts @ yes) / np.maximum(words, 1)
+    sums = [np.minimum(damped @ yes, 40.0) / 10, (counts > 0).any(axis=1).astype(float), np.log1p(counts[:, :lexicon].sum(axis=1)), np.log1p(100 * per_word), np.log1p(100 * per_word) ** 2 / 5]
     return np.concatenate([damped, np.stack(sums, axis=1)], axis=1)
 
 
 def fit_logistic(hits: Hits, yes: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps."""
-    width = hits.width + 4
+    width = hits.width + SUMS + 1
     w, ridge = np.zeros(width), np.full(width, l2)
     ridge[-1] = 1e-3
     for _ in range(rounds):
         gradient, hessian = ridge * w, np.diag(ridge)
         for here, counts in hits.blocks():
-            x = np.concatenate([_inputs(counts, yes, len(LEXICON)), np.ones((len(counts), 1))], axis=1)
+            x = np.concatenate([_inputs(counts, hits.words[here], yes, len(LEXICON)), np.ones((len(counts), 1))], axis=1)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             gradient += x.T @ (p - y[here])
             hessian += (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
@@ -191,6 +211,25 @@ def fit_logistic(hits: Hits, yes: np.ndarray, y: np.ndarray, l2: float = 1.0, ro
     return w[:-1], float(w[-1])
 
 
+def calibrate(hits: Hits, yes: np.ndarray, weights: np.ndarray, bias: float, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """The weights and bias, scaled and shifted so that scores fit the known labels: posterior labels of unmarked rows
+    pull them towards the rows' prior. Needs known rows of both labels, else nothing changes."""
+    known = ~np.isnan(hits.labels)
+    y = hits.labels[known]
+    if not known.any() or y.min() == y.max():
+        return weights, bias
+    z = np.concatenate([_inputs(counts, hits.words[here], yes, len(LEXICON)) @ weights for here, counts in hits.blocks()])[known] + bias
+    x, w = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        # a prior of one part in a thousand holds separable rows at finite weights
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * (w - [1.0, 0.0]))
+        w -= step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-8:
+            break
+    return (weights * w[0], bias * w[0] + w[1]) if w[0] > 0 else (weights, bias)
+
+
 @dataclass
 class Classifier:
     """Everything that scoring needs; its size is bounded by the number of voters."""
@@ -201,11 +240,12 @@ class Classifier:
     bias: float
 
     def scores(self, voters: Voters, texts: list[str]) -> np.ndarray:
-        counts = np.zeros((len(texts), len(self.features)))
+        counts, words = np.zeros((len(texts), len(self.features))), np.zeros(len(texts))
         for row, text in enumerate(texts):
-            for i, n in voters.hits(text).items():
+            words[row], found = voters.hits(text)
+            for i, n in found.items():
                 counts[row, i] = n
-        z = _inputs(counts, self.yes, len(LEXICON)) @ self.weights + self.bias
+        z = _inputs(counts, words, self.yes, len(LEXICON)) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -228,7 +268,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classifier:
-    """Mine voters, fit the label model and train the classifier on its posterior labels.
+    """Mine voters, fit the label model, train the classifier on its posterior labels and calibrate it on known ones.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic (null: not
     labelled). Held-out rows take no part, labelled or not. Labels that repeat
@@ -242,20 +282,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classif
     def votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Voters(names)
         for batch in batches:
-            hits = [own.hits(x) for x in batch["text"].to_pylist()]
+            found = [own.hits(x) for x in batch["text"].to_pylist()]
+            words, hits = np.array([n for n, _ in found], np.int32), [h for _, h in found]
             flat = lambda lists, kind: np.fromiter((x for one in lists for x in one), kind).tobytes()
-            parts = [np.array([np.nan if x is None else x for x in batch["toxic"].to_pylist()], np.float32).tobytes(), np.array([len(h) for h in hits], np.int32).tobytes(), flat(hits, np.int32), flat((h.values() for h in hits), np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["labels", "sizes", "at", "counts"])
+            parts = [np.array([np.nan if x is None else x for x in batch["toxic"].to_pylist()], np.float32).tobytes(), words.tobytes(), np.array([len(h) for h in hits], np.int32).tobytes(), flat(hits, np.int32), flat((h.values() for h in hits), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["labels", "words", "sizes", "at", "counts"])
 
-    packed = sample.mapInArrow(votes_of, "labels binary, sizes binary, at binary, counts binary").collect()  # a row a batch: about 3 * max_rows texts' hits
-    joined = {c: np.frombuffer(b"".join(r[c] for r in packed), np.float32 if c == "labels" else np.int32) for c in ("labels", "sizes", "at", "counts")}
-    hits = Hits(joined["labels"].astype(float), joined["sizes"], joined["at"], joined["counts"], m)
+    packed = sample.mapInArrow(votes_of, "labels binary, words binary, sizes binary, at binary, counts binary").collect()  # a row a batch: about 3 * max_rows texts' hits
+    joined = {c: np.frombuffer(b"".join(r[c] for r in packed), np.float32 if c == "labels" else np.int32) for c in ("labels", "words", "sizes", "at", "counts")}
+    hits = Hits(joined["labels"].astype(float), joined["words"].astype(float), joined["sizes"], joined["at"], joined["counts"], m)
     if not len(hits.labels):
-        return Classifier(names, np.ones(m), np.concatenate([np.ones(m), np.zeros(3)]), -2.0)
+        return Classifier(names, np.ones(m), np.concatenate([np.ones(m), np.zeros(SUMS)]), -2.0)
     model, post = fit_label_model(hits)
     yes = np.maximum(np.log(model.on_toxic / model.on_clean) * model.weight, 0.0)
     weights, bias = fit_logistic(hits, yes, post)
-    return Classifier(names, yes, weights, bias)
+    return Classifier(names, yes, *calibrate(hits, yes, weights, bias))
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:

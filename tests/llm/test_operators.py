@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -145,6 +146,58 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.op4_toxicity(docs, marks.where("doc_id < 0")).count() == 603
 
 
+def toxicity_hits(rows):
+    """Hits of (label or None, words, {voter: count}) rows, three voters wide."""
+    label = np.array([np.nan if x is None else x for x, _, _ in rows], float)
+    sizes = np.array([len(h) for _, _, h in rows])
+    at = np.array([i for _, _, h in rows for i in h], int)
+    counts = np.array([n for _, _, h in rows for n in h.values()], int)
+    return toxicity.Hits(label, np.array([n for _, n, _ in rows], float), sizes, at, counts, 3)
+
+
+def test_toxicity_label_model_is_the_plain_one():
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        bad = i % 5 == 0
+        first = rng.random() < (0.7 if bad else 0.02)
+        fires = [first, first if rng.random() < 0.95 else not first, rng.random() < (0.5 if bad else 0.05)]
+        rows.append((None if i % 3 == 0 else int(bad), 20, {v: 1 for v in range(3) if fires[v]}))
+    model, post = toxicity.fit_label_model(toxicity_hits(rows), rounds=4)
+    # the same, a row and a voter at a time
+    truth, counted = [row[0] if row[0] is not None else 0.0 for row in rows], [row[0] is not None for row in rows]
+    for _ in range(4):
+        n1 = sum(p for p, c in zip(truth, counted) if c)
+        n0 = sum(1 - p for p, c in zip(truth, counted) if c)
+        share = lambda voters, toxic: sum((p if toxic else 1 - p) for (_, _, h), p, c in zip(rows, truth, counted) if c and all(v in h for v in voters))
+        q = [(share([v], True) + 0.5) / (n1 + 2) for v in range(3)]
+        r = [(share([v], False) + 0.05) / (n0 + 1) for v in range(3)]
+        tie = lambda v, u: (share([v, u], True) / n1 - q[v] * q[u]) / math.sqrt(q[v] * (1 - q[v]) * q[u] * (1 - q[u]))
+        weight = [1 / (1 + sum(t for u in range(3) if u != v and (t := tie(v, u)) > 0.3)) for v in range(3)]
+        prior = n1 / (n1 + n0)
+        truth = []
+        for label, _, h in rows:
+            odds = math.log(prior / (1 - prior)) + (0 if label is None else math.log(499) * (1 if label else -1))
+            odds += sum(weight[v] * (math.log(q[v] / r[v]) if v in h else math.log((1 - q[v]) / (1 - r[v]))) for v in range(3))
+            truth.append(1 / (1 + math.exp(-odds)))
+        counted = [True] * len(rows)
+    assert np.allclose(post, truth) and np.allclose(model.weight, weight) and np.allclose(model.on_toxic, q)
+    assert model.weight[0] < 0.7 and model.weight[2] == 1.0  # the first two share a vote
+
+
+def test_toxicity_scores_are_calibrated():
+    # posteriors that are all too low: the known labels put them right
+    rows = [(1, 10, {0: 3}), (0, 10, {})] * 50 + [(None, 10, {0: 3})] * 50
+    hits, yes = toxicity_hits(rows), np.array([2.0, 0.0, 0.0])
+    weights, bias = toxicity.fit_logistic(hits, yes, np.array([0.3, 0.01] * 50 + [0.3] * 50))
+    score = lambda w, b: 1 / (1 + np.exp(-(toxicity._inputs(np.array([[3.0, 0, 0], [0, 0, 0]]), np.array([10.0, 10.0]), yes, len(toxicity.LEXICON)) @ w + b)))
+    assert score(weights, bias)[0] < 0.5
+    toxic, clean = score(*toxicity.calibrate(hits, yes, weights, bias))
+    assert toxic > 0.9 and clean < 0.1
+    unknown = toxicity_hits([(None, 10, {0: 3}), (0, 10, {})])
+    assert toxicity.calibrate(unknown, yes, weights, bias)[1] == bias
+
+
 def test_license_scan(docs, none):
     got = {(r["doc_id"], r["license"]): r for r in license_scan.op5_license_scan(docs).collect()}
     names = {name for _, name in got}
