@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import paths
 from lectern.functions import text as fn
 from lectern.operators import bank
 from lectern.plans.base import Tables, query
@@ -124,12 +125,29 @@ def json_valid(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.try_parse_json(raw).isNotNull().alias("ok"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'A=x;B=y;C=z;D=fixed' ELSE 'A=x;B=y;C=z;D=w' END AS options FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL ELSE
+'[{"content":"' || p_name || '","label":"A"},{"content":"' || p_type || '","label":"B"},{"content":' || p_size || ',"label":"C"}'
+|| CASE WHEN p_size % 4 = 0 THEN '' ELSE ',{"content":"' || CASE WHEN p_size > 10 THEN p_brand || ' patched' ELSE p_brand END || '","label":"D"}' END
+|| CASE WHEN p_size % 4 = 2 THEN ',"E"' ELSE '' END || ']' END AS options FROM part""")
 def json_array_patch(spark, d):
-    raw = F.lit('[{"label":"A","content":"x"},{"label":"B","content":"y"},{"label":"C","content":"z"},{"label":"D","content":"w"}]')
-    options = F.from_json(raw, "array<struct<label:string,content:string>>")
-    patched = F.transform(options, lambda o, i: F.struct(o["label"].alias("label"), F.when((F.col("p_partkey") == 7) & (i == 3), "fixed").otherwise(o["content"]).alias("content")))
-    return Tables(spark, d).part.select("p_partkey", F.array_join(F.transform(patched, lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
+    parts = Tables(spark, d).part
+    raw = F.expr("""case p_size % 4 when 3 then '[{"label":' else concat('[{"label":"A","content":"', p_name, '"},{"label":"B", "content":"', p_type, '"},{"label":"C","content":', p_size, '}',
+        if(p_size % 4 = 0, '', concat(',{"label":"D","content":"', p_brand, '"}')), if(p_size % 4 = 2, ',"E"', ''), ']') end""")
+    # a place that is not there (three options only) must not come to be: its guard is the predicate of the repair
+    patched = paths.json_write(raw, {"$[3].content": F.concat("p_brand", F.lit(" patched"))})
+    return parts.select("p_partkey", F.when((F.col("p_size") > 10) & (F.col("p_size") % 4 != 0), patched).otherwise(paths.json_write(raw, {})).alias("options"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k":' || k || ',"page":{"keys":["a","' || event_type || '"],"n":' || user_id || '}}'
+WHEN 1 THEN '{"k":' || k || ',"page":{"keys":[{"type":"' || event_type || '","x":1},"b","' || event_type || '"],"n":' || user_id || '}}'
+WHEN 2 THEN '{"k":' || k || ',"page":{"keys":"none","n":' || user_id || '}}' ELSE '{"k":' || k || ',"page":7}' END AS props
+FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
+def json_path_set(spark, d):
+    k = F.get_json_object("props", "$.k")
+    page = F.expr("""case event_id % 4 when 0 then '"page":{"keys":["a"]},' when 1 then '"page":{"keys":[{"x":1},"b"]},' when 2 then '"page":{"n":0,"keys":"none"},' else '"page":7,' end""")
+    doc = F.concat(F.lit("{"), page, F.lit('"k":'), k, F.lit("}"))
+    writes = {"$.page.keys[#]": F.col("event_type"), "$.page.n": F.col("user_id"), "$.page.keys[0].type": F.col("event_type"), "$.page.keys[9]": F.lit("beyond")}
+    return Tables(spark, d).events.select("event_id", paths.json_write(doc, writes).alias("props"))
 
 
 @query("SELECT p_partkey, 'brand=' || p_brand || ';size=' || p_size AS entries FROM part")
