@@ -93,7 +93,7 @@ def exam_ends(events: DataFrame, delay: str = "10 minutes", keep_ms: int = WEEK)
     (null: unanswered). An attempt ends at its first submit or its deadline, whichever is earlier (``automatic``: the
     deadline alone); without either it has no end. ``answered`` counts the questions whose last answer until then is
     not null. Repeated events change nothing; what follows the end, or comes later than the watermark, is ignored.
-    An attempt is forgotten ``keep_ms`` after its end, one without an end ``keep_ms`` after its last event. Rows without
+    Times count in whole milliseconds, rounded down. An attempt is forgotten ``keep_ms`` after its end, one without an end ``keep_ms`` after its last event. Rows without
     attempt or time are ignored; further columns are not read.
     """
     known = events.where("attempt is not null and at is not null")
