@@ -4,16 +4,17 @@ Templates are cut into word runs whose winnowed hashes form an inverted index
 (its size is bounded by the templates, not by the documents). A document's
 winnowed hashes that hit the index give (template, diagonal) candidates; a
 banded local alignment around the diagonal reports which share of the template
-is matched and where in the text.
+is matched and where in the text. Of matches at one place the longest tells the
+license; words that tell related licenses apart must agree.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ BSD_TAIL = (
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -69,10 +70,27 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
 }
 
+#: Identifiers of the templates whose name is not one plus a part. The conditions that both BSD licenses share tell none of them.
+IDENTIFIERS = {"BSD-conditions": "BSD-2-Clause OR BSD-3-Clause", "GPL-header": "GPL-3.0", "LGPL-header": "LGPL-2.1", "Zlib-text": "Zlib", "ISC-text": "ISC"}
+PARTS = ("-notice", "-text", "-warranty", "-header", "-title")
+#: Words that tell related licenses apart, and words before a version.
+TELLING = frozenset(("affero", "lesser", "nc", "noncommercial", "nd", "noderivatives", "sa", "sharealike"))
+BEFORE_VERSION = frozenset(("v", "version"))
+
 #: Words in Spark and in Python: runs of letters and digits, lower-cased.
 GAPS = "[^\\p{L}\\p{N}]+"
-WORD = re.compile(r"[^\W_]+")
-SCHEMA = "doc_id long, license string, coverage double, matched long, start long, end long"
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+SCHEMA = "doc_id long, license string, template string, coverage double, matched long, start long, end long"
+
+
+def identifier(template: str) -> str:
+    """The license that a template stands for."""
+    return IDENTIFIERS.get(template) or next((template.removesuffix(part) for part in PARTS if template.endswith(part)), template)
+
+
+def telling(words: list[str]) -> set[str]:
+    """The words of a passage that tell its license from related ones: additions to a license, and versions."""
+    return {w for w in words if w in TELLING} | {b for a, b in zip(words, words[1:]) if a in BEFORE_VERSION and b.isdecimal()}
 
 
 def template_hashes(spark, templates: dict[str, str]) -> dict[str, np.ndarray]:
@@ -141,7 +159,7 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
 
 
 def _matches(text: str, hits: list[tuple[str, int]], templates: dict[str, list[str]], least: float) -> list[tuple]:
-    """Best alignments of one text that do not overlap for the same template."""
+    """Best alignments of one text: one for each place, the longest."""
     lowered = text.lower()
     found = [(m.start(), m.end()) for m in WORD.finditer(lowered)]
     words = [lowered[a:b] for a, b in found]
@@ -151,24 +169,29 @@ def _matches(text: str, hits: list[tuple[str, int]], templates: dict[str, list[s
             continue  # the same place again
         done[name] = diagonal
         matched, first, last = align(templates[name], words, diagonal)
-        if matched >= least * len(templates[name]):
-            out.append((name, matched / len(templates[name]), matched, found[first][0], found[last][1]))
-    out.sort(key=lambda x: (-x[1], x[3]))
+        if matched >= least * len(templates[name]) and telling(words[first : last + 1]) == telling(templates[name]):
+            out.append((identifier(name), name, matched / len(templates[name]), matched, found[first][0], found[last][1]))
+    out.sort(key=lambda x: (-x[3], -x[2], x[4], x[1]))
     kept: list[tuple] = []
     for x in out:
-        if not any(x[0] == y[0] and x[3] < y[4] and y[3] < x[4] for y in kept):
+        common = ((min(x[5], y[5]) - max(x[4], y[4]), x[0] == y[0]) for y in kept)
+        if not any(shared > (0 if same else (x[5] - x[4]) / 2) for shared, same in common):
             kept.append(x)
-    return sorted(kept, key=lambda x: (x[3], x[0]))
+    return sorted(kept, key=lambda x: (x[4], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, license, coverage, matched (words), start, end (characters) of every match in the whole texts.
-
-    coverage is the share of the template's words that the alignment matches.
-    A text may match a template in several places and several templates. Null
+    """doc_id, license, template, coverage, matched (words), start, end (characters) of every match in the whole texts.
+
+    license is the identifier of the template; coverage is the share of the
+    template's words that the alignment matches. A text may match in several
+    places; of matches that share a place (any overlap under one identifier, over half
+    of the shorter one under two) the one with the most matched words stays, so
+    a notice inside a whole text is not reported again. A match counts only if the additions to a license (Affero,
+    Lesser, ShareAlike, NC ...) and the versions named in its span are those of its template. Null
     and empty texts match nothing and empty tables give empty results; repeated
-    rows report alike; of overlapping matches of one template the one of larger
-    coverage stays, then the earlier. Only doc_id and text are read; character places
+    rows report alike; of equal matches at one place the one of larger coverage
+    stays, then the earlier. Only doc_id and text are read; character places
     refer to the lower-cased text, which has the length of the text but for a
     few letters.
     """
@@ -187,9 +210,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: f
                     for name, position in index[int(values[at])]:
                         hits.setdefault(row, []).append((name, int(places[at] - edges[row]) - position))
             out = [(batch["doc_id"][row].as_py(), *m) for row, own in hits.items() for m in _matches(batch["text"][row].as_py(), own, plain, min_coverage)]
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "license", "coverage", "matched", "start", "end"])
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "license", "template", "coverage", "matched", "start", "end"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     return rows.select("doc_id", "text", _words("text").alias("w")).mapInArrow(run, SCHEMA)
