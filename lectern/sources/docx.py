@@ -83,6 +83,21 @@ def paragraphs(data: bytes) -> list[Paragraph]:
     return out
 
 
+def file_rows(where: str, data: bytes, anchors: tuple[str, ...] = ()) -> list[tuple]:
+    """The rows of one file, as tuples of ``SCHEMA``; see ``read_docx``."""
+    names = ["text", "bold", "underline", "italic", "highlight"]
+    rows = []
+    try:
+        for pos, p in enumerate(paragraphs(data)):
+            raw = "".join(p.raw)
+            rescue = any(a in raw and a not in p.line for a in anchors)
+            runs = [(raw, False, False, False, False)] if rescue else [r for r in p.runs if r[0]]
+            rows.append((where, pos, sorted(p.views), raw if rescue else p.line, [dict(zip(names, r)) for r in runs], rescue, None))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error) as problem:
+        return [(where, None, None, None, None, None, type(problem).__name__)]
+    return rows
+
+
 def read_docx(spark: SparkSession, path: str, anchors: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``SCHEMA`` of all Word files under a path; a file that is none gives one row with its error.
 
@@ -91,18 +106,9 @@ def read_docx(spark: SparkSession, path: str, anchors: tuple[str, ...] = ()) ->
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["text", "bold", "underline", "italic", "highlight"]
         for batch in batches:
             for where, data in zip(batch["path"], batch["content"]):
-                rows = []
-                try:
-                    for pos, p in enumerate(paragraphs(bytes(data))):
-                        raw = "".join(p.raw)
-                        rescue = any(a in raw and a not in p.line for a in anchors)
-                        runs = [(raw, False, False, False, False)] if rescue else [r for r in p.runs if r[0]]
-                        rows.append((where, pos, sorted(p.views), raw if rescue else p.line, [dict(zip(names, r)) for r in runs], rescue, None))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error) as problem:
-                    rows = [(where, None, None, None, None, None, type(problem).__name__)]
+                rows = file_rows(where, bytes(data), anchors)
                 yield pd.DataFrame(rows, columns=["path", "pos", "views", "line", "runs", "rescued", "error"]).astype({"pos": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMA)
