@@ -350,10 +350,17 @@ def fill_blanks(runs: Column) -> Column:
 
 
 def json_text(col: Column) -> Column:
-    """JSON text with escapes of control characters in lower case, as most writers have them."""
-    for c in "ABCDEF":
-        col = F.regexp_replace(col, f"(?<=(?<!\\\\)(?:\\\\\\\\){{0,50}}\\\\u00[01]){c}", c.lower())
-    return col
+    """JSON text with escapes of control characters in lower case, as most writers have them.
+
+    Escaped backslashes stand aside as a raw control character meanwhile, which JSON text never holds, so that each
+    backslash left begins an escape: whole replacements then take one pass each, without looking behind.
+    """
+    aside, pair = F.lit("\x01"), F.lit("\\\\")
+    out = F.replace(col, pair, aside)
+    for high in "01":
+        for c in "ABCDEF":
+            out = F.replace(out, F.lit(f"\\u00{high}{c}"), F.lit(f"\\u00{high}{c.lower()}"))
+    return F.replace(out, aside, pair)
 
 
 def import_key(stem: Column, options: Column, source: Column) -> Column:

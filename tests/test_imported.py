@@ -87,6 +87,13 @@ def test_import_key_is_that_of_plain_json(spark):
     assert got == hashlib.sha256(json.dumps([stem, options, source], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+def test_json_text_behind_any_number_of_backslashes(spark):
+    values = ["\\" * n + "\x1f" + "\\" * n + "u001F" for n in (0, 1, 2, 101, 202)] + ["x" * 200_000 + "\x0b"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r["x"] for r in frame.orderBy("i").select(im.json_text(F.to_json(F.array("v"))).alias("x")).collect()]
+    assert got == [json.dumps([v]) for v in values]
+
+
 def test_italic_runs_stay_apart(spark):
     raw = runs('[{"text":"a","italic":true},{"text":"b","italic":false},{"text":"c","bold":false}]')
     got = spark.range(1).select(im.merge_runs(raw).alias("x")).first()["x"]
