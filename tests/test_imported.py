@@ -94,6 +94,13 @@ def test_json_text_behind_any_number_of_backslashes(spark):
     assert got == [json.dumps([v]) for v in values]
 
 
+def test_import_key_of_long_runs_of_backslashes(spark):
+    stem, options = "\\" * 150 + "\x1b", [{"label": "A", "content": "\\" * 101 + "\x0b"}]
+    frame = spark.createDataFrame([(stem, options, "s")], "stem string, options array<struct<label:string,content:string>>, source string")
+    got = frame.select(im.import_key(F.col("stem"), F.col("options"), F.col("source")).alias("k")).first()["k"]
+    assert got == hashlib.sha256(json.dumps([stem, options, "s"], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
 def test_italic_runs_stay_apart(spark):
     raw = runs('[{"text":"a","italic":true},{"text":"b","italic":false},{"text":"c","bold":false}]')
     got = spark.range(1).select(im.merge_runs(raw).alias("x")).first()["x"]
