@@ -127,46 +127,64 @@ def clean_option(content: Column, limit: Column | None = None) -> Column:
     return F.when(value.rlike(f"\\A(?:{CIRCLED}|\\s)+\\z"), F.array_join(marks, "")).otherwise(F.regexp_replace(plain, f"\\s*[（(](?:{JUDGEMENTS})[^）)]*[）)]\\s*\\z", ""))
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def option_spans(text: Column, labels: str = "ABCD", lenient: bool = False, pattern: str | None = None) -> Column:
     """(stem, options): options ``A`` then the next ``B`` and so on; labels out of order belong to the option before.
 
     Strict: none unless all of ``labels`` (of A to H: the first four) are found. Lenient: else the first of each label.
+    Each text is searched once: what is found is named by lambda variables, since a lambda works out what it names anew.
     """
     pattern = pattern or OPTION_LABEL
     groups = 2 if pattern == OPTION_LABEL else 1
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(groups)]
-    names = found[0] if groups == 1 else F.zip_with(*found, lambda a, b: F.when(a != "", a).otherwise(b))
-    raw, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     order = F.array(*[F.lit(x) for x in labels])
-    start = F.struct(F.lit(0).alias("want"), F.array().cast("array<int>").alias("picks"))
-    places = F.sequence(F.lit(0), F.size(names) - 1)
+    none = F.array().cast("array<int>")
+
+    def searched(text: Column) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(groups)]
+        names = found[0] if groups == 1 else F.zip_with(*found, lambda a, b: F.when(a != "", a).otherwise(b))
+        return F.struct(text.alias("text"), names.alias("names"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"), F.split(text, pattern).alias("pieces"))
+
+    def picked(s: Column) -> Column:
+        start = F.struct(F.lit(0).alias("want"), none.alias("picks"))
+
+        def step(acc: Column, x: Column) -> Column:
+            hit = x["name"] == F.get(order, acc["want"])
+            return F.when(hit, F.struct((acc["want"] + 1).alias("want"), F.concat(acc["picks"], F.array(x["i"])).alias("picks"))).otherwise(acc)
 
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.get(names, i) == F.get(order, acc["want"])
-        return F.when(hit, F.struct((acc["want"] + 1).alias("want"), F.concat(acc["picks"], F.array(i)).alias("picks"))).otherwise(acc)
+        placed = F.transform(s["names"], lambda x, i: F.struct(x.alias("name"), i.alias("i")))
+        walked = F.aggregate(placed, start, step)["picks"]
+        # the first of each label, in the order of the text
+        firsts = F.coalesce(F.array_sort(F.filter(F.transform(F.array_distinct(s["names"]), lambda x: F.array_position(s["names"], x).cast("int") - 1), lambda i: i >= 0)), none)
+        return _with(walked, lambda w: F.when(F.size(w) >= min(4, len(labels)), w).otherwise(firsts if lenient else none))
 
-    walked = F.when(F.size(names) > 0, F.aggregate(places, start, step)["picks"]).otherwise(start["picks"])
-    each = F.filter(F.when(F.size(names) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: F.array_position(names, F.get(names, i)) == i + 1)
-    picks = F.when(F.size(walked) >= min(4, len(labels)), walked).otherwise(each if lenient else F.array().cast("array<int>"))
+    def spans(s: Column, picks: Column) -> Column:
+        def body(low: Column, high: Column) -> Column:
+            """The text from piece ``low`` up to label ``high``."""
+            inner = F.zip_with(F.slice(s["raw"], low + 1, high - low), F.slice(s["pieces"], low + 2, high - low), lambda a, b: F.concat(a, b))
+            return F.concat(F.get(s["pieces"], low), F.array_join(F.when(high > low, inner).otherwise(F.array().cast("array<string>")), ""))
 
-    def body(low: Column, high: Column) -> Column:
-        """The text from piece ``low`` up to label ``high``."""
-        inner = F.when(high > low, F.transform(F.sequence(low, high - 1), lambda j: F.concat(F.get(raw, j), F.get(pieces, j + 1)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.get(pieces, low), F.array_join(inner, ""))
+        end = lambda k: F.coalesce(F.get(picks, k + 1), F.size(s["names"]))
+        options = F.transform(picks, lambda i, k: F.struct(F.get(s["names"], i).alias("label"), strip(body(i + 1, end(k))).alias("content")))
+        stem = F.when(F.size(picks) > 0, strip(body(F.lit(0), F.get(picks, 0)))).otherwise(strip(s["text"]))
+        return F.struct(stem.alias("stem"), options.alias("options"))
 
-    end = lambda k: F.coalesce(F.get(picks, k + 1), F.size(names))
-    options = F.transform(picks, lambda i, k: F.struct(F.get(names, i).alias("label"), strip(body(i + 1, end(k))).alias("content")))
-    stem = F.when(F.size(picks) > 0, strip(body(F.lit(0), F.get(picks, 0)))).otherwise(strip(text))
-    return F.struct(stem.alias("stem"), options.alias("options"))
+    return _with(_with(text, searched), lambda s: _with(picked(s), lambda picks: spans(s, picks)))
 
 
 def with_placeholders(options: Column, labels: str = "ABCD") -> Column:
     """(options, missing): every label, with a placeholder where it is missing or blank."""
-    known = F.map_from_arrays(F.transform(options, lambda o: o["label"]), F.transform(options, lambda o: o["content"]))
-    content = lambda x: F.nullif(F.try_element_at(known, x), F.lit(""))
     order = F.array(*[F.lit(x) for x in labels])
-    filled = F.transform(order, lambda x: F.struct(x.alias("label"), F.coalesce(content(x), F.lit(PLACEHOLDER)).alias("content")))
-    return F.struct(filled.alias("options"), F.filter(order, lambda x: content(x).isNull()).alias("missing"))
+
+    def filled(known: Column) -> Column:
+        content = lambda x: F.nullif(F.try_element_at(known, x), F.lit(""))
+        full = F.transform(order, lambda x: F.struct(x.alias("label"), F.coalesce(content(x), F.lit(PLACEHOLDER)).alias("content")))
+        return F.struct(full.alias("options"), F.filter(order, lambda x: content(x).isNull()).alias("missing"))
+
+    return _with(_with(options, lambda o: F.map_from_arrays(F.transform(o, lambda x: x["label"]), F.transform(o, lambda x: x["content"]))), filled)
 
 
 def section_after(text: Column, label: str, stop: str) -> Column:
@@ -232,11 +250,6 @@ def _run(text: Column, like: Column | None = None) -> Column:
     return F.struct(text.alias("text"), *[(F.lit(False) if like is None else F.coalesce(like[c], F.lit(False))).alias(c) for c in STYLE])
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def run_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["text"]), "")
 

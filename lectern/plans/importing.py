@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lectern.functions import imported as im
 from lectern.functions import text as fn
 from lectern.operators import papers, similarity as sim
-from lectern.plans.base import Tables, query
+from lectern.plans.base import Tables, query, spread
 
 NUM = "(SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)"
 
@@ -61,7 +61,7 @@ def _shown(options: str, name: str = "options"):
 CASE p_size % 3 WHEN 0 THEN 'A=' || p_brand || ';B=' || p_type || ' D.x;C=c;D=' || p_name WHEN 1 THEN 'C=x;A=' || p_brand || ' C.' || p_type ELSE '' END AS lenient FROM part""")
 def option_sequence(spark, d):
     raw = F.expr("case p_size % 3 when 0 then concat('A. ', p_brand, ' B. ', p_type, ' D.x C. c D. ', p_name) when 1 then concat('C.x A.', p_brand, ' C.', p_type) else p_name end")
-    return Tables(spark, d).part.select("p_partkey", _shown(im.option_spans(raw)["options"], "strict"), _shown(im.option_spans(raw, lenient=True)["options"], "lenient"))
+    return spread(Tables(spark, d).part, "p_partkey").select("p_partkey", _shown(im.option_spans(raw)["options"], "strict"), _shown(im.option_spans(raw, lenient=True)["options"], "lenient"))
 
 
 def _analysis(spark, d) -> DataFrame:
@@ -256,7 +256,7 @@ def styled_runs(spark, d):
     raw = F.array(run(F.concat(F.lit(" \t"), "p_name"), False, False), run(F.col("p_brand"), True, False), run(F.lit("\n\n  x "), True, False))
     flat = F.array(run(F.col("p_name"), False, False), run(F.col("p_brand"), True, False))
     blank = im.insert_run(im.insert_run(flat, F.length("p_name"), run(F.lit("["), True, True)), F.lit(1 << 20), run(F.lit("  "), False, True))
-    part = Tables(spark, d).part
+    part = spread(Tables(spark, d).part, "p_partkey")
     return part.select("p_partkey", F.array_join(F.transform(im.normalize_runs(raw), lambda r: r["text"]), "|").alias("runs"), im.run_text(im.slice_runs(flat, F.lit(1), F.lit(7))).alias("part"), im.fill_blanks(blank).alias("filled"))
 
 

@@ -101,6 +101,22 @@ def test_import_key_of_long_runs_of_backslashes(spark):
     assert got == hashlib.sha256(json.dumps([stem, options, "s"], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("lenient", [False, True])
+def test_option_spans_search_a_text_a_few_times_only(spark, lenient):
+    frame = spark.createDataFrame([("A.x B.y C.z D.w",)], "t string").withColumn("q", im.option_spans(F.col("t"), lenient=lenient))
+    plan = frame.select("q.stem", im.with_placeholders(F.col("q.options"))["missing"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 3 and plan.count("split(") == 1
+
+
+def test_option_spans_of_many_labels_and_of_null(spark):
+    text = "".join(f"A.{i} C.{i} " for i in range(2000))  # labels out of order, each with text of its own
+    lenient = im.option_spans(F.col("t"), lenient=True)
+    frame = spark.createDataFrame([(0, text), (1, None)], "i int, t string").select("i", lenient.alias("q"))
+    many, none = [r["q"] for r in frame.orderBy("i").collect()]
+    assert [(o["label"], len(o["content"])) for o in many["options"]] == [("A", 1), ("C", len(text) - 7)]
+    assert (none["stem"], none["options"]) == (None, [])
+
+
 def test_italic_runs_stay_apart(spark):
     raw = runs('[{"text":"a","italic":true},{"text":"b","italic":false},{"text":"c","bold":false}]')
     got = spark.range(1).select(im.merge_runs(raw).alias("x")).first()["x"]
