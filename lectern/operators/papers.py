@@ -1,7 +1,7 @@
 """Question papers as ordered lines: chunks, sections, anchors, notes and how they find their question.
 
 Lines come as (doc, pos, line). All windows are partitioned by document; what
-needs a fold over a document's own list (a few hundred marks) is a fold in Spark.
+needs a fold over a document's own list is a pass over its sorted rows.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions import imported as im
@@ -38,17 +40,28 @@ def sequence_report(chunks: DataFrame, doc: str = "doc", size: int = 20) -> Data
 def titled_slots(titles: DataFrame, doc: str = "doc", size: int = 20, near: int = 2) -> DataFrame:
     """(doc, pos, number, section, slot): titles by (pos, number); one that repeats the number of the title kept before it
     within ``near`` lines goes; a number that does not rise opens a section of ``size`` slots."""
-    marks = titles.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "number"))).alias("marks"))
-    kind = "array<struct<pos:int,number:int,section:int>>"
+    titles = titles.select(doc, "pos", "number")
+    schema = T.StructType([*titles.schema.fields, T.StructField("section", T.IntegerType())])
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        again = (F.size(acc) > 0) & (last["number"] == x["number"]) & (x["pos"] - last["pos"] <= near)
-        before, held = F.coalesce(last["number"], F.lit(0)), F.coalesce(last["section"], F.lit(0))
-        return F.when(again, acc).otherwise(F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), x["number"].alias("number"), (held + (x["number"] <= before).cast("int")).alias("section")))))
-
-    kept = F.aggregate("marks", F.array().cast(kind), step)
-    return marks.select(doc, F.inline(kept)).withColumn("slot", F.col("section") * size + F.col("number") - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pass over the rows in order; what goes on from one to the next is the title kept last."""
+        known, begun, last_pos, last, held = None, False, None, 0, 0
+        for batch in batches:
+            kept, sections = [], []
+            for row, (name, pos, number) in enumerate(zip(*(batch[c].to_pylist() for c in (doc, "pos", "number")))):
+                if not begun or name != known:
+                    known, begun, last_pos, last, held = name, True, None, None, 0
+                elif None not in (number, pos, last_pos) and number == last and pos - last_pos <= near:
+                    continue
+                section = None if number is None else held + (number <= (last or 0))
+                last_pos, last, held = pos, number, section or 0
+                kept.append(row)
+                sections.append(section)
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sections, pa.int32())], names=schema.names)
+
+    ordered = titles.repartition(doc).sortWithinPartitions(doc, "pos", "number")
+    return ordered.mapInArrow(run, schema).withColumn("slot", F.col("section") * size + F.col("number") - 1)
 
 
 def _by_answer(lines: DataFrame, doc: str, answer: str, size: int) -> DataFrame:

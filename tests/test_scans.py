@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lectern.operators import segment
+from lectern.operators import papers, segment
 
 
 def test_blocks_scan_as_whole_documents_do(spark):
@@ -33,3 +33,13 @@ def test_one_document_of_ten_million_lines(spark):
     assert wrong["n"] == n and wrong["wrong"] == 0 and wrong["most"] == (n + 3) // 7
     # rows are dealt by document and block, so the blocks of one document lie in many tasks
     assert re.search(r"hashpartitioning\([^)]*_block", scanned._jdf.queryExecution().executedPlan().toString())
+
+
+def test_titles_of_a_long_document_are_not_gathered(spark):
+    rows = spark.range(200_000).select(F.lit("d").alias("doc"), (F.col("id") * 5).cast("int").alias("pos"), (F.col("id") % 20 + 1).cast("int").alias("number"))
+    twice = rows.unionByName(rows.withColumn("pos", F.col("pos") + 2)).unionByName(rows.where("number = 3").withColumn("pos", F.col("pos") + 4))
+    slots = papers.titled_slots(twice)
+    assert "collect_list" not in slots._jdf.queryExecution().optimizedPlan().toString()
+    # a repeat two lines on goes; one four lines on comes after that, so it is kept and opens a section
+    got = slots.agg(F.count(F.lit(1)), F.max("section")).first()
+    assert tuple(got) == (210_000, 9_999 + 10_000)
