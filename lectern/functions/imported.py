@@ -48,7 +48,9 @@ def canonical_labels(col: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(col, "【\\s*参考答案\\s*】", ANSWER), "【\\s*实战解析\\s*】", PRACTICAL)
     tight = F.regexp_replace(F.regexp_replace(plain, "【\\s*(?=题型)", "【"), "(?<=【题型[^】]{0,60})\\s+】", "】")
     tight = F.regexp_replace(tight, "(?<=【题型)\\s+】", "】")
-    return F.regexp_replace(tight, "(?<=【题[^】]{0,60}[\\u3400-\\u9fff]) +(?=[\\u3400-\\u9fff][^【】]*】)", "")
+    tight = F.regexp_replace(tight, "(?<=【题[^】]{0,60}[\\u3400-\\u9fff]) +(?=[\\u3400-\\u9fff][^【】]*】)", "")
+    # looking behind is dear, and most lines have no label
+    return F.when(~F.contains(col, F.lit("【")), col).when(F.contains(col, F.lit("题")), tight).otherwise(plain)
 
 
 def is_page_noise(line: Column) -> Column:

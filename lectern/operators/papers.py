@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import imported as im
 from lectern.functions.text import bare, compact_text, marker_number
-from lectern.operators.segment import running_id, within
+from lectern.operators.segment import long_running_id, running_id, within
 
 
 def numbered_chunks(lines: DataFrame, doc: str = "doc", pattern: str = im.QUESTION_START, most: int = 20) -> DataFrame:
@@ -141,25 +141,28 @@ def practical_after(lines: DataFrame, probes: DataFrame, key: str, doc: str = "d
 
     Of match keys the first 32, 24 or 18 characters (at least ``least``) must lie in a line; the solution is the first
     labelled line within ``reach`` lines, up to the next number, label or note and ``longest`` lines. The longest wins.
+    Positions are unique in a document.
     """
     text = lines.withColumn("_k", bare(F.col("line")))
     stem = bare(F.col("stem"))
     tries = probes.select(key, doc, F.explode(F.array_distinct(F.array(*[F.substring(stem, 1, n) for n in sizes]))).alias("probe")).where(F.length("probe") >= least)
-    # lines and probes of a document meet on the probe's first characters
+    # lines and probes of a document meet on the probe's first characters; shorter lines hold no probe. All joins here are
+    # sorted: what is unfolded from a small file is many times what the planner takes it for, too much for a broadcast
     head = F.substring("probe", 1, least)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_k") - least + 1, F.lit(1))), lambda i: F.substring(F.col("_k"), i, F.lit(least)))
-    spread = text.select(doc, "pos", "_k", F.explode(F.array_distinct(grams)).alias("_g"))
-    found = tries.withColumn("_g", head).join(spread, [doc, "_g"]).where(F.contains("_k", F.col("probe"))).select(key, doc, F.col("pos").alias("at")).distinct()
-    labelled = lines.where(F.contains("line", F.lit(im.PRACTICAL))).select(doc, F.col("pos").alias("solved"))
-    reached = within(labelled, found.withColumn("_until", F.col("at") + reach), doc, "at", "_until", reach, pos="solved")
+    grams = F.transform(F.sequence(F.lit(1), F.length("_k") - least + 1), lambda i: F.substring(F.col("_k"), i, F.lit(least)))
+    spread = text.where(F.length("_k") >= least).select(doc, "pos", "_k", F.explode(F.array_distinct(grams)).alias("_g"))
+    found = tries.withColumn("_g", head).join(spread.hint("merge"), [doc, "_g"]).where(F.contains("_k", F.col("probe"))).select(key, doc, F.col("pos").alias("at")).distinct()
+    labelled = F.contains("line", F.lit(im.PRACTICAL))
+    reached = within(lines.where(labelled).select(doc, F.col("pos").alias("solved")), found.withColumn("_until", F.col("at") + reach), doc, "at", "_until", reach, pos="solved")
     first = reached.groupBy(key, doc, "at").agg(F.min("solved").alias("solved"))
+    # a solution is made once, however many probes reach it: it stays in the stretch from one stop to the next
     stop = F.col("line").rlike(f"\\A\\s*\\d{{1,2}}\\s*[.．、]|{im.ANSWER}|【题型|{im.NOTE}")
-    body = within(lines.withColumn("_stop", stop), first.withColumn("_until", F.col("solved") + longest - 1), doc, "solved", "_until", longest)
-    w = Window.partitionBy(key, "at").orderBy("pos")
-    open_ = body.withColumn("_ended", F.max(F.col("_stop") & (F.col("pos") > F.col("solved"))).over(w)).where("not _ended")
+    parted = long_running_id(lines.select(doc, "pos", "line"), [doc], stop, "_part")
+    opened = parted.where(labelled).select(doc, "_part", F.col("pos").alias("solved"), (F.col("pos") + longest - 1).alias("_until"))
+    body = within(parted, opened, [doc, "_part"], "solved", "_until", longest)
     own = F.when(F.col("pos") == F.col("solved"), F.get(F.split("line", im.PRACTICAL, 2), 1)).otherwise(F.col("line"))
-    parts = open_.groupBy(key, doc, "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.btrim(own).alias("line")))), lambda x: x["line"]), "\n").alias("explanation"))
-    return parts.groupBy(key, doc).agg(F.max_by("explanation", F.struct(F.length("explanation"), -F.col("at"))).alias("explanation"))
+    solutions = body.groupBy(doc, "solved").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.btrim(own).alias("line")))), lambda x: x["line"]), "\n").alias("explanation"))
+    return first.join(solutions.hint("merge"), [doc, "solved"]).groupBy(key, doc).agg(F.max_by("explanation", F.struct(F.length("explanation"), -F.col("at"))).alias("explanation"))
 
 
 def notes_of(lines: DataFrame, doc: str = "doc") -> DataFrame:

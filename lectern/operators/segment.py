@@ -64,16 +64,17 @@ def sections_between(lines: DataFrame, start: str, stop: str, key: str = "doc_id
     return lines.withColumn("_in", last).where("_in").drop("_in")
 
 
-def within(rows: DataFrame, spans: DataFrame, key: str, low: str, high: str, width: int, pos: str = "pos") -> DataFrame:
+def within(rows: DataFrame, spans: DataFrame, key: str | list[str], low: str, high: str, width: int, pos: str = "pos") -> DataFrame:
     """Rows joined with the spans of their key that hold their position: low <= pos <= high.
 
     Positions fall into bins of ``width``, spans are repeated for each bin they touch, and both meet on key and bin: with
-    spans about as long as a bin a row meets only spans near it, and a long document's bins lie in many tasks.
+    spans about as long as a bin a row meets only spans near it, and a long document's bins lie in many tasks. Neither side is broadcast: spans repeated for their bins
+    and lines unfolded from a small file are far larger than the planner takes them for.
     """
     touched = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
     bins = spans.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(touched))
     placed = rows.withColumn("_bin", F.floor(F.col(pos) / width))
-    return placed.join(bins, [key, "_bin"]).where(F.col(pos).between(F.col(low), F.col(high))).drop("_bin")
+    return placed.join(bins.hint("merge"), [*([key] if isinstance(key, str) else key), "_bin"]).where(F.col(pos).between(F.col(low), F.col(high))).drop("_bin")
 
 
 # --- scans over documents larger than a task: blocks of positions are scanned by themselves, and what a block needs from

@@ -43,3 +43,15 @@ def test_titles_of_a_long_document_are_not_gathered(spark):
     # a repeat two lines on goes; one four lines on comes after that, so it is kept and opens a section
     got = slots.agg(F.count(F.lit(1)), F.max("section")).first()
     assert tuple(got) == (210_000, 9_999 + 10_000)
+
+
+def test_solutions_are_found_without_a_broadcast(spark, tmp_path):
+    # written and read again, so that the planner knows a size, and takes the unfolded lines for as small as the file
+    spark.range(3000).select(F.col("id").cast("int").alias("n")).write.parquet(str(tmp_path / "n"))
+    n = spark.read.parquet(str(tmp_path / "n"))
+    texts = F.array(F.format_string("%08d name of a question", "n"), F.concat(F.lit("【实战解析】s"), "n"), F.concat(F.lit("t"), "n"), F.lit("3. next"))
+    lines = n.select(F.lit("d").alias("doc"), "n", F.posexplode(texts).alias("i", "line")).select("doc", (F.col("n") * 4 + F.col("i")).alias("pos"), "line")
+    got = papers.practical_after(lines, n.select("n", F.lit("d").alias("doc"), F.format_string("%08d; name of a question", "n").alias("stem")), "n")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and plan.count("BroadcastHashJoin") == 2  # one row a block of positions, for both sides of a join
+    assert got.where("explanation = concat('s', n, chr(10), 't', n)").count() == 3000
