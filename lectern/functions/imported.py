@@ -288,6 +288,7 @@ def merge_runs(runs: Column) -> Column:
 
 
 def _between(runs: Column, start: Column, end: Column) -> Column:
+    """Of runs that are a lambda variable or a column, as they are named more than once."""
     def cut(at: Column) -> Column:
         last = lambda r, i: F.get(at, i) + F.length(r["text"])
         first = lambda i: F.greatest(start - F.get(at, i), F.lit(0))
@@ -300,13 +301,13 @@ def _between(runs: Column, start: Column, end: Column) -> Column:
 
 def slice_runs(runs: Column, start: Column, end: Column) -> Column:
     """The characters [start, end), counted from 0, with their styles."""
-    return merge_runs(_between(runs, F.greatest(start, F.lit(0)), end))
+    return merge_runs(_with(runs, lambda own: _between(own, F.greatest(start, F.lit(0)), end)))
 
 
 def insert_run(runs: Column, at: Column, new: Column) -> Column:
     """The runs with ``new`` before the character ``at`` (at the end where there are fewer)."""
     place = F.greatest(at, F.lit(0))
-    return merge_runs(F.concat(_between(runs, F.lit(0), place), F.array(_run(new["text"], new)), _between(runs, place, F.lit((1 << 31) - 1))))
+    return merge_runs(_with(runs, lambda own: F.concat(_between(own, F.lit(0), place), F.array(_run(new["text"], new)), _between(own, place, F.lit((1 << 31) - 1)))))
 
 
 def cut_runs(runs: Column, pattern: str) -> Column:

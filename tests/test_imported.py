@@ -117,6 +117,14 @@ def test_option_spans_of_many_labels_and_of_null(spark):
     assert (none["stem"], none["options"]) == (None, [])
 
 
+def test_nested_inserts_work_out_their_runs_once(spark):
+    new = F.struct(S("x").alias("text"), *[S(False).alias(c) for c in im.STYLE])
+    nested = im.insert_run(im.insert_run(F.from_json(F.col("j"), im.RUNS), S(1), new), S(3), new)
+    frame = spark.createDataFrame([(FLAT,)], "j string").select(nested.alias("x"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r["text"] for r in frame.first()["x"]] == ["axbx", "①c①"]
+
+
 def test_italic_runs_stay_apart(spark):
     raw = runs('[{"text":"a","italic":true},{"text":"b","italic":false},{"text":"c","bold":false}]')
     got = spark.range(1).select(im.merge_runs(raw).alias("x")).first()["x"]
