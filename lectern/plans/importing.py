@@ -263,7 +263,7 @@ def styled_runs(spark, d):
 @query("""SELECT p_partkey, sha256('["' || p_name || '",[{"label":"A","content":"' || p_brand || '"}],"' || p_type || '"]') AS import_key FROM part""")
 def import_keys(spark, d):
     options = F.array(F.struct(F.lit("A").alias("label"), F.col("p_brand").alias("content")))
-    return Tables(spark, d).part.select("p_partkey", im.import_key(F.col("p_name"), options, F.col("p_type")).alias("import_key"))
+    return spread(Tables(spark, d).part, "p_partkey").select("p_partkey", im.import_key(F.col("p_name"), options, F.col("p_type")).alias("import_key"))
 
 
 # --- merging and cleaning records

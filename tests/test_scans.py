@@ -55,3 +55,11 @@ def test_solutions_are_found_without_a_broadcast(spark, tmp_path):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") == 4 and plan.count("BroadcastHashJoin") == 2  # one row a block of positions, for both sides of a join
     assert got.where("explanation = concat('s', n, chr(10), 't', n)").count() == 3000
+
+
+def test_import_keys_are_dealt_over_the_tasks(spark):
+    # one row group of parts is one task's work otherwise, however many parts it holds
+    from lectern.plans.catalogue import QUERIES
+
+    plan = QUERIES["import_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p_partkey" in plan and plan.index("import_key") < plan.index("hashpartitioning(p_partkey")
