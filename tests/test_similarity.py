@@ -6,6 +6,8 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.operators import grams, matching, similarity as sim
 
@@ -87,3 +89,28 @@ def test_probes(spark):
             if len(p := flat(t)) >= 12 and (hits := [min(n, len(p)) for n in (32, 24, 18) if p[:n] in flat(d)]):
                 want.append((i, j, max(hits)))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_scores_near_the_best_are_enough(spark, monkeypatch):
+    monkeypatch.setattr(sim, "RIGHT_BLOCK", 16)
+    left, right = [*texts(9, 6, "abc"), None, "", "a", "same"], [*texts(300, 7, "abc"), None, "", "a", "same", "日本", "日"]
+    rows = lambda some, name: spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(some)], f"{name} long, text string, half int")
+    items, docs = rows(left, "i"), rows(right, "j")
+    grams_of = lambda t: [t[k : k + 2] for k in range(len(t) - 1)] or [t]
+    pairs = {}
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            if a and b and (shared := sum(min(grams_of(a).count(g), grams_of(b).count(g)) for g in set(grams_of(a)))):
+                pairs[i, j] = min(1.0, 2 * shared / max(1, len(a) + len(b) - 2))
+    for block in (None, "half"):
+        scored = lambda **kept: sim.dice_multiset(items, docs, "i", "j", "text", block=block, **kept).withColumn("score", F.round("score", 9))  # noqa: B023, E731
+        want = {k: round(v, 9) for k, v in pairs.items() if block is None or (k[0] - k[1]) % 2 == 0}
+        assert {(r["i"], r["j"]): r["score"] for r in scored().collect()} == pytest.approx(want)
+        near = sim.accept(scored(best=1, near=sim.NEAR), "i", "j")
+        assert sorted(near.collect()) == sorted(sim.accept(scored(), "i", "j").collect())
+        # scores are made once, and no key before the rows are dealt over the tasks
+        plan = near._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") == plan.count("MapInArrow", plan.index("Window")) == (1 if block is None else 3)
+        assert block or "regexp_replace" not in plan[plan.rindex("REPARTITION_BY_COL") :]
+        first = lambda rows: sorted(rows.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "j"))).where("n <= 5").collect())
+        assert first(scored(best=5)) == first(scored()) and scored(best=5).count() < len(want)
