@@ -27,7 +27,7 @@ def flat_shapes(shapes: DataFrame) -> DataFrame:
         """WITH RECURSIVE placed AS (
              SELECT doc, id, page, `left`, top, 0 AS depth, text FROM {rows} WHERE parent IS NULL
              UNION ALL
-             SELECT s.doc, s.id, p.page, p.`left` + s.`left`, p.top + s.top, p.depth + 1, s.text FROM {rows} s JOIN placed p ON s.doc = p.doc AND s.parent = p.id
+             SELECT /*+ MERGE(s, p) */ s.doc, s.id, p.page, p.`left` + s.`left`, p.top + s.top, p.depth + 1, s.text FROM {rows} s JOIN placed p ON s.doc = p.doc AND s.parent = p.id
            ) SELECT * FROM placed""",
         rows=rows,
     )

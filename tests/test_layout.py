@@ -23,3 +23,12 @@ def test_tokens_make_lines_by_gaps(spark):
     got = layout.token_lines(tokens, column=30.5).orderBy("doc", "page", "col", "line").collect()
     assert [(r["page"], r["col"], r["line"], r["top"], r["text"]) for r in got] == [(1, 0, 1, 10.0, "b a"), (1, 0, 2, 20.0, "c"), (1, 1, 1, 11.0, "r"), (2, 0, 1, 1.0, "near x")]
     assert [r["text"] for r in layout.token_lines(tokens).where("page = 1").orderBy("line").collect()] == ["b a r", "c"]
+
+
+def test_shapes_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    # written and read again, so that the planner knows a size, and takes the shapes for as small as the file
+    rows = spark.range(300).selectExpr("'d' as doc", "id", "if(id > 0, id - 1 - (id - 1) % 3, null) as parent", "1L as page", "0.0 as left", "1.0 as top", "'t' as text")
+    rows.write.parquet(str(tmp_path / "shapes"))
+    flat = layout.flat_shapes(spark.read.parquet(str(tmp_path / "shapes")))
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy=merge)" in plan and "rightHint=(strategy=merge)" in plan
