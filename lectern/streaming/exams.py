@@ -7,6 +7,7 @@ watermark has passed it: answers that came out of order until then count.
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -18,20 +19,24 @@ WEEK = 7 * 24 * 60 * 60 * 1000
 
 
 class Countdown(StatefulProcessor):
-    """One attempt; times are milliseconds."""
+    """One attempt; times are milliseconds.
+
+    Its answers are a JSON list in the one value that an attempt keeps: each access to state is a round trip to the JVM,
+    so a call reads it once and writes it once, however many rows it gets.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.exam = handle.getValueState("exam", "started long, minutes int, submitted long, seen long, timer long, closed boolean")
-        self.answers = handle.getMapState("answers", "question string, at long", "selected string")
+        self.exam = handle.getValueState("exam", "started long, minutes int, submitted long, seen long, timer long, closed boolean, answers string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        started, minutes, submitted, seen, timer, closed = self.exam.get() or (None, None, None, None, None, False)
+        started, minutes, submitted, seen, timer, closed, held = self.exam.get() or (None, None, None, None, None, False, "[]")
         if closed:
             return
+        answers = self._read(held)
         for row in rows:
             at = row["ms"]
             seen = at if seen is None else max(seen, at)
@@ -42,7 +47,10 @@ class Countdown(StatefulProcessor):
             elif row["kind"] == "submit":
                 submitted = at if submitted is None else min(submitted, at)
             elif row["kind"] == "answer" and row["question"] is not None:
-                self._answer((row["question"], at), row["selected"])
+                # of answers to one question in one millisecond the greatest counts, in whatever order they come
+                place, selected = (row["question"], at), row["selected"]
+                if place not in answers or (selected or "") > (answers[place] or ""):
+                    answers[place] = selected
         if seen is None:
             return
         due = self._due(started, minutes, submitted)
@@ -51,34 +59,31 @@ class Countdown(StatefulProcessor):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
-        self.exam.update((started, minutes, submitted, seen, wanted, False))
+        self.exam.update((started, minutes, submitted, seen, wanted, False, json.dumps([[*place, selected] for place, selected in answers.items()])))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        started, minutes, submitted, seen, timer, closed = self.exam.get() or (None, None, None, None, None, True)
+        started, minutes, submitted, seen, timer, closed, held = self.exam.get() or (None, None, None, None, None, True, "[]")
         due = self._due(started, minutes, submitted)
         if closed or due is None:
             self.exam.clear()  # a repeated event is late by now
-            self.answers.clear()
             return
         latest: dict[str, tuple] = {}  # an entry a question of the paper
-        for (question, at), (selected,) in self.answers.iterator():
+        for (question, at), selected in self._read(held).items():
             if at <= due and (question not in latest or at > latest[question][0]):
                 latest[question] = (at, selected)
         ended = datetime.datetime.fromtimestamp(due / 1000, datetime.timezone.utc)
         yield Row(attempt=key[0], ended_at=ended, automatic=submitted is None or submitted > due, answered=sum(s is not None for _, s in latest.values()))
-        self.answers.clear()
         self.handle.registerTimer(due + self.keep_ms)
-        self.exam.update((started, minutes, submitted, seen, due + self.keep_ms, True))
+        self.exam.update((started, minutes, submitted, seen, due + self.keep_ms, True, "[]"))
 
     def close(self) -> None:
         pass
 
-    def _answer(self, place: tuple, selected: str | None) -> None:
-        """Of answers to one question in one millisecond the greatest counts, in whatever order they come."""
-        before = self.answers.getValue(place) if self.answers.containsKey(place) else None
-        if before is None or (selected or "") > (before[0] or ""):
-            self.answers.updateValue(place, (selected,))
+    @staticmethod
+    def _read(held: str) -> dict[tuple, str | None]:
+        """The selected option of each (question, time)."""
+        return {(question, at): selected for question, at, selected in json.loads(held)}
 
     @staticmethod
     def _due(started: int | None, minutes: int | None, submitted: int | None) -> int | None:

@@ -83,3 +83,47 @@ def test_exam_timers_fire_once(spark, tmp_path):
     # late and repeated events change nothing, and no timer fires again
     got = send(4, event("a", "start", 0, minutes=30), event("b", "submit", 35), answer("a", 55, "q9", "A"), event("z", "start", 80, minutes=500))
     assert got == [("a", "00:30", True, 3), ("b", "00:35", False, 0), ("d", "00:02", False, 0)]
+
+
+def test_an_attempt_reads_and_writes_its_state_once_a_call():
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), []
+
+        def getValueState(self, name, schema):
+            return self.value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    handle, exam = Handle(), exams.Countdown(1000)
+    exam.init(handle)
+    event = lambda kind, ms, **more: {"kind": kind, "ms": ms, "minutes": None, "question": None, "selected": None, **more}
+    rows = [event("start", 5, minutes=1), *(event("answer", 10 + i % 50, question=f"q{i % 7}", selected=[None, "A", "B"][i % 3]) for i in range(200)), event("answer", 60_006, question="late", selected="A")]
+    for part in (rows[:90], rows[90:]):
+        handle.value.calls.clear()
+        assert list(exam.handleInputRows(("a",), iter(part), None)) == [] and handle.value.calls == ["get", "update"]
+    assert handle.timers == [60_005]
+    handle.value.calls.clear()
+    last = {}
+    for r in rows[1:-1]:
+        kept = last.get(r["question"], (-1, ""))
+        last[r["question"]] = max(kept, (r["ms"], r["selected"] or ""))
+    (end,) = exam.handleExpiredTimer(("a",), None, None)
+    assert handle.value.calls == ["get", "update"] and end["answered"] == sum(s != "" for _, s in last.values())
+    assert handle.timers[-1] == 61_005 and list(exam.handleInputRows(("a",), iter(rows), None)) == []
