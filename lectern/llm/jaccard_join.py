@@ -151,10 +151,8 @@ def families_of(classes: DataFrame, runs: int) -> DataFrame:
     """(cid, kin, alike): members of large groups of near copies, the class that represents the group, and how alike
     both signatures are."""
     rows = _drawn(classes.select("cid", "sig", F.lit(None).cast("long").alias("kin")), runs).select("key", "cid")
-    heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BUCKET).select("key")
-    large = settle(rows.join(heavy, "key"))
-    first = large.groupBy("key").agg(F.min("cid").alias("kin"))
-    pairs = large.join(first, "key").select("cid", "kin").distinct()
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("kin")).where(F.col("members") > BUCKET)
+    pairs = settle(rows.join(large, "key").select("cid", "kin").distinct())
     signed = pairs.join(classes.select("cid", "sig"), "cid").join(classes.select(F.col("cid").alias("kin"), F.col("sig").alias("first")), "kin")
     alike = signed.select("cid", "kin", _agree("sig", "first").alias("alike")).where(F.col("alike") >= LIVES)
     chosen = alike.groupBy("cid").agg(F.min(F.struct("kin", "alike")).alias("k")).select("cid", "k.kin", "k.alike")
@@ -176,14 +174,16 @@ def entries_of(placed: DataFrame, runs: int) -> DataFrame:
         rows = single.select("key", "node", F.lit(False).alias("family")).unionByName(family.select("key", "node").distinct().withColumn("family", F.lit(True)))
         found = settle(rows.join(_buckets(rows), "key"))
         limit = BUCKET if level < 2 else BLOCK
-        heavy = found.where(F.col("members") > limit).select("key").distinct()
+        heavy = found.where(F.col("members") > limit)
         last = level == DEPTH - 1 or heavy.isEmpty()
         part = found if last else found.where(F.col("members") <= limit)
         entries = part if entries is None else entries.unionByName(part)
         if last:
             break
-        longer = lambda rows, heavy=heavy: settle(rows.join(heavy, "key").join(placed.select("cid", "sig"), "cid").mapInArrow(_children, "key long, cid long, node long"))
-        single, family = longer(single), longer(family)
+        # a single class is its node, so its row is at hand; a family's members are looked up
+        longer = lambda rows: settle(rows.join(placed.select("cid", "sig"), "cid").mapInArrow(_children, "key long, cid long, node long"))
+        single = longer(heavy.where("not family").select("key", F.col("node").alias("cid"), "node"))
+        family = longer(family.join(heavy.where("family").select("key").distinct(), "key"))
     return entries
 
 

@@ -368,6 +368,31 @@ def test_near_duplicates(spark, none):
     assert jaccard_join.op9_jaccard_join(none).count() == 0
 
 
+def test_near_duplicates_join_paths_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.choice([f"w{i}" for i in range(400)], 160)
+    rows = [(i, " ".join(["x" + str(i) if j == i % 160 else w for j, w in enumerate(base)])) for i in range(300)]
+    signed = jaccard_join.word_hashes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0).cast("long")), "doc_id", "th")
+    placed = signed.mapInArrow(jaccard_join._sign(5), "doc_id long, th long, n long, ckey binary, sig binary").selectExpr("doc_id AS cid", "sig", "CAST(NULL AS long) AS kin").cache()
+    made, levels, join, buckets = [], [], type(placed).join, jaccard_join._buckets
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "key" and (n := out.count()):
+            made.append(n)
+        return out
+
+    drawn = Counter(r["key"] for r in jaccard_join._drawn(placed, 5).collect())
+    in_large = sum(n for n in drawn.values() if n > jaccard_join.BUCKET)
+    monkeypatch.setattr(type(placed), "join", counted)
+    monkeypatch.setattr(jaccard_join, "_buckets", lambda rows: levels.append(1) or buckets(rows))
+    assert jaccard_join.families_of(placed.drop("kin"), 5).count() >= 250
+    assert in_large and made == [in_large]  # rows of large buckets are joined once
+    made.clear()
+    assert jaccard_join.entries_of(placed, 5).count()
+    assert 1 < len(levels) == len(made)  # and single classes meet their buckets once a level
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     page = "<p>" + "x" * 1200 + "</p>"
     rows = [(1, "http://a/ b", page), (2, None, page), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "é" * 700)]
