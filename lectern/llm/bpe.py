@@ -29,6 +29,8 @@ FOLD_BYTES = 64
 #: A task's dictionary is begun anew beyond this many words, to bound its memory.
 DICT_WORDS = 1_000_000
 WORDS_PER_ROW, DOCS_PER_STEP = 1024, 256
+#: Partitions of the input that share a task and so its dictionary, as long as each core keeps some tasks.
+SHARED, TASKS_PER_CORE = 3, 2
 #: No pair: ranks stay below; and the room for a position in a packed rank.
 NONE, POS = 1 << 17, 1 << 12
 
@@ -254,6 +256,12 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.add(np.frombuffer(codes, np.uint32), lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False))
 
 
+def _shared(docs: DataFrame) -> DataFrame:
+    """The rows in fewer tasks, without a shuffle: a word is merged once a task, and distinct words grow slower than texts."""
+    n, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(1, -(-n // SHARED), min(n, TASKS_PER_CORE * cores)))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, then: Finish = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """doc_id, ids (array of int) of every whole text, by the ranks of ``ranks_path``.
 
@@ -266,7 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, then: Finish = None,
     ranks = load_ranks(ranks_path)
     base, table = map(_literal, literal_map(ranks))
     byte_rank = _literal([ranks[bytes([b])] for b in range(256)])
-    steps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(_cut(pattern, ranks_path), STEP_SCHEMA)
+    steps = _shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))).mapInArrow(_cut(pattern, ranks_path), STEP_SCHEMA)
     folded = F.when(F.col("kind") == FOLD, F.transform("words", lambda w: fold_word(w, byte_rank, base, table))).otherwise(F.col("words"))
     finish = _assemble if then is None else lambda batches: then(_assemble(batches))
     return steps.withColumn("words", folded).mapInArrow(finish, schema)

@@ -64,6 +64,17 @@ def test_bpe_round_trip(docs, none, texts):
     assert bpe.op1_bpe(none).count() == 0
 
 
+def test_bpe_partitions_share_dictionaries(spark, texts):
+    import public_tokenizers as P
+
+    path, cores = P.path("byte_bpe_multi_50k.tiktoken"), spark.sparkContext.defaultParallelism
+    some = [(i, texts[i % len(texts)]) for i in range(6 * cores)]
+    encoded = {n: bpe.encode(spark.createDataFrame(some, "doc_id long, text string").repartition(n), path, P.PATTERN) for n in (2, 6 * cores, 9 * cores)}
+    assert {n: df.rdd.getNumPartitions() for n, df in encoded.items()} == {2: 2, 6 * cores: 2 * cores, 9 * cores: 3 * cores}
+    few, many = (sorted((r["doc_id"], r["ids"]) for r in encoded[n].collect()) for n in (2, 6 * cores))
+    assert len(few) == len(some) and few == many
+
+
 def test_line_dedup(docs, none, texts, spark):
     keys = {i: [x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER)) for x in (t or "").split("\n")] for i, t in enumerate(texts)}
     found = Counter(k for own in keys.values() for k in set(own) if len(k) >= 40)
