@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators import grams, matching, similarity as sim
+from lectern.plans.catalogue import QUERIES
 
 
 def texts(n, seed=1, letters="abcd", longest=60):
@@ -114,3 +115,27 @@ def test_scores_near_the_best_are_enough(spark, monkeypatch):
         assert block or "regexp_replace" not in plan[plan.rindex("REPARTITION_BY_COL") :]
         first = lambda rows: sorted(rows.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "j"))).where("n <= 5").collect())
         assert first(scored(best=5)) == first(scored()) and scored(best=5).count() < len(want)
+
+
+def test_long_keys_in_pieces(monkeypatch):
+    keys = [t for t in texts(60, 8, "ab", 40) if t] + ["a", "日", "abab" * 50]
+    whole = [list(zip(j, i, s)) for j, i, s in sim.Pack(keys[::3]).scores(keys)]
+    monkeypatch.setattr(sim, "CHARS", 5)
+    assert [list(zip(j, i, s)) for j, i, s in sim.Pack(keys[::3]).scores(keys)] == whole
+    assert all(sum(map(len, pieces)) <= 5 for _, pieces in sim._pieces(keys))
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Six documents alike in their first 900 characters; the last is the item's whole text."""
+    rng, folder = random.Random(9), str(tmp_path_factory.mktemp("long"))
+    head = "".join(rng.choices("abcdefghij", k=900))
+    item = head + "".join(rng.choices("klmnopq", k=600))
+    docs = [(i, head + "".join(rng.choices("rstuvwxyz0123", k=500 + i)), "src1") for i in range(1, 6)] + [(6, item, "src1")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_partners_within_tolerance_by_whole_texts(spark, long_texts):
+    assert [tuple(r) for r in QUERIES["assign_with_tolerance"](spark, long_texts).select("item_id", "near", "first_doc").collect()] == [(1, 1, 6)]
