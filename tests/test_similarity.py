@@ -139,3 +139,13 @@ def long_texts(spark, tmp_path_factory):
 
 def test_partners_within_tolerance_by_whole_texts(spark, long_texts):
     assert [tuple(r) for r in QUERIES["assign_with_tolerance"](spark, long_texts).select("item_id", "near", "first_doc").collect()] == [(1, 1, 6)]
+
+
+def test_note_scores_of_whole_texts(spark, long_texts):
+    item = spark.read.parquet(f"{long_texts}/benchmark.parquet").first()["text"]
+    got = {r["doc_id"]: r["score"] for r in QUERIES["note_score"](spark, long_texts).collect()}
+    assert set(got) == {1, 2, 3, 4, 6} and got[6] == 2.0  # the longest of the others is left out
+    pairs = {item[i : i + 2] for i in range(len(item) - 1)}
+    for r in spark.read.parquet(f"{long_texts}/documents.parquet").where("doc_id < 5").collect():
+        ratio = difflib.SequenceMatcher(None, item, r["text"], autojunk=False).ratio()
+        assert got[r["doc_id"]] == pytest.approx(ratio + sum(p in r["text"] for p in pairs) / len(pairs), abs=1e-6)
