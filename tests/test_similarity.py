@@ -149,3 +149,7 @@ def test_note_scores_of_whole_texts(spark, long_texts):
     for r in spark.read.parquet(f"{long_texts}/documents.parquet").where("doc_id < 5").collect():
         ratio = difflib.SequenceMatcher(None, item, r["text"], autojunk=False).ratio()
         assert got[r["doc_id"]] == pytest.approx(ratio + sum(p in r["text"] for p in pairs) / len(pairs), abs=1e-6)
+
+
+def test_best_match_by_whole_texts(spark, long_texts):
+    assert [tuple(r) for r in QUERIES["similarity_best_match"](spark, long_texts).select("item_id", "doc_id", "score").collect()] == [(1, 6, 1.0)]
