@@ -153,3 +153,13 @@ def test_note_scores_of_whole_texts(spark, long_texts):
 
 def test_best_match_by_whole_texts(spark, long_texts):
     assert [tuple(r) for r in QUERIES["similarity_best_match"](spark, long_texts).select("item_id", "doc_id", "score").collect()] == [(1, 6, 1.0)]
+
+
+def test_fallback_by_whole_texts(spark, long_texts, tmp_path):
+    whole = [tuple(r) for r in QUERIES["similarity_fallback"](spark, long_texts).select("item_id", "partner", "accepted").collect()]
+    assert whole == [(1, 6, True)]
+    # alike in the first 900 characters of 3,900 only: no partner
+    head = "".join(random.Random(10).choices("abcdefghij", k=900))
+    spark.createDataFrame([(1, head + "kl" * 1500)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, head + "mn" * 1500, "src1")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["similarity_fallback"](spark, str(tmp_path)).select("item_id", "partner", "accepted").collect()] == [(1, 1, False)]
